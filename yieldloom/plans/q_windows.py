@@ -151,11 +151,12 @@ def _(m):
 @query("E14_running_sums", """
 SELECT holder, l_orderkey, l_linenumber, sum(qty) OVER w AS cum_lots, sum(qty*(100+disc)*level*1000) OVER w AS cum_cost,
  sum(qty) OVER w * (100+disc)*level*1000 AS market_value
-FROM trades WINDOW w AS (PARTITION BY holder ORDER BY date, l_orderkey, l_linenumber)""")
+FROM trades WINDOW w AS (PARTITION BY holder ORDER BY date, l_orderkey, l_linenumber, sk, qty, cents, disc, tax)""")
 def _(m):
     unit = (100 + F.col("disc")) * F.col("level") * 1000
-    t = m.trades.select("holder", "date", "l_orderkey", "l_linenumber", "qty", unit.alias("unit"), (F.col("qty") * unit).alias("cost"))
-    run = group_running_totals(t, ["holder"], ["date", "l_orderkey", "l_linenumber"], {"cum_lots": "qty", "cum_cost": "cost"})
+    order = ["date", "l_orderkey", "l_linenumber", "sk", "qty", "cents", "disc", "tax"]
+    t = m.trades.select("holder", *order, unit.alias("unit"), (F.col("qty") * unit).alias("cost"))
+    run = group_running_totals(t, ["holder"], order, {"cum_lots": "qty", "cum_cost": "cost"})
     return run.select("holder", "l_orderkey", "l_linenumber", "cum_lots", "cum_cost", (F.col("cum_lots") * F.col("unit")).alias("market_value"))
 
 
