@@ -18,7 +18,7 @@ def fold_by_symbol(df: DataFrame, keys: list[str], order: str, fn: Callable[[pd.
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def with_smoothed(df: DataFrame, value: str, rsi: tuple[int, ...] = (), ema: tuple[int, ...] = (), zero_loss: float | None = 100.0) -> DataFrame:
+def with_smoothed(df: DataFrame, value: str, rsi: tuple[int, ...] = (), ema: tuple[int, ...] = (), zero_loss: float | None = 100.0, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Add ``rsi_p`` (Wilder) and ``ema_s`` columns per symbol.
 
     First RSI at row p. A window without losses gives ``zero_loss`` (100 for
@@ -41,4 +41,4 @@ def with_smoothed(df: DataFrame, value: str, rsi: tuple[int, ...] = (), ema: tup
             pdf[f"ema_{s}"] = x.ewm(span=s, adjust=False, min_periods=s).mean()
         return pdf
 
-    return fold_by_symbol(df, ["symbol"], "date", smooth, schema)
+    return fold_by_symbol(df, list(keys), "date", smooth, schema)

@@ -1 +1,316 @@
+"""Strategy queries."""
+
+from pyspark.sql import functions as F
+
+from ..functions.scalars import rnd
+from ..functions.sequential import with_smoothed
+from ..operators import indicators as N
+from ..operators import returns as R
+from ..operators import strategy as S
+from .oracle import shared
+from .registry import query
+
+RULES = S.rules("quick")
+IDS = {r.strategy: r.id for r in RULES}
+WARM = max(r.warmup for r in RULES)
+HOLDOUT = 28.0
+SCAN_DAY = "2001-11-05"
+
+# ---------------------------------------------------------------- checking SQL
+
+shared("regime", """
+SELECT date, CASE WHEN sf>ss THEN 'bull' ELSE 'bear' END AS regime FROM (SELECT date, CASE WHEN count(*) OVER f=50 THEN avg(close) OVER f END AS sf, CASE WHEN count(*) OVER l=200 THEN avg(close) OVER l END AS ss, count(*) OVER () AS n
+ FROM bench WINDOW f AS (ORDER BY date ROWS 49 PRECEDING), l AS (ORDER BY date ROWS 199 PRECEDING)) WHERE n>=205""")
+
+
+def _mom(name, src):
+    shared(f"cal_{name}", f"SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM {src})")
+    shared(f"mom_{name}", f"""
+SELECT symbol, date, (rank() OVER (PARTITION BY date ORDER BY ret)+(count(*) OVER (PARTITION BY date, ret)-1)/2.0)/count(*) OVER (PARTITION BY date)*100 AS pct FROM
+ (SELECT a.symbol, a.date, a.close/b.close-1 AS ret FROM (SELECT symbol, p.date, close, i FROM {src} p JOIN cal_{name} c ON p.date=c.date) a JOIN (SELECT symbol, p.date, close, i FROM {src} p JOIN cal_{name} c ON p.date=c.date) b ON a.symbol=b.symbol AND b.i=a.i-20)""")
+    shared(f"ser_{name}", f"""
+SELECT p.symbol, 'all' AS part, p.date, p.close, coalesce(r.regime,'bear') AS regime, b.close AS bench, m.pct, row_number() OVER (PARTITION BY p.symbol ORDER BY p.date) AS rn, NULL::DATE AS start
+FROM (SELECT symbol, date, close FROM {src}) p ASOF LEFT JOIN regime r ON p.date>=r.date ASOF LEFT JOIN bench b ON p.date>=b.date ASOF LEFT JOIN mom_{name} m ON m.symbol=p.symbol AND p.date>=m.date""")
+
+
+def _ew(x, q, alpha, t, w):
+    return f"pow({q},{t})*sum(CASE WHEN {t}=1 THEN 1 ELSE {alpha} END*{x}*pow({q},-{t})) FILTER (WHERE {t}>=1) OVER {w}"
+
+
+def _signals(name, src):
+    w = "(PARTITION BY symbol, part ORDER BY rn)"
+    shared(f"i1_{name}", f"""
+SELECT *, {_ew('greatest(mv,0)', '13/14.0', '1/14.0', 'k', 'w')} AS u14, {_ew('greatest(-mv,0)', '13/14.0', '1/14.0', 'k', 'w')} AS d14,
+ CASE WHEN rn>=20 THEN {_ew('close', '19/21.0', '2/21.0', 'rn', 'w')} END AS e20, CASE WHEN rn>=50 THEN {_ew('close', '49/51.0', '2/51.0', 'rn', 'w')} END AS e50
+FROM (SELECT *, rn-1 AS k, close-lag(close) OVER {w} AS mv FROM {src}) WINDOW w AS {w}""")
+    shared(f"i2_{name}", f"""
+SELECT symbol, part, rn, date, close, regime, bench, pct, start, e20, e50, CASE WHEN k>=14 THEN CASE WHEN d14>0 THEN 100-100/(1+u14/d14) WHEN u14>0 THEN 100 END END AS rsi,
+ CASE WHEN rn>=50 THEN avg(close) OVER (PARTITION BY symbol, part ORDER BY rn ROWS 49 PRECEDING) END AS sma50,
+ CASE WHEN rn>=20 THEN avg(close) OVER b20 END AS mid, CASE WHEN rn>=20 THEN stddev_samp(close) OVER b20 END AS sd,
+ CASE WHEN rn>20 THEN max(close) OVER (PARTITION BY symbol, part ORDER BY rn ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS h20,
+ CASE WHEN rn>10 THEN max(close) OVER (PARTITION BY symbol, part ORDER BY rn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) END AS h10,
+ CASE WHEN rn>10 THEN min(close) OVER (PARTITION BY symbol, part ORDER BY rn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) END AS l10
+FROM i1_{name} WINDOW b20 AS (PARTITION BY symbol, part ORDER BY rn ROWS 19 PRECEDING)""")
+    shared(f"i3_{name}", f"""
+SELECT *, mid-2.0*sd AS low, sd*4/nullif(mid,0)*100 AS bw, lag(close) OVER w AS pc, lag(rsi) OVER w AS prsi, lag(mid-2.0*sd) OVER w AS plow, lag(mid) OVER w AS pmid, lag(h20) OVER w AS ph20, lag(h10) OVER w AS ph10, lag(e20) OVER w AS pe20,
+ (close/lag(close,20) OVER w - bench/lag(bench,20) OVER w)*100 AS rs,
+ coalesce(max(coalesce(rsi<=30,false)) OVER p5, false) AS os, coalesce(max(coalesce(close<=e20*1.02,false)) OVER p5, false) AS touch
+FROM i2_{name} WINDOW w AS {w}, p5 AS (PARTITION BY symbol, part ORDER BY rn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
+    shared(f"i4_{name}", f"""
+SELECT *, coalesce(max(coalesce(tight,false)) OVER (PARTITION BY symbol, part ORDER BY rn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), false) AS sq FROM
+ (SELECT *, bw <= CASE WHEN count(bw) OVER q=120 THEN quantile_cont(bw,0.2) OVER q END AS tight FROM i3_{name} WINDOW q AS (PARTITION BY symbol, part ORDER BY rn ROWS 119 PRECEDING))""")
+    rec = "rsi>40 AND prsi<=40"
+    parts = {
+        "regime_rsi": ("CASE WHEN regime='bear' THEN rsi<30 ELSE rsi<45 AND close>sma50 END", "false", "rsi"),
+        "bollinger_lower": ("close<low AND pc>=plow AND rsi<=40", "close>=mid AND pc<pmid", "(close/low-1)*100"),
+        "rsi_recovery": ("os AND rsi>35 AND prsi<=35", "rsi>=70 AND prsi<70", "rsi"),
+        "donchian": ("close>h20 AND pc<=ph20 AND close>sma50 AND regime='bull'", "close<l10", "(close/h20-1)*100"),
+        "squeeze": ("sq AND close>h10 AND pc<=ph10 AND regime='bull'", "close<mid", "bw"),
+        "trend_pullback": ("touch AND e20>e50 AND close>e20 AND pc<=pe20 AND regime='bull'", "e20<e50 OR (close<e20 AND pc>=pe20)", "(close/e20-1)*100"),
+        "relative_strength": (f"rs>=2 AND {rec} AND regime='bull'", "rs<0", "rs"),
+        "cross_momentum": (f"pct>=80 AND {rec} AND regime='bull'", "pct<50", "pct"),
+    }
+    shared(f"sig_{name}", " UNION ALL ".join(
+        f"SELECT symbol, part, rn, date, close, regime, start, '{IDS[k]}' AS rule, coalesce({s},false) AS setup, coalesce({x},false) AS leave, {v} AS indicator FROM i4_{name}" for k, (s, x, v) in parts.items()))
+
+
+_mom("all", "prices")
+_signals("all", "ser_all")
+shared("cutoff", f"""
+SELECT symbol, count(*) AS n, CAST(floor(count(*)*{1 - HOLDOUT / 100!r}) AS INT) AS cut, CAST(floor(count(*)*{1 - HOLDOUT / 100!r}) AS INT)>={WARM} AND count(*)-CAST(floor(count(*)*{1 - HOLDOUT / 100!r}) AS INT)>={WARM} AS enough FROM prices GROUP BY symbol""")
+shared("ser_split", f"""
+SELECT symbol, part, date, close, regime, bench, pct, start, row_number() OVER (PARTITION BY symbol, part ORDER BY date) AS rn FROM
+ (SELECT s.symbol, p.part, s.date, s.close, s.regime, s.bench, s.pct, (SELECT t.date FROM ser_all t WHERE t.symbol=s.symbol AND t.rn=c.cut+1) AS start FROM ser_all s JOIN cutoff c ON c.symbol=s.symbol AND enough,
+  (VALUES ('train'),('valid')) p(part) WHERE (p.part='train' AND s.rn<=c.cut) OR (p.part='valid' AND s.rn-1>=greatest(0,c.cut-{WARM})))""")
+_signals("split", "ser_split")
+shared("combos", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r.id}', '{r.strategy}', {h}, {t}, {s}, {r.b}, {r.d})" for i, (r, h, t, s) in enumerate(S.grid("quick"))) + ") c(combo, rule, strategy, max_hold, pt, sl, pb, pd)")
+
+
+def _trades(name):
+    shared(f"act_{name}", f"""
+SELECT *, coalesce(lag(setup) OVER w,false) AS entry, coalesce(lag(leave) OVER w,false) AS out, max(rn) OVER (PARTITION BY symbol, part, rule) AS last FROM sig_{name} WINDOW w AS (PARTITION BY symbol, part, rule ORDER BY rn)""")
+    shared(f"cand_{name}", f"""
+SELECT c.symbol, c.part, combo, c.rn AS e, any_value(c.date) AS entry_date, any_value(c.close) AS ep, any_value(c.regime) AS regime,
+ coalesce(min(f.rn) FILTER (WHERE f.close>=c.close*(1+pt/100) OR f.close<=c.close*(1-sl/100) OR f.out OR f.rn-c.rn>=max_hold), max(f.rn)) AS x
+FROM act_{name} c JOIN combos k ON c.rule=k.rule JOIN act_{name} f ON f.symbol=c.symbol AND f.part=c.part AND f.rule=c.rule AND f.rn>c.rn AND f.rn<=c.rn+max_hold
+WHERE c.entry AND c.rn<c.last AND (c.part<>'valid' OR c.date>=c.start) GROUP BY c.symbol, c.part, combo, c.rn""")
+    shared(f"pick_{name}", f"""
+SELECT symbol, part, combo, min(e) AS e, arg_min(x,e) AS x, 1::BIGINT AS k FROM cand_{name} GROUP BY ALL
+UNION ALL SELECT t.symbol, t.part, t.combo, min(t.e), arg_min(t.x,t.e), max(p.k)+1 FROM pick_{name} p JOIN cand_{name} t ON t.symbol=p.symbol AND t.part=p.part AND t.combo=p.combo AND t.e>p.x GROUP BY t.symbol, t.part, t.combo""")
+    shared(f"trd_{name}", f"""
+SELECT p.symbol, p.part, p.combo, p.k AS trade_no, p.e AS entry_rn, p.x AS exit_rn, c.entry_date, c.regime, c.ep AS entry_price, s.close AS exit_price, s.close*(1-0.0025)/(c.ep*(1+0.0015)) AS g, s.close/c.ep*(1-0.0025)-(1+0.0015) AS r
+FROM pick_{name} p JOIN cand_{name} c ON c.symbol=p.symbol AND c.part=p.part AND c.combo=p.combo AND c.e=p.e JOIN ser_{name} s ON s.symbol=p.symbol AND s.part=p.part AND s.rn=p.x""")
+    shared(f"eq_{name}", f"""
+SELECT t.symbol, t.part, t.combo, trade_no, s.rn, CASE WHEN s.rn=exit_rn THEN bef*g ELSE bef*s.close/(entry_price*(1+0.0015)) END AS eq FROM
+ (SELECT *, coalesce(product(g) OVER (PARTITION BY symbol, part, combo ORDER BY trade_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),1) AS bef FROM trd_{name}) t JOIN ser_{name} s ON s.symbol=t.symbol AND s.part=t.part AND s.rn BETWEEN entry_rn AND exit_rn""")
+    shared(f"met_{name}", f"""
+SELECT m.*, d.max_drawdown FROM (SELECT symbol, part, combo, (product(g)-1)*100 AS total_return, avg(CASE WHEN r>0 THEN 1.0 ELSE 0 END)*100 AS win_rate, count(*) AS trades, avg(r)*100 AS avg_trade, count(*) FILTER (WHERE regime='bear') AS bear_entries, count(*) FILTER (WHERE regime='bull') AS bull_entries FROM trd_{name} GROUP BY ALL) m
+JOIN (SELECT symbol, part, combo, least(0,min(eq/pk-1))*100 AS max_drawdown FROM (SELECT *, greatest(1, max(eq) OVER (PARTITION BY symbol, part, combo ORDER BY trade_no, rn)) AS pk FROM eq_{name}) GROUP BY ALL) d ON d.symbol=m.symbol AND d.part=m.part AND d.combo=m.combo""")
+
+
+_trades("all")
+_trades("split")
+VAL = ["total_return", "win_rate", "max_drawdown", "trades", "avg_trade"]
+shared("hold_", f"""
+SELECT t.*, {', '.join(f'coalesce(v.{c},0) AS val_{c}' if c == 'trades' else f'v.{c} AS val_{c}' for c in VAL)} FROM (SELECT * EXCLUDE (part) FROM met_split WHERE part='train') t LEFT JOIN met_split v ON v.part='valid' AND v.symbol=t.symbol AND v.combo=t.combo""")
+shared("hold", "SELECT * FROM hold_")
+
+
+def _pr(c, part=""):
+    p = f"PARTITION BY {part + ', ' if part else ''}{c} IS NULL"
+    return f"coalesce(CASE WHEN {c} IS NOT NULL THEN (rank() OVER ({p} ORDER BY {c})+(count(*) OVER ({p}, {c})-1)/2.0)/count(*) OVER ({p}) END,0)"
+
+
+def _wm(v, w, cond="true"):
+    return f"sum({v}*{w}) FILTER (WHERE {cond} AND {v} IS NOT NULL AND {w}>0)/nullif(sum({w}) FILTER (WHERE {cond} AND {v} IS NOT NULL AND {w}>0),0)"
+
+
+shared("strat0", f"""
+SELECT combo, count(DISTINCT symbol) AS stocks_tested, count(DISTINCT symbol) FILTER (WHERE val_trades>0) AS stocks_validated, sum(trades)::BIGINT AS train_trades, sum(val_trades)::BIGINT AS val_trades, {_wm('avg_trade', 'trades')} AS train_avg_trade,
+ {_wm('val_avg_trade', 'val_trades', 'val_trades>0')} AS val_avg_trade, {_wm('val_win_rate', 'val_trades', 'val_trades>0')} AS val_win_rate, {_wm('val_max_drawdown', 'val_trades', 'val_trades>0')} AS val_drawdown,
+ avg(CASE WHEN val_total_return>0 THEN 1.0 ELSE 0 END) FILTER (WHERE val_trades>0)*100 AS positive_pct, median(val_total_return) FILTER (WHERE val_trades>0) AS median_return,
+ count(DISTINCT symbol) FILTER (WHERE val_trades>0)*100.0/(SELECT count(DISTINCT symbol) FROM hold) AS coverage_pct FROM hold GROUP BY combo""")
+shared("strat", "SELECT *, val_avg_trade-train_avg_trade AS generalization_gap, (" + " + ".join(f"{_pr(c if c != 'drawdown_control' else '(-abs(val_drawdown))')}*{w}*100" for c, w in S.SUMMARY_WEIGHTS.items()) + ") AS score FROM strat0")
+shared("qual", """
+SELECT * FROM (SELECT *, bool_or(ok) OVER () AS anyok FROM (SELECT *, stocks_validated>=greatest(3,ceil((max(stocks_tested) OVER ())*0.2)) AND val_trades>=greatest(20,2*max(stocks_tested) OVER ()) AS ok FROM strat)) WHERE CASE WHEN anyok THEN ok ELSE val_trades>0 END""")
+shared("bestc", "SELECT * FROM qual ORDER BY score DESC, val_avg_trade DESC NULLS LAST, val_trades DESC, combo LIMIT 1")
+shared("over", f"""
+SELECT symbol, combo, score, val_trades, val_avg_trade, val_total_return, gr AS global_return, val_total_return-gr AS return_uplift FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, val_trades DESC, val_avg_trade DESC, combo) AS k FROM
+ (SELECT *, {' + '.join(f"{_pr(c if c != 'drawdown_control' else '(-abs(val_max_drawdown))', 'symbol')}*{w}*100" for c, w in S.STOCK_WEIGHTS.items())} AS score FROM
+  (SELECT h.*, g.val_total_return AS gr FROM hold h JOIN (SELECT * FROM hold WHERE combo IN (SELECT combo FROM bestc) AND val_trades>0 AND val_total_return IS NOT NULL) g ON g.symbol=h.symbol WHERE h.val_trades>0 AND h.val_total_return>g.val_total_return+1e-9))) WHERE k=1""")
+shared("lastp", f"SELECT symbol, max(date) AS d, arg_max(close,date) AS c FROM prices GROUP BY symbol HAVING count(*)>={WARM} AND max(date)>=DATE '{SCAN_DAY}'-7")
+shared("quotes", "SELECT symbol, floor(price*100*(6+CAST(substr(symbol,2) AS BIGINT)%9)/10)/100 AS quote FROM profiles")
+shared("live", f"""
+SELECT p.symbol, p.date, p.close FROM prices p JOIN lastp l ON p.symbol=l.symbol WHERE p.date < DATE '{SCAN_DAY}' UNION ALL
+SELECT l.symbol, DATE '{SCAN_DAY}', quote FROM lastp l JOIN quotes q ON l.symbol=q.symbol WHERE quote>0 AND quote/c BETWEEN 0.65 AND 1.35""")
+_mom("live", "live")
+_signals("live", "ser_live")
+
+# ---------------------------------------------------------------- queries
+
+
+def series(m, prices=None, lookbacks=None):
+    px = m.closes if prices is None else prices
+    return S.base_series(px, R.regime_series(m.benchmark), m.benchmark, S.lookbacks_of(RULES) if lookbacks is None else lookbacks)
+
+
+def all_signals(m, rs=RULES):
+    return S.signals(series(m, lookbacks=S.lookbacks_of(rs)), rs)
+
+
+def quick(m):
+    return S.grid_table(m.spark, "quick")
+
+
+@query("L01_wilder_rsi", """
+x AS (SELECT symbol, date, row_number() OVER w - 1 AS k, close-lag(close) OVER w AS mv FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+e AS (SELECT symbol, date, k, pow(13/14.0,k)*sum(CASE WHEN k=1 THEN 1 ELSE 1/14.0 END*greatest(mv,0)*pow(13/14.0,-k)) FILTER (WHERE k>=1) OVER w AS u, pow(13/14.0,k)*sum(CASE WHEN k=1 THEN 1 ELSE 1/14.0 END*greatest(-mv,0)*pow(13/14.0,-k)) FILTER (WHERE k>=1) OVER w AS d,
+ pow(6/7.0,k)*sum(CASE WHEN k=1 THEN 1 ELSE 1/7.0 END*greatest(mv,0)*pow(6/7.0,-k)) FILTER (WHERE k>=1) OVER w AS u7, pow(6/7.0,k)*sum(CASE WHEN k=1 THEN 1 ELSE 1/7.0 END*greatest(-mv,0)*pow(6/7.0,-k)) FILTER (WHERE k>=1) OVER w AS d7 FROM x WINDOW w AS (PARTITION BY symbol ORDER BY k))
+SELECT symbol, date, R4{CASE WHEN k>=14 THEN 100-100/(1+u/nullif(d,0)) END} AS rsi_14, R4{CASE WHEN k>=7 THEN 100-100/(1+u7/nullif(d7,0)) END} AS rsi_7 FROM e""")
+def _(m):
+    d = with_smoothed(m.closes, "close", rsi=(7, 14), zero_loss=None)
+    return d.select("symbol", "date", rnd("rsi_14", 4).alias("rsi_14"), rnd("rsi_7", 4).alias("rsi_7"))
+
+
+@query("L02_bollinger_bands", """
+SELECT symbol, date, R5{mid} AS middle, R3{mid-2*sd} AS lower, R3{mid+2*sd} AS upper FROM (SELECT symbol, date, CASE WHEN count(*) OVER w=20 THEN avg(close) OVER w END AS mid, CASE WHEN count(*) OVER w=20 THEN stddev_samp(close) OVER w END AS sd
+ FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING))""")
+def _(m):
+    d = N.bollinger(m.closes, 20, 2.0)
+    return d.select("symbol", "date", rnd("middle", 5).alias("middle"), rnd("lower", 3).alias("lower"), rnd("upper", 3).alias("upper"))
+
+
+@query("L03_feature_indicators")
+def _(m):
+    return N.feature_indicators(m.prices)
+
+
+def _strategy_query(number, rule):
+    @query(f"{number}_{rule.strategy}", f"SELECT symbol, date, setup, leave, R4{{indicator}} AS indicator FROM sig_all WHERE rule='{rule.id}'")
+    def _(m):
+        return all_signals(m, [rule]).select("symbol", "date", "setup", "leave", rnd("indicator", 4).alias("indicator"))
+
+
+for _n, _r in zip(("L04", "L05", "L06", "L07", "L08", "L09", "L10", "L11"), RULES):
+    _strategy_query(_n, _r)
+
+
+@query("L12_warmup", f"""
+w AS (SELECT * FROM (VALUES {', '.join(f"('{r.id}', {r.warmup})" for r in S.rules('deep'))}) w(rule, warmup)), n AS (SELECT symbol, count(*) AS n FROM prices GROUP BY symbol)
+SELECT symbol, rule, warmup, n>=warmup AS enough FROM n, w""")
+def _(m):
+    n = m.closes.groupBy("symbol").agg(F.count("*").alias("n"))
+    cells = F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule"), F.lit(r.warmup).alias("warmup")) for r in S.rules("deep")]))
+    return n.select("symbol", "n", cells.alias("c")).select("symbol", "c.rule", "c.warmup", (F.col("n") >= F.col("c.warmup")).alias("enough"))
+
+
+TR = "symbol, combo, trade_no, entry_rn, exit_rn, entry_date, regime, entry_price, exit_price"
+
+
+@query("L13_trades", f"SELECT {TR} FROM trd_all")
+def _(m):
+    return S.trades(all_signals(m), quick(m)).select(*TR.split(", "))
+
+
+MET = ["total_return", "win_rate", "avg_trade", "max_drawdown"]
+
+
+@query("L14_backtest_metrics", "SELECT symbol, combo, trades, bear_entries, bull_entries, " + ", ".join(f"R4{{{c}}} AS {c}" for c in MET) + " FROM met_all")
+def _(m):
+    d = S.metrics(S.trades(all_signals(m), quick(m)))
+    return d.select("symbol", "combo", "trades", "bear_entries", "bull_entries", *[rnd(c, 4).alias(c) for c in MET])
+
+
+def holdout(m):
+    parts, status = S.split_series(series(m), HOLDOUT, WARM)
+    met = S.metrics(S.trades(S.signals(parts, RULES), quick(m)))
+    return S.holdout_results(met), status
+
+
+HOLD = MET + [f"val_{c}" for c in MET]
+
+
+@query("L15_holdout_results", "SELECT symbol, combo, trades, val_trades, " + ", ".join(f"R4{{{c}}} AS {c}" for c in HOLD) + " FROM hold")
+def _(m):
+    return holdout(m)[0].select("symbol", "combo", "trades", "val_trades", *[rnd(c, 4).alias(c) for c in HOLD])
+
+
+@query("L15_symbol_status", """
+SELECT c.symbol, CASE WHEN k.symbol IS NULL THEN 'missing_data' WHEN NOT enough THEN 'insufficient_history' WHEN h.symbol IS NOT NULL THEN 'ok' ELSE 'no_signals' END AS status
+FROM (SELECT symbol FROM companies UNION ALL SELECT 'UNLISTED') c LEFT JOIN cutoff k ON k.symbol=c.symbol LEFT JOIN (SELECT DISTINCT symbol FROM hold) h ON h.symbol=c.symbol""")
+def _(m):
+    results, status = holdout(m)
+    ask = m.companies.select("symbol").unionByName(m.spark.createDataFrame([("UNLISTED",)], "symbol string"))
+    return S.symbol_status(ask, status, results)
+
+
+@query("L16_parameter_grid", f"""
+SELECT p.symbol, g.combo, g.rule, g.max_hold, g.stop_loss FROM (SELECT DISTINCT symbol FROM prices) p, (VALUES {', '.join(f"({i}, '{r.id}', {h}, {s})" for i, (r, h, t, s) in enumerate(S.grid('deep')))}) g(combo, rule, max_hold, stop_loss)""")
+def _(m):
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("combo"), F.lit(r.id).alias("rule"), F.lit(h).alias("max_hold"), F.lit(s).alias("stop_loss")) for i, (r, h, t, s) in enumerate(S.grid("deep"))]))
+    return m.closes.select("symbol").distinct().select("symbol", cells.alias("c")).select("symbol", "c.*")
+
+
+SUMC = ["train_avg_trade", "val_avg_trade", "val_win_rate", "val_drawdown", "positive_pct", "median_return", "coverage_pct", "generalization_gap", "score"]
+SUM_SQL = "SELECT combo, stocks_tested, stocks_validated, train_trades, val_trades, " + ", ".join(f"R4{{{c}}} AS {c}" for c in SUMC) + " FROM "
+
+
+def summ(d):
+    return d.select("combo", "stocks_tested", "stocks_validated", "train_trades", "val_trades", *[rnd(c, 4).alias(c) for c in SUMC])
+
+
+@query("L17_strategy_summary", SUM_SQL + "strat")
+def _(m):
+    return summ(S.summarize(holdout(m)[0]))
+
+
+@query("L18_recommended", SUM_SQL + "qual")
+def _(m):
+    return summ(S.qualified(S.summarize(holdout(m)[0])))
+
+
+OV = ["score", "val_avg_trade", "val_total_return", "global_return", "return_uplift"]
+
+
+@query("L19_stock_overrides", "SELECT symbol, combo, val_trades, " + ", ".join(f"R4{{{c}}} AS {c}" for c in OV) + " FROM over")
+def _(m):
+    res = S.cut_lineage(holdout(m)[0])
+    return S.stock_overrides(res, S.best_combo(S.summarize(res))).select("symbol", "combo", "val_trades", *[rnd(c, 4).alias(c) for c in OV])
+
+
+@query("L20_setup_scan", f"""
+pl AS (SELECT l.symbol, k.strategy, k.rule, k.max_hold, k.sl AS stop_loss, k.pb, k.pd, CASE WHEN o.symbol IS NOT NULL THEN 'Stock-specific optimized' WHEN b.combo IS NOT NULL THEN 'Global optimized' ELSE 'Baseline preset' END AS parameter_source, CASE WHEN o.symbol IS NOT NULL THEN o.score ELSE b.score END AS score, o.return_uplift
+ FROM lastp l CROSS JOIN combos k LEFT JOIN over o ON o.symbol=l.symbol AND o.combo=k.combo LEFT JOIN bestc b ON b.combo=k.combo),
+nw AS (SELECT * FROM sig_live QUALIFY row_number() OVER (PARTITION BY symbol, rule ORDER BY rn DESC)=1), rg AS (SELECT arg_max(regime,date) AS mr FROM regime),
+j AS (SELECT pl.*, n.date, n.close, n.indicator AS i, n.setup, coalesce(CASE strategy WHEN 'regime_rsi' THEN n.indicator<=CASE WHEN mr='bull' THEN pd ELSE pb END+3 WHEN 'rsi_recovery' THEN n.indicator BETWEEN pb AND pd+3 WHEN 'bollinger_lower' THEN abs(n.indicator)<=3 WHEN 'donchian' THEN abs(n.indicator)<=3
+ WHEN 'trend_pullback' THEN abs(n.indicator)<=3 WHEN 'relative_strength' THEN n.indicator>=pb-3 WHEN 'cross_momentum' THEN n.indicator>=pb-3 ELSE n.indicator<=3 END, false) AS near FROM pl JOIN nw n ON n.symbol=pl.symbol AND n.rule=pl.rule, rg)
+SELECT symbol, strategy, rule, date, close, R4{{i}} AS indicator, parameter_source, R4{{score}} AS score, R4{{return_uplift}} AS return_uplift, stop_loss, max_hold, 5.0 AS profit_target, CASE WHEN setup THEN 'Setup Confirmed' WHEN near THEN 'Watch' ELSE 'Neutral' END AS signal FROM j""")
+def _(m):
+    res = S.cut_lineage(holdout(m)[0])
+    best = S.cut_lineage(S.best_combo(S.summarize(res)))
+    quote = F.floor(F.col("price") * 100 * (6 + F.substring("symbol", 2, 6).cast("long") % 9) / 10) / 100
+    px = S.with_live_quote(m.closes, m.profiles.select("symbol", quote.alias("quote")), SCAN_DAY, WARM)
+    px = S.cut_lineage(px)
+    plan = S.scan_plan(px.select("symbol").distinct(), quick(m), quick(m), best, S.stock_overrides(res, best))
+    out = S.scan(S.signals(series(m, px), RULES), plan, quick(m), R.regime_series(m.benchmark))
+    return out.select(*[rnd(c, 4).alias(c) if c in ("indicator", "score", "return_uplift") else F.col(c) for c in out.columns])
+
+
+@query("L21_buy_and_hold", """
+b AS (SELECT symbol, (arg_max(close,date)/arg_min(close,date)-1)*100 AS bh FROM prices GROUP BY symbol)
+SELECT m.symbol, combo, R4{bh} AS benchmark_return, R4{total_return-bh} AS alpha FROM met_all m JOIN b ON b.symbol=m.symbol""")
+def _(m):
+    d = S.metrics(S.trades(all_signals(m), quick(m))).join(S.buy_and_hold(m.closes), "symbol")
+    return d.select("symbol", "combo", rnd("benchmark_return", 4).alias("benchmark_return"), rnd(F.col("total_return") - F.col("benchmark_return"), 4).alias("alpha"))
+
+
+@query("L22_label_trades", """
+l AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn FROM prices), b AS (SELECT * FROM l WHERE rn%11=3), s AS (SELECT symbol, date, close FROM l WHERE rn%17=5)
+SELECT b.symbol, b.date, b.close AS close_buy, s.close AS close_sell, s.date AS sell_date, R6{s.close/b.close*100-100} AS gain, s.date-b.date AS duration FROM b ASOF LEFT JOIN s ON b.symbol=s.symbol AND b.date<=s.date""")
+def _(m):
+    rn = F.row_number().over(R.SYM)
+    lab = m.closes.select("symbol", "date", rn.alias("rn"))
+    lab = lab.where("rn % 11 = 3").select("symbol", "date", F.lit("buy").alias("label")).unionByName(lab.where("rn % 17 = 5").select("symbol", "date", F.lit("sell").alias("label")))
+    return S.label_trades(m.closes, lab).withColumn("gain", rnd("gain"))
+
 
