@@ -114,4 +114,4 @@ def expand(body: str) -> str:
     sep = "" if body.upper().startswith(("SELECT", "FROM")) else ", "
     if not head:
         return _rounded("WITH RECURSIVE " + body if sep else body)
-    return _rounded("WITH RECURSIVE " + ",\n".join(head) + sep + "\n" + body)
+    return _rounded("WITH RECURSIVE " + ",\n".join(head) + sep + "\n" + body).replace("<:,>", "{:,}")
