@@ -9,7 +9,8 @@ from ..functions.ranking import order_index
 from ..functions.scalars import clip, sdiv
 from .returns import ewm_adjusted
 
-BY_YEAR = Window.partitionBy("symbol").orderBy("year")
+def by_year():
+    return Window.partitionBy("symbol").orderBy("year")
 
 
 def yearly_dividends(div: DataFrame, asof: str) -> DataFrame:
@@ -31,11 +32,11 @@ def dividend_stats(yearly: DataFrame, asof: str) -> DataFrame:
     past = F.max(F.when(F.col("year") < this_year, 1)).over(Window.partitionBy("symbol"))
     v = F.col("adjDividend")
     d = yearly.withColumn("_past", past).where((F.col("year") < this_year) | F.col("_past").isNull())
-    d = d.withColumn("inc_flat", v - F.lag(v).over(BY_YEAR))
-    d = d.withColumn("inc_pct", sdiv("inc_flat", F.lag(v).over(BY_YEAR)) * 100)
+    d = d.withColumn("inc_flat", v - F.lag(v).over(by_year()))
+    d = d.withColumn("inc_pct", sdiv("inc_flat", F.lag(v).over(by_year())) * 100)
     d = d.withColumn("rd", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("year"))))
-    weight, flat = ewm_adjusted("inc_flat", 0.5, BY_YEAR)
-    _, pct = ewm_adjusted("inc_pct", 0.5, BY_YEAR)
+    weight, flat = ewm_adjusted("inc_flat", 0.5, by_year())
+    _, pct = ewm_adjusted("inc_pct", 0.5, by_year())
     d = d.withColumn("_wt", weight).withColumn("ew_flat", flat).withColumn("ew_pct", pct)
 
     def last(c, n):

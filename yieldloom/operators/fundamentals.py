@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import change, clip, row_mean, sdiv
 from .asof import asof_join
-from .returns import rolling
+from .returns import by_symbol, rolling
+
+
+
+def newest():
+    return Window.partitionBy("symbol").orderBy(F.desc("date"))
+
 
-QTR = Window.partitionBy("symbol").orderBy("date")
-NEWEST = Window.partitionBy("symbol").orderBy(F.desc("date"))
 FALLBACK_RATE = 16_618.0  # fixed value: USD/IDR when no quote is known
 
 
@@ -35,10 +39,10 @@ def trimmed_mean(values: Column, share: float = 0.1) -> Column:
 
 def trailing(fin: DataFrame) -> DataFrame:
     """Four-quarter sums, year-on-year growth and margin per statement."""
-    t = fin.withColumn("revenue_ttm", rolling(F.sum, "revenue", 4, QTR)).withColumn("netIncome_ttm", rolling(F.sum, "netIncome", 4, QTR))
+    t = fin.withColumn("revenue_ttm", rolling(F.sum, "revenue", 4, by_symbol())).withColumn("netIncome_ttm", rolling(F.sum, "netIncome", 4, by_symbol()))
     return t.select(
-        "*", *[change(f"{m}_ttm", F.lag(f"{m}_ttm", 4).over(QTR)).alias(f"{m}_growth") for m in ("revenue", "netIncome")],
-        (sdiv("netIncome_ttm", "revenue_ttm") * 100).alias("margin"), F.row_number().over(NEWEST).alias("rd"),
+        "*", *[change(f"{m}_ttm", F.lag(f"{m}_ttm", 4).over(by_symbol())).alias(f"{m}_growth") for m in ("revenue", "netIncome")],
+        (sdiv("netIncome_ttm", "revenue_ttm") * 100).alias("margin"), F.row_number().over(newest()).alias("rd"),
     )
 
 
@@ -65,7 +69,7 @@ def fin_stats(fin: DataFrame, rate: DataFrame | None) -> DataFrame:
     """
     t = trailing(fin)
     t = t.select("*", *[
-        sdiv(f"{m}_ttm", F.lag(f"{m}_ttm", 4 * p).over(QTR)).alias(f"_{m}_ratio_{p}") for m in ("revenue", "netIncome") for p in (2, 5, 10)
+        sdiv(f"{m}_ttm", F.lag(f"{m}_ttm", 4 * p).over(by_symbol())).alias(f"_{m}_ratio_{p}") for m in ("revenue", "netIncome") for p in (2, 5, 10)
     ])
     at1 = lambda c: F.max(F.when(F.col("rd") == 1, F.col(c)))
     g = t.groupBy("symbol").agg(
@@ -94,7 +98,7 @@ def ratio_history(prices: DataFrame, fin: DataFrame, shares: DataFrame, rate: Da
     f = fin.join(shares, "symbol").crossJoin(F.broadcast(rate))
     for m, o in (("netIncome", "eps"), ("revenue", "sps")):
         f = f.withColumn(f"_{o}", sdiv(F.col(m) * usd_factor(), "outstandingShares"))
-    f = f.select("symbol", "date", rolling(F.sum, "_eps", 4, QTR).alias("eps_ttm"), rolling(F.sum, "_sps", 4, QTR).alias("sps_ttm"))
+    f = f.select("symbol", "date", rolling(F.sum, "_eps", 4, by_symbol()).alias("eps_ttm"), rolling(F.sum, "_sps", 4, by_symbol()).alias("sps_ttm"))
     j = asof_join(prices.select("symbol", "date", "close"), f, ["symbol"], {"eps_ttm": "eps_ttm", "sps_ttm": "sps_ttm"})
     return j.withColumn("pe", sdiv("close", "eps_ttm")).withColumn("ps", sdiv("close", "sps_ttm"))
 
@@ -108,7 +112,7 @@ def pe_history(prices: DataFrame, fin: DataFrame, rate: DataFrame, shares: DataF
     else:
         usd = F.col("eps") * F.col("rate")
     f = f.withColumn("_eps", F.when(F.col("reportedCurrency") == "USD", usd).otherwise(F.col("eps")))
-    f = f.select("symbol", "date", rolling(F.sum, "_eps", 4, QTR).alias("eps_ttm"))
+    f = f.select("symbol", "date", rolling(F.sum, "_eps", 4, by_symbol()).alias("eps_ttm"))
     j = asof_join(prices.select("symbol", "date", "close"), f, ["symbol"], {"eps_ttm": "eps_ttm"})
     return j.withColumn("pe", sdiv("close", "eps_ttm"))
 
@@ -137,7 +141,7 @@ def valuation_table(pe: DataFrame, fin: DataFrame) -> DataFrame:
 def statement_stats(fin: DataFrame) -> DataFrame:
     """Newest trailing figures and the median of the last 20 statements."""
     t = trailing(fin).where("revenue_ttm is not null and netIncome_ttm is not null")
-    t = t.withColumn("rd", F.row_number().over(NEWEST))
+    t = t.withColumn("rd", F.row_number().over(newest()))
     at1 = lambda c: F.max(F.when(F.col("rd") == 1, F.col(c)))
     med = lambda c: F.median(F.when(F.col("rd") <= 20, F.col(c)))
     return t.groupBy("symbol").agg(

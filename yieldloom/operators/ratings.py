@@ -191,9 +191,9 @@ def quadrants(table: DataFrame, x: str, y: str, x_high: bool, y_high: bool) -> D
 
 def daily_volatility(prices: DataFrame, lookback: int = 60, cap: float = 0.35) -> DataFrame:
     """Deviation of recent daily returns, leaving out jumps that look like data errors."""
-    from .returns import SYM, pct_change, tail
+    from .returns import pct_change, tail
 
-    r = tail(prices, lookback + 1).withColumn("r", pct_change("close", 1, SYM))
+    r = tail(prices, lookback + 1).withColumn("r", pct_change("close", 1))
     r = r.withColumn("r", F.when(F.abs("r") <= cap, F.col("r")))
     return r.groupBy("symbol").agg((F.stddev_samp("r") * 100).alias("volatility"), F.count("r").alias("observations"))
 

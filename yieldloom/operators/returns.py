@@ -9,7 +9,9 @@ from ..functions.ranking import avg_pct_rank
 from ..functions.scalars import change, sdiv
 from .asof import asof_join, value_days_ago
 
-SYM = Window.partitionBy("symbol").orderBy("date")
+def by_symbol():
+    """Window over one symbol in date order."""
+    return Window.partitionBy("symbol").orderBy("date")
 
 # Sessions per horizon of the stored returns view, and calendar days per horizon.
 SESSION_LAGS = {"return_7d": 5, "return_1m": 21, "return_1y": 252, "return_10y": 2520}
@@ -18,7 +20,7 @@ DAY_LAGS = {"return_7d": 7, "return_1m": 30, "return_1y": 365, "return_10y": 365
 
 def latest_returns(prices: DataFrame) -> DataFrame:
     """Return over fixed numbers of sessions, on each symbol's last session."""
-    cols = [change("close", F.lag("close", n).over(SYM)).alias(k) for k, n in SESSION_LAGS.items()]
+    cols = [change("close", F.lag("close", n).over(by_symbol())).alias(k) for k, n in SESSION_LAGS.items()]
     last = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
     return prices.select("symbol", *cols, last.alias("_rn")).where("_rn = 1").drop("_rn")
 
@@ -55,7 +57,7 @@ def session_returns_all(prices: DataFrame) -> DataFrame:
 
 def price_changes(prices: DataFrame, value: str = "close") -> DataFrame:
     """Absolute and percent change against the previous row and 7/30/365 days ago."""
-    out = prices.withColumn("previous_price", F.lag(value).over(SYM))
+    out = prices.withColumn("previous_price", F.lag(value).over(by_symbol()))
     for days in (7, 30, 365):
         out = out.withColumn(f"previous_price_{days}d", value_days_ago(value, days, ["symbol"]))
     cols = []
@@ -66,23 +68,23 @@ def price_changes(prices: DataFrame, value: str = "close") -> DataFrame:
     return out.select("symbol", "date", F.col(value).alias("current_price"), "previous_price", *[f"previous_price_{d}d" for d in (7, 30, 365)], *cols)
 
 
-def pct_change(value: Column | str, n: int, w=SYM) -> Column:
-    return change(value, F.lag(value, n).over(w))
+def pct_change(value: Column | str, n: int, w=None) -> Column:
+    return change(value, F.lag(value, n).over(w or by_symbol()))
 
 
-def rolling(fn, value: str, n: int, w=SYM, min_periods: int | None = None) -> Column:
+def rolling(fn, value: str, n: int, w=None, min_periods: int | None = None) -> Column:
     """A rolling aggregate that stays NULL until enough values are present."""
-    frame = w.rowsBetween(-(n - 1), 0)
+    frame = (w or by_symbol()).rowsBetween(-(n - 1), 0)
     return F.when(F.count(value).over(frame) >= (n if min_periods is None else min_periods), fn(value).over(frame))
 
 
-def rolling_quantile(value: str, n: int, p: float, w=SYM) -> Column:
+def rolling_quantile(value: str, n: int, p: float, w=None) -> Column:
     return rolling(lambda v: F.percentile(v, F.lit(p)), value, n, w)
 
 
-def any_before(flag: Column | str, k: int, w=SYM) -> Column:
+def any_before(flag: Column | str, k: int, w=None) -> Column:
     """True when the flag held in any of the k previous sessions."""
-    frame = w.rowsBetween(-k, -1)
+    frame = (w or by_symbol()).rowsBetween(-k, -1)
     return F.coalesce(F.max(flag).over(frame), F.lit(False))
 
 
@@ -166,8 +168,8 @@ def period_and_day_return(prices: DataFrame, group: str, start: str, end: str, h
 
 def price_levels(prices: DataFrame) -> DataFrame:
     """All-time and 52-week extremes, drawdown and moving averages on the last session."""
-    w = SYM.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ma = [rolling(F.avg, "close", n, SYM, max(1, n // 2)).alias(f"ma{n}") for n in (20, 50, 200)]
+    w = by_symbol().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ma = [rolling(F.avg, "close", n, by_symbol(), max(1, n // 2)).alias(f"ma{n}") for n in (20, 50, 200)]
     p = prices.select("symbol", "date", "close", "high", "low", F.max("date").over(Window.partitionBy("symbol")).alias("_last"), *ma)
     recent = F.col("date") >= F.date_sub("_last", 364)
     g = p.groupBy("symbol").agg(

@@ -16,12 +16,17 @@ from pyspark.sql import functions as F
 from ..functions.ranking import long_pct_ranks
 from ..functions.scalars import sdiv
 from ..functions.sequential import with_smoothed
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .asof import align_series
 from .returns import momentum_percentile
 
 KEY = ["symbol", "part"]
-W = Window.partitionBy(*KEY).orderBy("rn")
+
+
+def bars():
+    """Window over one series in session order."""
+    return Window.partitionBy(*KEY).orderBy("rn")
+
 
 # Strategies, their parameter presets and default exits.
 STRATEGIES = [
@@ -125,7 +130,9 @@ def base_series(prices: DataFrame, regime: DataFrame, benchmark: DataFrame, look
     w = Window.partitionBy("symbol").orderBy("date")
     for n in sorted(lookbacks):
         mom = momentum_percentile(prices, n).select("symbol", "date", F.col("percentile").alias(f"_m{n}"))
-        p = p.join(mom, ["symbol", "date"], "left").withColumn(f"pct_{n}", F.last(f"_m{n}", ignorenulls=True).over(w)).drop(f"_m{n}")
+        p = p.join(mom, ["symbol", "date"], "left")
+    p = spread(p, "symbol")  # all later windows and folds reuse this layout
+    p = p.select("symbol", "date", "close", "regime", "bench", *[F.last(f"_m{n}", ignorenulls=True).over(w).alias(f"pct_{n}") for n in sorted(lookbacks)])
     return p.withColumn("regime", F.coalesce("regime", F.lit("bear"))).withColumn("part", F.lit("all")).withColumn("rn", F.row_number().over(w))
 
 
@@ -135,12 +142,12 @@ def lookbacks_of(rs: list[Rule]) -> set[int]:
 
 def roll(fn, c: Column | str, n: int, shift: int = 0) -> Column:
     """Rolling aggregate over n rows ending ``shift`` rows back, NULL until complete."""
-    f = W.rowsBetween(-(n - 1) - shift, -shift)
+    f = bars().rowsBetween(-(n - 1) - shift, -shift)
     return F.when(F.count(c).over(f) >= n, fn(c).over(f))
 
 
 def was(flag: Column, k: int) -> Column:
-    return F.coalesce(F.max(F.coalesce(flag, F.lit(False))).over(W.rowsBetween(-k, -1)), F.lit(False))
+    return F.coalesce(F.max(F.coalesce(flag, F.lit(False))).over(bars().rowsBetween(-k, -1)), F.lit(False))
 
 
 def crossed_above(now: Column, before: Column, level: float) -> Column:
@@ -148,7 +155,7 @@ def crossed_above(now: Column, before: Column, level: float) -> Column:
 
 
 def with_indicators(series: DataFrame, rs: list[Rule]) -> DataFrame:
-    """Smoothed columns every rule needs, one Arrow pass; then the squeeze levels."""
+    """Smoothed columns every rule needs, in one Arrow pass."""
     rsi, ema = set(), set()
     for r in rs:
         if r.strategy in ("regime_rsi", "rsi_recovery"):
@@ -157,21 +164,13 @@ def with_indicators(series: DataFrame, rs: list[Rule]) -> DataFrame:
             rsi.add(int(r.c))
         if r.strategy == "trend_pullback":
             ema |= {int(r.a), int(r.b)}
-    out = with_smoothed(series, "close", tuple(sorted(rsi)), tuple(sorted(ema)), keys=tuple(KEY))
-    for r in (r for r in rs if r.strategy == "squeeze"):
-        n, look = int(r.a), int(r.d)
-        bw = f"_bw_{n}"
-        if bw not in out.columns:
-            out = out.withColumn(bw, sdiv(roll(F.stddev_samp, "close", n) * 4, roll(F.avg, "close", n)) * 100)
-        q = f"_tight_{n}_{r.b:g}_{look}".replace(".", "_")
-        if q not in out.columns:
-            out = out.withColumn(q, F.col(bw) <= roll(lambda v: F.percentile(v, F.lit(float(r.b) / 100)), bw, look))
-    return out
+    tight = {(int(r.a), float(r.b), int(r.d)) for r in rs if r.strategy == "squeeze"}
+    return with_smoothed(series, "close", tuple(sorted(rsi)), tuple(sorted(ema)), keys=tuple(KEY), tight=tuple(sorted(tight)))
 
 
 def components(r: Rule) -> tuple[Column, Column, Column]:
     """Closing setup, strategy exit and the displayed indicator of one rule."""
-    close, prev = F.col("close"), F.lag("close").over(W)
+    close, prev = F.col("close"), F.lag("close").over(bars())
     bull = F.col("regime") == "bull"
     never = F.lit(False)
     a, b, c, d = r.a, float(r.b), r.c, float(r.d)
@@ -188,7 +187,7 @@ def components(r: Rule) -> tuple[Column, Column, Column]:
         return setup, (close >= mid) & (prev < pmid), (sdiv(close, low) - 1) * 100
     if r.strategy == "rsi_recovery":
         rsi = F.col(f"rsi_{int(a)}")
-        prsi = F.lag(rsi).over(W)
+        prsi = F.lag(rsi).over(bars())
         setup = was(rsi <= b, 5) & crossed_above(rsi, prsi, d)
         if int(c) > 0:
             setup = setup & (close > roll(F.avg, "close", int(c)))
@@ -202,20 +201,20 @@ def components(r: Rule) -> tuple[Column, Column, Column]:
         return setup & bull, close < roll(F.min, "close", int(b), 1), (sdiv(close, level) - 1) * 100
     if r.strategy == "squeeze":
         n = int(a)
-        tight = F.col(f"_tight_{n}_{r.b:g}_{int(d)}".replace(".", "_"))
+        tight = F.col(f"tight_{n}_{r.b:g}_{int(d)}".replace(".", "_"))
         high, phigh = roll(F.max, "close", int(c), 1), roll(F.max, "close", int(c), 2)
         setup = was(tight, 5) & (close > high) & (prev <= phigh) & bull
-        return setup, close < roll(F.avg, "close", n), F.col(f"_bw_{n}")
+        return setup, close < roll(F.avg, "close", n), F.col(f"bw_{n}")
     if r.strategy == "trend_pullback":
         fast, slow = F.col(f"ema_{int(a)}"), F.col(f"ema_{int(b)}")
-        pfast = F.lag(fast).over(W)
+        pfast = F.lag(fast).over(bars())
         setup = was(close <= fast * (1 + float(c) / 100), int(d)) & (fast > slow) & (close > fast) & (prev <= pfast) & bull
         return setup, (fast < slow) | ((close < fast) & (prev >= pfast)), (sdiv(close, fast) - 1) * 100
     rsi = F.col(f"rsi_{int(c)}")
-    recovered = crossed_above(rsi, F.lag(rsi).over(W), d)
+    recovered = crossed_above(rsi, F.lag(rsi).over(bars()), d)
     if r.strategy == "relative_strength":
         n = int(a)
-        rs = (sdiv(close, F.lag("close", n).over(W)) - sdiv("bench", F.lag("bench", n).over(W))) * 100
+        rs = (sdiv(close, F.lag("close", n).over(bars())) - sdiv("bench", F.lag("bench", n).over(bars()))) * 100
         return (rs >= b) & recovered & bull, rs < 0, rs
     if r.strategy == "cross_momentum":
         pct = F.col(f"pct_{int(a)}")
@@ -223,47 +222,68 @@ def components(r: Rule) -> tuple[Column, Column, Column]:
     raise ValueError(f"Unknown strategy: {r.strategy}")
 
 
-def signals(series: DataFrame, rs: list[Rule]) -> DataFrame:
-    """(symbol, part, rule, rn) rows with setup, strategy exit and indicator."""
+def signal_table(series: DataFrame, rs: list[Rule]) -> DataFrame:
+    """The series with setup, strategy exit and indicator columns of every rule.
+
+    One select, so all frames share one window operator.
+    """
     ind = with_indicators(series, rs)
-    wide = ind
-    cells = []
+    cols = []
     for i, r in enumerate(rs):
         setup, leave, value = components(r)
-        wide = wide.withColumn(f"_s{i}", F.coalesce(setup, F.lit(False))).withColumn(f"_x{i}", F.coalesce(leave, F.lit(False))).withColumn(f"_v{i}", value.cast("double"))
-        cells.append(F.struct(F.lit(r.id).alias("rule"), F.col(f"_s{i}").alias("setup"), F.col(f"_x{i}").alias("leave"), F.col(f"_v{i}").alias("indicator")))
+        cols += [F.coalesce(setup, F.lit(False)).alias(f"_s{i}"), F.coalesce(leave, F.lit(False)).alias(f"_x{i}"), value.cast("double").alias(f"_v{i}")]
     extra = [c for c in ("start",) if c in series.columns]
-    return wide.select(*KEY, "rn", "date", "close", "regime", *extra, F.explode(F.array(*cells)).alias("c")).select(*KEY, "rn", "date", "close", "regime", *extra, "c.*")
+    return ind.select(*KEY, "rn", "date", "close", "regime", *extra, *cols)
+
+
+def signals(series: DataFrame, rs: list[Rule]) -> DataFrame:
+    """(symbol, part, rule, rn) rows with setup, strategy exit and indicator."""
+    cells = [F.struct(F.lit(r.id).alias("rule"), F.col(f"_s{i}").alias("setup"), F.col(f"_x{i}").alias("leave"), F.col(f"_v{i}").alias("indicator")) for i, r in enumerate(rs)]
+    keep = [*KEY, "rn", "date", "close", "regime"]
+    return signal_table(series, rs).select(*keep, F.explode(F.array(*cells)).alias("c")).select(*keep, "c.*")
+
+
+def _mask(prefix: str, rs: list[Rule]) -> Column:
+    return sum((F.when(F.col(f"{prefix}{i}"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(len(rs))), F.lit(0).cast("long"))
 
 
-def trades(sig: DataFrame, combos: DataFrame, longest: int = MAX_HOLD) -> DataFrame:
+def trades(series: DataFrame, rs: list[Rule], combos: DataFrame, longest: int = MAX_HOLD) -> DataFrame:
     """Non-overlapping trades per (symbol, part, combo).
 
     A setup acts at the next session's close. The exit is the first later close
     that meets target, stop, a strategy exit signalled the session before, or
     the holding limit; an open position ends on the last bar and a position
-    that would open there is dropped. Only the choice of the next entry after
-    an exit is sequential: a fold over the few candidates of one series.
+    that would open there is dropped. The setups and exits of all rules travel
+    as bits of one number, so the look-ahead runs once per session and only the
+    sparse candidates meet rules and combos. Only the choice of the next entry
+    after an exit is sequential: a fold over the few candidates of one series.
     ``longest`` is the largest holding limit among the combos.
     """
-    w = Window.partitionBy(*KEY, "rule").orderBy("rn")
-    s = sig.withColumn("entry", F.coalesce(F.lag("setup").over(w), F.lit(False))).withColumn("out", F.coalesce(F.lag("leave").over(w), F.lit(False)))
-    s = s.withColumn("last_rn", F.max("rn").over(Window.partitionBy(*KEY, "rule")))
-    s = s.withColumn("path", F.collect_list(F.struct("close", "out")).over(w.rowsBetween(1, longest)))
-    cand = s.where("entry and rn < last_rn")
-    if "start" in sig.columns:
-        cand = cand.where("part <> 'valid' or date >= start")
-    c = cand.join(F.broadcast(combos.select("combo", "rule", "max_hold", "profit_target", "stop_loss")), "rule")
+    sig = signal_table(series, rs)
+    start = F.col("start") if "start" in series.columns else F.lit(None).cast("date")
+    wide = sig.select(*KEY, "rn", "date", "close", "regime", start.alias("start"), _mask("_s", rs).alias("_sm"), _mask("_x", rs).alias("_xm"))
+    c = wide.select(
+        *KEY, "rn", "date", "close", "regime", "start", F.lag("_sm").over(bars()).alias("_em"),
+        F.max("rn").over(bars().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last_rn"),
+        F.collect_list("close").over(bars().rowsBetween(1, longest)).alias("ahead"),
+        F.collect_list("_xm").over(bars().rowsBetween(0, longest - 1)).alias("leaves"),
+    ).where((F.col("_em") > 0) & (F.col("rn") < F.col("last_rn")))
+    if "start" in series.columns:
+        c = c.where("part <> 'valid' or date >= start")
+    bits = F.create_map(*[x for i, r in enumerate(rs) for x in (F.lit(r.id), F.lit(i))])
+    j = F.broadcast(combos.select("combo", "max_hold", "profit_target", "stop_loss", bits[F.col("rule")].alias("bit")).where("bit is not null"))  # the preset grid
+    c = c.join(j, F.expr("(shiftright(_em, bit) & 1L) = 1L"))
 
     def hit(k: Column) -> Column:
-        step = F.element_at("path", k)
-        up = (F.col("profit_target") > 0) & (step["close"] >= F.col("close") * (1 + F.col("profit_target") / 100))
-        down = (F.col("stop_loss") > 0) & (step["close"] <= F.col("close") * (1 - F.col("stop_loss") / 100))
-        return up | down | step["out"] | (k >= F.col("max_hold"))
-
-    steps = F.sequence(F.lit(1), F.size("path"))
-    c = c.withColumn("held", F.coalesce(F.array_min(F.filter(steps, hit)), F.size("path")))
-    c = c.withColumn("closes", F.slice(F.transform("path", lambda x: x["close"]), 1, F.col("held")))
+        x = F.element_at("ahead", k)
+        up = (F.col("profit_target") > 0) & (x >= F.col("close") * (1 + F.col("profit_target") / 100))
+        down = (F.col("stop_loss") > 0) & (x <= F.col("close") * (1 - F.col("stop_loss") / 100))
+        out = F.call_function("shiftright", F.element_at("leaves", k), F.col("bit")).bitwiseAND(F.lit(1)) == 1
+        return up | down | out | (k >= F.col("max_hold"))
+
+    steps = F.sequence(F.lit(1), F.size("ahead"))
+    c = c.withColumn("held", F.coalesce(F.array_min(F.filter(steps, hit)), F.size("ahead")))
+    c = c.withColumn("closes", F.slice("ahead", 1, F.col("held")))
     t = F.struct("rn", (F.col("rn") + F.col("held")).alias("exit_rn"), "date", "regime", F.col("close").alias("entry_price"), "closes")
     g = c.groupBy(*KEY, "combo").agg(F.array_sort(F.collect_list(t)).alias("ts"))
     kind = g.schema["ts"].dataType.simpleString()

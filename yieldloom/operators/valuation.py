@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import change, clip, row_mean, sdiv
 from .returns import rolling
 
-SYM = Window.partitionBy("symbol")
+def whole():
+    """Window over all rows of one symbol."""
+    return Window.partitionBy("symbol")
 
 
 def assess(hist: DataFrame, ratio: str, asof: str, years: int = 5, min_rows: int = 30) -> DataFrame:
@@ -16,7 +18,7 @@ def assess(hist: DataFrame, ratio: str, asof: str, years: int = 5, min_rows: int
     start = F.date_sub(F.lit(asof).cast("date"), 365 * years)
     h = hist.where(F.col("date") >= start)
     price = h.where("close > 0").groupBy("symbol").agg(F.max_by("close", "date").alias("current_price"))
-    v = h.where(F.col(ratio) > 0).select("symbol", "date", F.col(ratio).alias("v")).withColumn("now", F.max_by("v", "date").over(SYM))
+    v = h.where(F.col(ratio) > 0).select("symbol", "date", F.col(ratio).alias("v")).withColumn("now", F.max_by("v", "date").over(whole()))
     q = {"p5": 0.05, "p10": 0.10, "p45": 0.45, "p55": 0.55, "p90": 0.90, "p95": 0.95}
     g = v.groupBy("symbol", "now").agg(
         F.count("*").alias("observations"), F.median("v").alias("median"),
@@ -34,8 +36,8 @@ def assess(hist: DataFrame, ratio: str, asof: str, years: int = 5, min_rows: int
 
 def fair_value_bands(hist: DataFrame, ratio: str, metric: str) -> DataFrame:
     """Median, p10 and p90 multiple times the per-share figure of every session."""
-    ok = F.count(ratio).over(SYM) >= 4
-    qs = [F.percentile(ratio, F.lit(p)).over(SYM).alias(n) for n, p in (("_med", 0.5), ("_p10", 0.1), ("_p90", 0.9))]
+    ok = F.count(ratio).over(whole()) >= 4
+    qs = [F.percentile(ratio, F.lit(p)).over(whole()).alias(n) for n, p in (("_med", 0.5), ("_p10", 0.1), ("_p90", 0.9))]
     h = hist.select("symbol", "date", "close", metric, ok.alias("_ok"), *qs).where(F.col("_ok") & F.col(metric).isNotNull())
     return h.select("symbol", "date", "close", *[(F.col(q) * F.col(metric)).alias(n) for q, n in (("_med", "fair_value_median"), ("_p10", "fair_value_p10"), ("_p90", "fair_value_p90"))])
 

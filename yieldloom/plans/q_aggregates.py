@@ -121,6 +121,6 @@ def _(m):
     from ..operators.mlprep import feature_stats, forward_returns
 
     pe = U.pe_history(m.closes, m.financials, rate(m)).select("symbol", "date", "pe")
-    sig = F.when(F.col("close") > F.lag("close").over(R.SYM) * 1.04, "buy").otherwise("hold")
+    sig = F.when(F.col("close") > F.lag("close").over(R.by_symbol()) * 1.04, "buy").otherwise("hold")
     d = forward_returns(m.prices.withColumn("trade_signal", sig)).join(pe, ["symbol", "date"])
     return rounded(feature_stats(d), ["symbol", "count_entry_labels"], 6, avg_value=2, avg_pe=4)

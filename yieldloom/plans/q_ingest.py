@@ -274,10 +274,10 @@ def _(m):
 q AS (SELECT symbol, date, close, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY date), close) AS prev FROM prices)
 SELECT symbol, max(date) AS day, arg_max(close,date) AS price, R6{(arg_max(close/prev,date)-1)*100} AS return_1d_pct FROM q GROUP BY symbol""")
 def _(m):
-    from ..operators.returns import SYM
+    from ..operators.returns import by_symbol
 
     root = scratch_path(m.spark, "quotes")
-    q = m.closes.select("symbol", F.col("date").cast("timestamp").alias("ts"), F.col("close").alias("price"), F.coalesce(F.lag("close").over(SYM), "close").alias("prev_close"))
+    q = m.closes.select("symbol", F.col("date").cast("timestamp").alias("ts"), F.col("close").alias("price"), F.coalesce(F.lag("close").over(by_symbol()), "close").alias("prev_close"))
     q.repartition(4).write.parquet(f"{root}/in")
     S.run_latest_quotes(m.spark, f"{root}/in", f"{root}/out", f"{root}/state", files_per_batch=2)
     d = S.read_latest_quotes(m.spark, f"{root}/out")

@@ -230,7 +230,7 @@ TR = "symbol, combo, trade_no, entry_rn, exit_rn, entry_date, regime, entry_pric
 
 @query("L13_trades", f"SELECT {TR} FROM trd_all")
 def _(m):
-    return S.trades(all_signals(m), quick(m)).select(*TR.split(", "))
+    return S.trades(series(m), RULES, quick(m)).select(*TR.split(", "))
 
 
 MET = ["total_return", "win_rate", "avg_trade", "max_drawdown"]
@@ -238,13 +238,13 @@ MET = ["total_return", "win_rate", "avg_trade", "max_drawdown"]
 
 @query("L14_backtest_metrics", "SELECT symbol, combo, trades, bear_entries, bull_entries, " + ", ".join(f"R4{{{c}}} AS {c}" for c in MET) + " FROM met_all")
 def _(m):
-    d = S.metrics(S.trades(all_signals(m), quick(m)))
+    d = S.metrics(S.trades(series(m), RULES, quick(m)))
     return d.select("symbol", "combo", "trades", "bear_entries", "bull_entries", *[rnd(c, 4).alias(c) for c in MET])
 
 
 def holdout(m):
     parts, status = S.split_series(series(m), HOLDOUT, WARM)
-    met = S.metrics(S.trades(S.signals(parts, RULES), quick(m)))
+    met = S.metrics(S.trades(parts, RULES, quick(m)))
     return S.holdout_results(met), status
 
 
@@ -321,7 +321,7 @@ def _(m):
 b AS (SELECT symbol, (arg_max(close,date)/arg_min(close,date)-1)*100 AS bh FROM prices GROUP BY symbol)
 SELECT m.symbol, combo, R4{bh} AS benchmark_return, R4{total_return-bh} AS alpha FROM met_all m JOIN b ON b.symbol=m.symbol""")
 def _(m):
-    d = S.metrics(S.trades(all_signals(m), quick(m))).join(S.buy_and_hold(m.closes), "symbol")
+    d = S.metrics(S.trades(series(m), RULES, quick(m))).join(S.buy_and_hold(m.closes), "symbol")
     return d.select("symbol", "combo", rnd("benchmark_return", 4).alias("benchmark_return"), rnd(F.col("total_return") - F.col("benchmark_return"), 4).alias("alpha"))
 
 
@@ -329,7 +329,7 @@ def _(m):
 l AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn FROM prices), b AS (SELECT * FROM l WHERE rn%11=3), s AS (SELECT symbol, date, close FROM l WHERE rn%17=5)
 SELECT b.symbol, b.date, b.close AS close_buy, s.close AS close_sell, s.date AS sell_date, R6{s.close/b.close*100-100} AS gain, s.date-b.date AS duration FROM b ASOF LEFT JOIN s ON b.symbol=s.symbol AND b.date<=s.date""")
 def _(m):
-    rn = F.row_number().over(R.SYM)
+    rn = F.row_number().over(R.by_symbol())
     lab = m.closes.select("symbol", "date", rn.alias("rn"))
     lab = lab.where("rn % 11 = 3").select("symbol", "date", F.lit("buy").alias("label")).unionByName(lab.where("rn % 17 = 5").select("symbol", "date", F.lit("sell").alias("label")))
     return S.label_trades(m.closes, lab).withColumn("gain", rnd("gain"))

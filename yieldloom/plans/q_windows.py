@@ -10,7 +10,10 @@ from ..operators import returns as R
 from ..operators.dividends import calendar, yearly_dividends
 from .registry import query
 
-OUT = [rnd(c).alias(c) for c in R.SESSION_LAGS]
+
+
+def horizons():
+    return [rnd(c).alias(c) for c in R.SESSION_LAGS]
 
 
 @query("E01_latest_returns", """
@@ -20,7 +23,7 @@ FROM (SELECT symbol, close/lag(close,5) OVER w - 1 AS return_7d, close/lag(close
              row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn
       FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE rn = 1""")
 def _(m):
-    return R.latest_returns(m.prices).select("symbol", *OUT)
+    return R.latest_returns(m.prices).select("symbol", *horizons())
 
 
 @query("E02_calendar_returns", """
@@ -32,7 +35,7 @@ ASOF LEFT JOIN prices p365 ON a.symbol=p365.symbol AND p365.date <= a.date - 365
 ASOF LEFT JOIN prices p3650 ON a.symbol=p3650.symbol AND p3650.date <= a.date - 3650)
 SELECT symbol, date, close, R6{close/c7-1} AS return_7d, R6{close/c30-1} AS return_1m, R6{close/c365-1} AS return_1y, R6{close/c3650-1} AS return_10y FROM s""")
 def _(m):
-    return R.calendar_returns(m.prices).select("symbol", "date", "close", *OUT)
+    return R.calendar_returns(m.prices).select("symbol", "date", "close", *horizons())
 
 
 @query("E03_session_return", """
@@ -96,7 +99,7 @@ def _(m):
 f AS (SELECT symbol, date, close < lag(close) OVER (PARTITION BY symbol ORDER BY date) * 0.95 AS dip FROM prices)
 SELECT symbol, date, coalesce(max(dip) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), false) AS dip_before FROM f""")
 def _(m):
-    f = m.closes.select("symbol", "date", (F.col("close") < F.lag("close").over(R.SYM) * 0.95).alias("dip"))
+    f = m.closes.select("symbol", "date", (F.col("close") < F.lag("close").over(R.by_symbol()) * 0.95).alias("dip"))
     return f.select("symbol", "date", R.any_before("dip", 5).alias("dip_before"))
 
 

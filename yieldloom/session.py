@@ -52,3 +52,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, survives the loss of executors."""
     scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning by key over all shuffle partitions, kept as it is at run time.
+
+    For stages that compute far more than they read: small partitions would
+    otherwise be merged into a few slow tasks. Windows, folds and groupings on
+    these keys (or on more keys) need no further shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
