@@ -15,6 +15,21 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def symbol_of(key):
+    """Ticker of a company number; made after grouping, so shuffles carry the number."""
+    text = F.col(key).cast("string") if isinstance(key, str) else key.cast("string")
+    return F.concat(F.lit("S"), F.lpad(text, F.greatest(F.length(text), F.lit(6)), F.lit("0")))
+
+
+def cents(c: str):
+    """A non-negative two-decimal number in hundredths, without decimal rounding per row."""
+    return F.floor(F.col(c) * 100 + 0.5)
+
+
+def trend_of(date: str = "date"):
+    return 1000 + (F.col("sk") % 7 - 1) * ((F.year(date) - 1995) * 12 + F.month(date))
+
+
 ASOF = "2001-11-30"  # stands for "today" in every clock-dependent operator
 
 
@@ -31,28 +46,17 @@ class Market:
         """One row per trade print, in exact integer units."""
         li = self.table("lineitem")
         return li.select(
-            F.col("l_suppkey").alias("sk"),
-            F.format_string("S%06d", "l_suppkey").alias("symbol"),
-            F.col("l_shipdate").cast("date").alias("date"),
-            F.round(F.col("l_discount") * 100).cast("long").alias("disc"),
-            F.round(F.col("l_tax") * 100).cast("long").alias("tax"),
-            F.col("l_quantity").cast("long").alias("qty"),
-            F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
-            F.col("l_returnflag").alias("flag"),
-            "l_orderkey", "l_linenumber",
-            (F.col("l_suppkey") % 9 + 1).alias("level"),
-            (
-                1000 + (F.col("l_suppkey") % 7 - 1)
-                * ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate"))
-            ).alias("trend"),
-        )
+            F.col("l_suppkey").alias("sk"), F.col("l_shipdate").cast("date").alias("date"),
+            cents("l_discount").alias("disc"), cents("l_tax").alias("tax"), F.col("l_quantity").cast("long").alias("qty"),
+            cents("l_extendedprice").alias("cents"), F.col("l_returnflag").alias("flag"), "l_orderkey", "l_linenumber",
+        ).select("*", symbol_of("sk").alias("symbol"), (F.col("sk") % 9 + 1).alias("level"), trend_of().alias("trend"))
 
     @cached_property
     def prices(self) -> DataFrame:
-        p = self.prints.groupBy("symbol", "sk", "level", "trend", "date").agg(
+        p = self.prints.groupBy("sk", "date").agg(
             F.count("*").alias("n"), F.sum("disc").alias("d"),
             F.max("disc").alias("dx"), F.min("disc").alias("dn"), F.sum("qty").alias("q"),
-        )
+        ).select("*", symbol_of("sk").alias("symbol"), (F.col("sk") % 9 + 1).alias("level"), trend_of().alias("trend"))
         scale = F.col("trend") * F.col("level")
         close_c = F.floor((100 * F.col("n") + F.col("d")) * scale / F.col("n"))
         high_c = (100 + F.col("dx")) * scale
@@ -73,10 +77,8 @@ class Market:
     def dividends(self) -> DataFrame:
         p = self.prints.where("flag = 'R'").withColumn("year", F.year("date"))
         p = p.withColumn("half", F.when(F.month("date") > 6, 2).otherwise(1)).where("(sk + year) % 6 <> 0")
-        g = p.groupBy("symbol", "sk", "level", "year", "half").agg(
-            F.min("date").alias("date"), F.count("*").alias("n"), F.sum("tax").alias("t"),
-            F.min_by("trend", "date").alias("trend"),
-        )
+        g = p.groupBy("sk", "year", "half").agg(F.min("date").alias("date"), F.count("*").alias("n"), F.sum("tax").alias("t"))
+        g = g.select("*", symbol_of("sk").alias("symbol"), (F.col("sk") % 9 + 1).alias("level"), trend_of().alias("trend"))
         return g.select(
             "symbol", "date",
             (F.floor((1000 * F.col("n") + 500 * F.col("t")) * F.col("trend") * F.col("level") / (1000 * F.col("n"))) / 100).alias("adjDividend"),
@@ -89,7 +91,7 @@ class Market:
     def financials(self) -> DataFrame:
         p = self.prints.withColumn("calendarYear", F.year("date")).withColumn("q", F.quarter("date"))
         margin = F.when(F.col("sk") % 4 == 0, 50).otherwise(120)
-        g = p.groupBy("symbol", "sk", "calendarYear", "q").agg(
+        g = p.groupBy("sk", "calendarYear", "q").agg(
             F.sum(F.col("cents") * (100 - F.col("disc"))).alias("rev"),
             F.sum(F.col("cents") * (margin - 10 * F.col("tax"))).alias("ni"),
         )
@@ -98,7 +100,7 @@ class Market:
         rev = F.when(usd, F.floor(F.col("rev") / 150000.0) * 1000).otherwise(F.floor(F.col("rev") / 10000.0) * 1000000)
         ni = F.when(usd, F.floor(F.col("ni") / 1500000.0) * 1000).otherwise(F.floor(F.col("ni") / 100000.0) * 1000000)
         return g.select(
-            "symbol", F.expr("make_date(calendarYear, q * 3, 1)").alias("date"), "calendarYear",
+            symbol_of("sk").alias("symbol"), F.expr("make_date(calendarYear, q * 3, 1)").alias("date"), "calendarYear",
             F.concat(F.lit("Q"), F.col("q").cast("string")).alias("period"),
             rev.cast("double").alias("revenue"), ni.cast("double").alias("netIncome"),
             (ni.cast("double") / shares.cast("double")).alias("eps"),
@@ -109,7 +111,7 @@ class Market:
     def _orders_fx(self) -> DataFrame:
         return self.table("orders").select(
             F.col("o_orderdate").cast("date").alias("date"), "o_orderpriority",
-            F.round(F.col("o_totalprice") * 100).cast("long").alias("c"),
+            cents("o_totalprice").alias("c"),
         )
 
     @cached_property
@@ -128,7 +130,7 @@ class Market:
         return (
             s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
             .select(
-                F.col("s_suppkey").alias("sk"), F.format_string("S%06d", "s_suppkey").alias("symbol"),
+                F.col("s_suppkey").alias("sk"), symbol_of("s_suppkey").alias("symbol"),
                 F.col("s_name").alias("companyName"), F.col("r_name").alias("sector"),
                 F.col("n_name").alias("industry"), F.floor(F.abs("s_acctbal")).alias("bal"),
             )
@@ -137,7 +139,7 @@ class Market:
     @cached_property
     def shares(self) -> DataFrame:
         return self.table("supplier").select(
-            F.format_string("S%06d", "s_suppkey").alias("symbol"),
+            symbol_of("s_suppkey").alias("symbol"),
             ((F.col("s_suppkey") % 5 + 1) * 500000000).cast("double").alias("outstandingShares"),
         )
 
@@ -165,20 +167,20 @@ class Market:
     def compliant(self) -> DataFrame:
         """Compliance list: code without the exchange suffix."""
         return self.table("supplier").where("s_suppkey % 3 <> 1").select(
-            (F.col("s_suppkey") + 1).alias("No."), F.format_string("S%06d", "s_suppkey").alias("Kode"),
+            (F.col("s_suppkey") + 1).alias("No."), symbol_of("s_suppkey").alias("Kode"),
             F.col("s_name").alias("Nama Emiten"),
         )
 
     @cached_property
     def index_prices(self) -> DataFrame:
         p = self.closes.join(self.companies.select("symbol", F.col("sector").alias("index")), "symbol")
-        g = p.groupBy("index", "date").agg(F.sum(F.round(F.col("close") * 100).cast("long")).alias("s"), F.count("*").alias("n"))
+        g = p.groupBy("index", "date").agg(F.sum(cents("close")).alias("s"), F.count("*").alias("n"))
         return g.select("index", "date", (F.floor(F.col("s") / F.col("n")) / 100).alias("close"))
 
     @cached_property
     def benchmark(self) -> DataFrame:
         """The home index: one close per date over all symbols."""
-        g = self.closes.groupBy("date").agg(F.sum(F.round(F.col("close") * 100).cast("long")).alias("s"), F.count("*").alias("n"))
+        g = self.closes.groupBy("date").agg(F.sum(cents("close")).alias("s"), F.count("*").alias("n"))
         return g.select("date", (F.floor(F.col("s") / F.col("n")) / 100).alias("close"))
 
     @cached_property
@@ -189,10 +191,10 @@ class Market:
 
     @cached_property
     def holdings(self) -> DataFrame:
-        g = self.trades.groupBy("holder", "symbol").agg(
+        g = self.trades.groupBy("holder", "sk").agg(
             F.sum("qty").alias("lots"), F.sum(F.col("qty") * (100 + F.col("disc")) * F.col("level") * 10).alias("v"),
         )
-        return g.select("holder", "symbol", F.col("lots").cast("double").alias("lots"), (F.floor(F.col("v") / F.col("lots")).cast("double")).alias("avg_price"))
+        return g.select("holder", symbol_of("sk").alias("symbol"), F.col("lots").cast("double").alias("lots"), (F.floor(F.col("v") / F.col("lots")).cast("double")).alias("avg_price"))
 
     @cached_property
     def payments(self) -> DataFrame:
