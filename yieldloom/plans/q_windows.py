@@ -121,8 +121,8 @@ def _(m):
 
 
 @query("E11_adjusted_ewm", """
-yd AS (SELECT symbol, year(date) AS y, sum(adjDividend) AS v FROM dividends GROUP BY ALL),
-i AS (SELECT symbol, y, v - lag(v) OVER (PARTITION BY symbol ORDER BY y) AS inc, row_number() OVER (PARTITION BY symbol ORDER BY y) AS t FROM yd),
+yq AS (SELECT symbol, year(date) AS y, sum(adjDividend) AS v FROM dividends GROUP BY ALL),
+i AS (SELECT symbol, y, v - lag(v) OVER (PARTITION BY symbol ORDER BY y) AS inc, row_number() OVER (PARTITION BY symbol ORDER BY y) AS t FROM yq),
 p AS (SELECT a.symbol, a.y, sum(b.inc*pow(1/3.0, a.t-b.t))/sum(pow(1/3.0, a.t-b.t)) AS ew
  FROM i a JOIN i b ON a.symbol=b.symbol AND b.t<=a.t AND b.inc IS NOT NULL GROUP BY ALL)
 SELECT i.symbol, i.y AS year, R6{inc} AS inc, R6{ew} AS ewm FROM i LEFT JOIN p ON i.symbol=p.symbol AND i.y=p.y""")
