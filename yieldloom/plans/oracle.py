@@ -7,6 +7,7 @@ zero. Only the shared tables that a query names are put in front of it.
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from .market import ASOF
 
@@ -100,18 +101,34 @@ def _rounded(text: str) -> str:
         text = f"{text[:m.start()]}(round(CAST({text[m.end():i - 1]} AS DOUBLE), {m.group(1)}) + 0.0){text[i:]}"
 
 
+def _dated(text: str) -> str:
+    return text.replace(":asof", f"DATE '{ASOF}'")
+
+
+@cache
+def _prepared(name: str, sql: str) -> tuple[str, frozenset[str]]:
+    """One shared table as written into a query, and the tables it names."""
+    return f"{name} AS ({_rounded(_dated(sql))})", _named(sql)
+
+
+def _named(text: str) -> frozenset[str]:
+    return frozenset(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", text)) & CTES.keys()
+
+
 def expand(body: str) -> str:
-    body = body.strip().replace(":asof", f"DATE '{ASOF}'")
+    body = _dated(body.strip())
     need: set[str] = set()
-    todo = [body]
+    todo = list(_named(body))
     while todo:
-        text = todo.pop()
-        for name in CTES:
-            if name not in need and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
-                need.add(name)
-                todo.append(CTES[name])
-    head = [f"{n} AS ({s.replace(':asof', f'DATE {chr(39)}{ASOF}{chr(39)}')})" for n, s in CTES.items() if n in need]
+        name = todo.pop()
+        if name not in need:
+            need.add(name)
+            todo += _prepared(name, CTES[name])[1]
+    head = [_prepared(n, s)[0] for n, s in CTES.items() if n in need]
+    body = _rounded(body)
     sep = "" if body.upper().startswith(("SELECT", "FROM")) else ", "
-    if not head:
-        return _rounded("WITH RECURSIVE " + body if sep else body)
-    return _rounded("WITH RECURSIVE " + ",\n".join(head) + sep + "\n" + body).replace("<:,>", "{:,}")
+    if head:
+        body = "WITH RECURSIVE " + ",\n".join(head) + sep + "\n" + body
+    elif sep:
+        body = "WITH RECURSIVE " + body
+    return body.replace("<:,>", "{:,}")
