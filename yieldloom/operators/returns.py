@@ -21,8 +21,8 @@ DAY_LAGS = {"return_7d": 7, "return_1m": 30, "return_1y": 365, "return_10y": 365
 def latest_returns(prices: DataFrame) -> DataFrame:
     """Return over fixed numbers of sessions, on each symbol's last session."""
     cols = [change("close", F.lag("close", n).over(by_symbol())).alias(k) for k, n in SESSION_LAGS.items()]
-    last = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
-    return prices.select("symbol", *cols, last.alias("_rn")).where("_rn = 1").drop("_rn")
+    newest = F.lead("date").over(by_symbol()).isNull()  # same window, no second sort
+    return prices.select("symbol", *cols, newest.alias("_newest")).where("_newest").drop("_newest")
 
 
 def calendar_returns(prices: DataFrame) -> DataFrame:
