@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,17 +27,17 @@ def local_session(cores: int = 8, name: str = "yieldloom") -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and staged files.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master without
-    that setting may fall back to a folder of its own.
+    The session names it in ``spark.checkpoint.dir``. Where it is unset, a
+    folder beside the tables of the session's warehouse is taken, which every
+    executor reaches as well; no machine-local temporary folder is ever used.
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes checkpoints
+    that are no longer referenced; staged tables stay until the folder is
+    emptied, so a cluster should give the folder an expiry.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="yieldloom-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir() or named
 
