@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality
+from . import chat, exact_dedup, langid, mixing, quality, toxicity
+from .common import doc_remainder, stage
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir)
+    held = F.coalesce(doc_remainder("doc_id", 4) == 2, F.lit(False))
+    model = langid.fit_languages(d.where(~held).select("doc_id", "text", "lang"))
+    return langid.identify(d, model, held_out=held)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).select("doc_id", "source", mixing.n_words("text").alias("size"))
     mixed = mixing.mix_sources(mixing.with_quality(d, spark.read.parquet(f"{sf_dir}/labels.parquet")), weight="quality_weight")
@@ -39,6 +47,20 @@ FROM r
 """
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digest_chats(chat.read_chats(stage(chat.format_chats(turns), "chats")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir)
+    held = F.coalesce(doc_remainder("doc_id", 5) == 0, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.fit_toxicity(d.where(~held).select("doc_id", "text").join(labels.where("toxic is not null"), "doc_id").select("text", "toxic"))
+    return toxicity.score_toxicity(d, model, held_out=held)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -56,7 +78,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op7_exact_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op4_chat_format, op5_toxicity, op7_exact_dedup, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
