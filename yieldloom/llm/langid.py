@@ -125,7 +125,7 @@ def fit_languages(train: DataFrame, id_col: str = "doc_id", clusters: int = 4, p
             v = vectors(gram_counts(b.column("text").to_pylist()), idf)
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([r.tobytes() for r in v], pa.binary())], names=["lang", "v"])
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key, pdf):
         x = np.stack([np.frombuffer(v, np.float32) for v in sorted(pdf["v"])])
         m = spherical_kmeans(x, clusters)
         limit = float(np.quantile((x @ m.T).max(1), reject))
