@@ -72,8 +72,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
     held = F.coalesce(doc_remainder("doc_id", 5) == 0, F.lit(False))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.fit_toxicity(d.where(~held).select("doc_id", "text").join(labels.where("toxic is not null"), "doc_id").select("text", "toxic"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic is not null")
+    model = toxicity.fit_toxicity(d.where(~held).select("doc_id", "text").join(labels.hint("shuffle_hash"), "doc_id").select("text", "toxic"))
     return toxicity.score_toxicity(d, model, held_out=held)
 
 
