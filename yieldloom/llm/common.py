@@ -56,3 +56,10 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
 
 def pack(*arrays, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, types, strict=True)], names=names)
+
+
+def vocabulary(name: str) -> str:
+    """Where the installed public tokenizer files have ``name``; every executor has them at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, ngram_join, quality, toxicity
-from .common import doc_remainder, stage
+from . import chat, exact_dedup, langid, mixing, ngram_join, pieces_fst, quality, toxicity
+from .common import doc_remainder, stage, vocabulary
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,12 +89,16 @@ FROM n
 """
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_fst.encode_pieces(_docs(spark, sf_dir), vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_ngram_join, op4_chat_format, op5_toxicity, op7_exact_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_ngram_join, op4_chat_format, op5_toxicity, op7_exact_dedup, op8_sentencepiece, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
