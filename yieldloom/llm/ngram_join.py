@@ -7,13 +7,15 @@ if the query's overlap with the group's token union can reach the threshold.
 1. Token frequencies over all documents give the order "rare first". The most
    frequent tokens, at most ``HOT_MAX``, travel to the tasks; the table only
    orders tokens, so its bound changes no result.
-2. A document with n tokens that links to another must share one of its first
-   n - ceil(0.85 n) + 1 tokens in that order with the other's. These prefix
+2. A document with n tokens that links to another shares at least ceil(0.85 n)
+   with it; all but ceil(0.85 n) - m of its tokens are among its first
+   n - ceil(0.85 n) + m in that order, so two linked documents share at least
+   the smaller m of such prefixes. m is a twentieth of n, plus one. The prefix
    tokens per group are the stored matrix. A group is the smallest hash among a
    document's common tokens if these prevail, else among its rare ones, so near
    copies meet and documents that only share a passage do not.
-3. Groups that share a matrix entry are the candidates. Groups are cut into
-   blocks of about ``BLOCK`` sets. Blocks are first linked inside, then by one
+3. Groups that share at least the smallest m of their members in matrix entries
+   are the candidates. Groups are cut into blocks of about ``BLOCK`` sets. Blocks are first linked inside, then by one
    pivot of each local component; only blocks that are not yet entirely in one
    component are opened against each other, and there only documents whose
    overlap with the block's token union reaches the bound are compared.
@@ -82,6 +84,11 @@ def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return (percent * n + 99) // 100
 
 
+def lead(n: int) -> int:
+    """Prefix tokens that two linked documents share at least."""
+    return n // 20 + 1
+
+
 def _short(tokens: np.ndarray) -> np.ndarray:
     """40 bits are enough to tell frequent tokens; an accidental meeting only changes the order."""
     return tokens >> np.uint64(24)
@@ -126,12 +133,13 @@ def frequent_tokens(src: DataFrame, k: int, ranges: int) -> tuple[np.ndarray, np
 def _describe(hot: np.ndarray, freq: np.ndarray, k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            ns, sigs, groups, prefixes = [], [], [], []
+            ns, sigs, groups, prefixes, leads = [], [], [], [], []
             sent: set = set()  # a slice sends a group's frequent token once, and the tokens of equal sets once
             for raw in as_bytes(b.column("text")):
                 t = shingle_set(raw, k)
                 n = len(t)
                 ns.append(n)
+                leads.append(lead(n))
                 if not n:
                     sigs.append(None), groups.append(None), prefixes.append([])
                     continue
@@ -148,14 +156,14 @@ def _describe(hot: np.ndarray, freq: np.ndarray, k: int, percent: int):
                     prefixes.append([])
                     continue
                 sent.add(sigs[-1])
-                first = np.argsort(rank, kind="stable")[: n - need(n, percent) + 1]  # ties stay in hash order
+                first = np.argsort(rank, kind="stable")[: n - need(n, percent) + leads[-1]]  # ties stay in hash order
                 tokens, rare = t[first].astype(np.int64), rank[first] == 0
                 again = [x for x in tokens[~rare].tolist() if (groups[-1], x) not in sent]
                 sent.update((groups[-1], x) for x in again)
                 prefixes.append(tokens[rare].tolist() + again)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "sig", "grp", "prefix"],
+                [b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(leads, pa.int64())],
+                names=["doc_id", "n_shingles", "sig", "grp", "prefix", "lead"],
             )
 
     return run
@@ -296,17 +304,20 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hot, freq = frequent_tokens(src, k, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = stage(
-        src.mapInArrow(_describe(hot, freq, k, percent), "doc_id long, n_shingles long, sig binary, grp long, prefix array<long>").withColumn("row_id", F.monotonically_increasing_id()),
+        src.mapInArrow(_describe(hot, freq, k, percent), "doc_id long, n_shingles long, sig binary, grp long, prefix array<long>, lead long").withColumn("row_id", F.monotonically_increasing_id()),
         "ngram-rows",
     )
-    sets = stage(rows.where("sig is not null").groupBy("sig").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("first_id"), F.min("grp").alias("grp")), "ngram-sets")
+    sets = stage(rows.where("sig is not null").groupBy("sig").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("first_id"), F.min("grp").alias("grp"), F.min("lead").alias("lead")), "ngram-sets")
 
     # the matrix: tokens that more than one group holds
     cells = rows.where("grp is not null").select("grp", F.explode("prefix").alias("token")).repartition("token").dropDuplicates(["token", "grp"])
     held = cells.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     matrix = stage(cells.join(held.hint("shuffle_hash"), "token", "left_semi"), "ngram-matrix")
     other = matrix.select("token", F.col("grp").alias("gb"))
-    cand = stage(matrix.select("token", F.col("grp").alias("ga")).join(other, "token").where("ga < gb").select("ga", "gb").distinct(), "ngram-candidates")
+    shared = matrix.select("token", F.col("grp").alias("ga")).join(other, "token").where("ga < gb").groupBy("ga", "gb").agg(F.count("*").alias("n"))
+    leads = sets.groupBy("grp").agg(F.min("lead").alias("lead"))
+    bounded = shared.join(leads.toDF("ga", "la"), "ga").join(leads.toDF("gb", "lb"), "gb").where("n >= least(la, lb)")
+    cand = stage(bounded.select("ga", "gb"), "ngram-candidates")
 
     sizes = sets.groupBy("grp").agg(F.count("*").alias("size"))
     paired = cand.select(F.col("ga").alias("grp")).union(cand.select(F.col("gb").alias("grp"))).distinct()
