@@ -15,13 +15,37 @@ from ..session import scratch_path
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+_STAGED: dict[str, str] = {}  # folders of staged tables
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared scratch folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged_at = path
+    _STAGED[path] = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more (all that was made from them is staged itself)."""
+    for t in tables:
+        _delete(t.sparkSession, t._staged_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table this process has staged; only for callers whose results are written elsewhere."""
+    for path in list(_STAGED):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if _STAGED.pop(path, None):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:

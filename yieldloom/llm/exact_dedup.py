@@ -47,27 +47,31 @@ def _bodies(width: int):
                     pa.array([len(x) <= width for x in raw], pa.bool_()),
                     pa.array([x[width:] for x in raw], pa.binary()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
+                    b.column("row_id"),
                 ],
-                names=["doc_id", "digit", "ends", "rest", "text_sha256"],
+                names=["doc_id", "digit", "ends", "rest", "text_sha256", "row_id"],
             )
 
     return run
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = 64, widen: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = 64, widen: int = 8, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row_id.
 
     Texts are equal when identical after lower-casing A-Z; NULL counts as
     empty, so NULL and empty texts form one group. Of equal texts the row with
     the largest id stays; NULL ids lose against any id; of repeated rows with
     the same id and text one stays. An empty table gives an empty result; other
-    columns are not read.
+    columns are not read. ``row_col`` names a unique row number that ``row_id``
+    then repeats.
     """
-    spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    number = F.lit(None).cast("long") if row_col is None else F.col(row_col).cast("long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), number.alias("row_id"))
     found = src.mapInArrow(_digits(first), "doc_id long, digit binary, ends boolean")
     level, parts = 0, []
-    state = src.mapInArrow(_bodies(first), "doc_id long, digit binary, ends boolean, rest binary, text_sha256 string").withColumn("row_id", F.monotonically_increasing_id())
+    state = src.mapInArrow(_bodies(first), "doc_id long, digit binary, ends boolean, rest binary, text_sha256 string, row_id long")
+    if row_col is None:
+        state = state.withColumn("row_id", F.monotonically_increasing_id())
     width, keys = first, ["digit", "ends"]
     while True:
         groups = stage(

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, stage
+from .common import as_bytes, pieces, stage, unstage
 from .components import connected
 
 HOT_MAX = 1 << 18
@@ -162,8 +162,8 @@ def _describe(hot: np.ndarray, freq: np.ndarray, k: int, percent: int):
                 sent.update((groups[-1], x) for x in again)
                 prefixes.append(tokens[rare].tolist() + again)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(leads, pa.int64())],
-                names=["doc_id", "n_shingles", "sig", "grp", "prefix", "lead"],
+                [b.column("doc_id"), b.column("row_id"), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(leads, pa.int64())],
+                names=["doc_id", "row_id", "n_shingles", "sig", "grp", "prefix", "lead"],
             )
 
     return run
@@ -292,8 +292,10 @@ def _relabel(table: DataFrame, roots: DataFrame) -> DataFrame:
     return j.withColumn("comp", F.coalesce("root", "comp")).drop("vertex", "root")
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block: int = BLOCK, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links, itself included), component, row_id.
+
+    ``component`` numbers the components (NULL for empty sets); ``row_col`` names a unique row number that ``row_id`` repeats.
 
     Texts without words (NULL, empty, white space) have an empty set and link
     with nothing, not even each other. Repeated rows link with each other; rows
@@ -301,13 +303,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    number = F.lit(None).cast("long") if row_col is None else F.col(row_col).cast("long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), number.alias("row_id"))
     hot, freq = frequent_tokens(src, k, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = stage(
-        src.mapInArrow(_describe(hot, freq, k, percent), "doc_id long, n_shingles long, sig binary, grp long, prefix array<long>, lead long").withColumn("row_id", F.monotonically_increasing_id()),
-        "ngram-rows",
-    )
-    sets = stage(rows.where("sig is not null").groupBy("sig").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("first_id"), F.min("grp").alias("grp"), F.min("lead").alias("lead")), "ngram-sets")
+    described = src.mapInArrow(_describe(hot, freq, k, percent), "doc_id long, row_id long, n_shingles long, sig binary, grp long, prefix array<long>, lead long")
+    rows = stage(described.withColumn("node", F.monotonically_increasing_id()), "ngram-rows")
+    sets = stage(rows.where("sig is not null").groupBy("sig").agg(F.min("node").alias("node"), F.min("doc_id").alias("first_id"), F.min("grp").alias("grp"), F.min("lead").alias("lead")), "ngram-sets")
 
     # the matrix: tokens that more than one group holds
     cells = rows.where("grp is not null").select("grp", F.explode("prefix").alias("token")).repartition("token").dropDuplicates(["token", "grp"])
@@ -330,12 +331,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield b.filter(pa.array(ok, pa.bool_())).drop_columns(["sig"])
 
     slim = members.select(F.col("first_id").alias("doc_id"), "sig", "grp", "blk", "node")
-    found = src.join(slim.hint("shuffle_hash"), "doc_id").select("grp", "blk", "node", "sig", "text")
-    texts = stage(found.mapInArrow(same, "grp long, blk int, node long, text string"), "ngram-texts").dropDuplicates(["node"])
+    found = src.drop("row_id").join(slim.hint("shuffle_hash"), "doc_id").select("grp", "blk", "node", "sig", "text")
+    written = stage(found.mapInArrow(same, "grp long, blk int, node long, text string"), "ngram-texts")
+    texts = written.dropDuplicates(["node"])
 
     ordered = texts.repartition("grp", "blk").sortWithinPartitions("grp", "blk")
     local = ordered.mapInArrow(_local(k, percent), "node long, comp long")
     placed = stage(local.join(texts, "node").select("node", "comp", "grp", "blk", "text"), "ngram-local")
+    unstage(written, matrix)
 
     # one pivot of each local component: block 0 against the other blocks of its group, and against block 0 of candidate groups
     star = members.where("blk > 0").select(F.col("grp").alias("ga"), F.lit(0).alias("ba"), F.col("grp").alias("gb"), F.col("blk").alias("bb")).distinct()
@@ -359,9 +362,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     now = joined.join(placed.select("node", "text"), "node")
     more = stage(_compare(rest, now, k, percent), "ngram-more")
     final = _relabel(joined, connected(more)).select("node", "comp")
+    unstage(placed, edges, more)
 
     # back to documents: vertices that were never compared are components of their own
     label = sets.join(final, "node", "left").select("sig", "first_id", F.coalesce("comp", "node").alias("comp"))
     least = label.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = label.join(least, "comp").select("sig", "component_id")
-    return rows.select("doc_id", "n_shingles", "sig").join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = label.join(least, "comp").select("sig", "component_id", F.col("comp").alias("component"))
+    back = rows.select("doc_id", "n_shingles", "sig", "row_id").join(named, "sig", "left")
+    return back.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", "row_id")

@@ -92,6 +92,26 @@ def verdict(raw: bytes, z: zstandard.ZstdCompressor, bands: list[tuple[int, floa
     return ratio, below / n, above / n, reason
 
 
+def judge(raw: bytes, z: zstandard.ZstdCompressor, bands: list[tuple[int, float, float]], chunk: int, share: float) -> tuple:
+    """The result columns of one text."""
+    m = measure(raw)
+    failed = m[0] < 50 or 100 * m[4] > 50 * m[0]
+    v = verdict(raw, z, bands, chunk, share)
+    return (*m, failed, not failed and not v[3], *v)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", bands: list[tuple[int, float, float]] | None = None, chunk: int = CHUNK, share: float = 0.5, level: int = 3) -> DataFrame:
+    """The rows whose text ``quality_rules`` keeps, with all their columns; nothing is shuffled."""
+    limits = bands or BANDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
+        for b in pieces(batches, text_col):
+            yield b.filter(pa.array([judge(raw, z, limits, chunk, share)[6] for raw in as_bytes(b.column(text_col))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: list[tuple[int, float, float]] | None = None,
     chunk: int = CHUNK, share: float = 0.5, level: int = 3,

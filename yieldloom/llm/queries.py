@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, ngram_join, pieces_fst, quality, toxicity
+from . import chat, exact_dedup, langid, lm, mixing, ngram_join, pieces_fst, quality, toxicity
 from .common import doc_remainder, stage, vocabulary
 
 
@@ -48,7 +48,7 @@ FROM r
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_components(_docs(spark, sf_dir))
+    return ngram_join.ngram_components(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 SQL_OP3 = r"""
@@ -97,8 +97,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_docs(spark, sf_dir))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(_docs(spark, sf_dir), doc_remainder("doc_id", 7) == 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_ngram_join, op4_chat_format, op5_toxicity, op7_exact_dedup, op8_sentencepiece, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_ngram_join, op4_chat_format, op5_toxicity, op7_exact_dedup, op8_sentencepiece, op9_quality_rules, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
