@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, lm, mixing, ngram_join, pieces_fst, quality, toxicity
+from . import chat, exact_dedup, id_coder, langid, lm, mixing, ngram_join, pieces_fst, quality, toxicity
 from .common import doc_remainder, stage, vocabulary
 
 
@@ -77,6 +77,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(d, model, held_out=held)
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = id_coder.write_ids(_docs(spark, sf_dir), vocabulary("word_bpe_49k.json"), end=2)
+    return id_coder.read_ids(files)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -102,7 +107,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_ngram_join, op4_chat_format, op5_toxicity, op7_exact_dedup, op8_sentencepiece, op9_quality_rules, op10_language_model)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_ngram_join, op4_chat_format, op5_toxicity, op6_token_ids, op7_exact_dedup, op8_sentencepiece, op9_quality_rules, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
