@@ -4,6 +4,7 @@ import datetime as dt
 
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from yieldloom.functions.sequential import with_smoothed
@@ -120,14 +121,14 @@ def test_survival_quantile_by_hand(spark):
 
 def test_trades_do_not_overlap_or_start_on_the_last_bar(spark):
     # falls below the oversold level stay on, so every bar after the warm-up is a setup
-    closes = [100 - 0.1 * i for i in range(40)]
+    closes = [100 - 0.1 * i for i in range(140)]
     px = prices(spark, closes)
     rule = S.Rule("regime_rsi", 2, 101, 5, 101)
     series = px.withColumn("regime", F.lit("bear")).withColumn("bench", F.col("close")).withColumn("part", F.lit("all")).withColumn("rn", F.row_number().over(R.by_symbol()))
     combos = spark.createDataFrame([(0, rule.id, 3, 5.0, 50.0)], "combo int, rule string, max_hold int, profit_target double, stop_loss double")
-    t = S.trades(series, [rule], combos, 3).orderBy("trade_no").collect()
+    t = S.trades(series, [rule], combos).orderBy("trade_no").collect()
     assert t and all(a["exit_rn"] < b["entry_rn"] for a, b in zip(t, t[1:]))
-    assert all(x["exit_rn"] - x["entry_rn"] <= 3 for x in t) and t[-1]["entry_rn"] < 40
+    assert all(x["exit_rn"] - x["entry_rn"] <= 3 for x in t) and t[-1]["entry_rn"] < 140
     assert t[0]["exit_rn"] - t[0]["entry_rn"] == 3 and t[1]["entry_rn"] == t[0]["exit_rn"] + 1
 
 
@@ -165,16 +166,79 @@ def test_cleaning_drops_bad_rows_and_keeps_the_last(spark):
 
 def test_upsert_corrections_win_and_failed_write_keeps_the_table(spark, tmp_path):
     path = str(tmp_path / "px")
-    K.upsert_prices(spark, path, prices(spark, [90, 91]))
-    K.upsert_prices(spark, path, prices(spark, [100]))
-    read = lambda: {r["date"]: r["close"] for r in spark.read.parquet(path).collect()}
+    put = lambda df, n=1: K.upsert_prices(spark, path, df.withColumn("seq", F.lit(n)))
+    assert K.read_prices(spark, path).count() == 0
+    put(prices(spark, [90, 91]))
+    put(prices(spark, [100]))
+    read = lambda: {r["date"]: r["close"] for r in K.read_prices(spark, path).collect()}
     assert read() == {days(2)[0]: 100.0, days(2)[1]: 91.0}
-    broken = prices(spark, [1, 2]).withColumn("close", F.raise_error(F.lit("lost")).cast("double"))
+    put(prices(spark, [100]))  # a repeated batch changes nothing
+    assert read() == {days(2)[0]: 100.0, days(2)[1]: 91.0}
+    two = prices(spark, [5]).withColumn("seq", F.lit(7)).unionByName(prices(spark, [6]).withColumn("seq", F.lit(3)))
+    K.upsert_prices(spark, path, two)
+    assert read()[days(2)[0]] == 5.0
+    put(prices(spark, [100]))
+    with pytest.raises(ValueError, match="seq"):
+        K.upsert_prices(spark, path, prices(spark, [1]))
+    broken = prices(spark, [1, 2]).withColumn("seq", F.lit(9)).withColumn("close", F.raise_error(F.lit("lost")).cast("double"))
     with pytest.raises(Exception, match="lost"):
         K.upsert_prices(spark, path, broken)
     assert read() == {days(2)[0]: 100.0, days(2)[1]: 91.0}
 
 
+def test_upsert_refuses_stored_years_it_cannot_read(spark, tmp_path):
+    path = str(tmp_path / "px")
+    K.upsert_prices(spark, path, prices(spark, [90, 91]).withColumn("seq", F.lit(1)))
+    year = next((tmp_path / "px").glob("v-*/year=*"))
+    prices(spark, [1, 2]).withColumnRenamed("close", "price").drop("year").write.mode("overwrite").parquet(str(year))
+    with pytest.raises(ValueError, match="close"):
+        K.upsert_prices(spark, path, prices(spark, [100]).withColumn("seq", F.lit(2)))
+
+
+def test_a_lost_writer_leaves_the_last_pointer(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "px")
+    K.upsert_prices(spark, path, prices(spark, [90]).withColumn("seq", F.lit(1)))
+    publish = K._publish
+    monkeypatch.setattr(K, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("driver lost")))
+    with pytest.raises(RuntimeError, match="driver lost"):
+        K.upsert_prices(spark, path, prices(spark, [80]).withColumn("seq", F.lit(2)))
+    monkeypatch.setattr(K, "_publish", publish)
+    assert [r["close"] for r in K.read_prices(spark, path).collect()] == [90.0]
+    K.upsert_prices(spark, path, prices(spark, [80]).withColumn("seq", F.lit(2)))
+    assert [r["close"] for r in K.read_prices(spark, path).collect()] == [80.0]
+
+
+def test_forward_as_of_takes_the_next_row_and_ties(spark):
+    left = spark.createDataFrame([("A", d) for d in days(5)], "symbol string, date date")
+    right = spark.createDataFrame([("A", days(5)[1], 1.0), ("A", days(5)[3], 3.0)], "symbol string, date date, v double")
+    d = {x["date"]: x["v"] for x in A.asof_join(left, right, ["symbol"], {"v": "v"}, direction="forward").collect()}
+    assert [d[x] for x in days(5)] == [1.0, 1.0, 3.0, 3.0, None]
+    d = {x["date"]: x["v"] for x in A.asof_join(left, right, ["symbol"], {"v": "v"}, direction="forward", strict=True).collect()}
+    assert [d[x] for x in days(5)] == [1.0, 3.0, 3.0, None, None]
+
+
+def _zigzag(spark, n):
+    closes = [100 + (10 if i % 7 == 0 else -i % 5) for i in range(n)]
+    s = prices(spark, closes).withColumn("regime", F.lit("bull")).withColumn("bench", F.lit(1.0)).withColumn("part", F.lit("all"))
+    return s.withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("date")))
+
+
+def test_no_trades_before_the_warm_up_and_the_combos_hold(spark):
+    rule = S.Rule("regime_rsi", 3, 200, 2, 200)  # every close above its mean is a setup
+    combos = spark.createDataFrame([(0, rule.id, 7, 1000.0, 1000.0)], "combo int, rule string, max_hold int, profit_target double, stop_loss double")
+    assert rule.warmup == 205
+    assert S.trades(_zigzag(spark, 204), [rule], combos).count() == 0
+    t = S.trades(_zigzag(spark, 230), [rule], combos).collect()
+    assert t and max(r["exit_rn"] - r["entry_rn"] for r in t) == 7
+
+
+def test_more_rules_than_bits(spark):
+    many = [S.Rule("regime_rsi", 3, 30 + i, 2, 200) for i in range(70)]
+    combos = spark.createDataFrame([(i, r.id, 3, 1000.0, 1000.0) for i, r in enumerate(many)], "combo int, rule string, max_hold int, profit_target double, stop_loss double")
+    got = {r["combo"] for r in S.trades(_zigzag(spark, 230), many, combos).select("combo").distinct().collect()}
+    assert got == set(range(70))
+
+
 def test_completeness_counts_empty_as_failed(spark):
     ask = spark.createDataFrame([("A",), ("B",)], "symbol string")
     got = {"x": prices(spark, [1]), "y": prices(spark, [1]).limit(0)}

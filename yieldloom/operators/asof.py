@@ -28,11 +28,9 @@ def asof_join(
     r = right.select(*by, on, pack.alias("_r"), F.lit(right_rank).alias("_k"))
     u = left.withColumn("_k", F.lit(1)).unionByName(r, allowMissingColumns=True)
     w = Window.partitionBy(*by) if by else Window.partitionBy()
-    w = w.orderBy(on, "_k")
-    if back:
-        m = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        m = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # forward is backward in the reversed order: a frame that ends at the row is a running value, one that starts there is not
+    w = w.orderBy(on, "_k") if back else w.orderBy(F.col(on).desc(), F.col("_k").desc())
+    m = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return u.withColumn("_m", m).where("_k = 1").select(*left.columns, *[F.col(f"_m.{o}").alias(o) for o in take.values()])
 
 

@@ -228,6 +228,6 @@ def yield_fit(yields: DataFrame) -> DataFrame:
     return g.withColumn("fit_min", F.col("slope") * F.col("x_min") + F.col("intercept")).withColumn("fit_max", F.col("slope") * F.col("x_max") + F.col("intercept"))
 
 
-def display_sample(yields: DataFrame, n: int = 5000, seed: int = 42) -> DataFrame:
+def display_sample(yields: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """A repeatable uniform sample for a scatter plot: the n smallest hashes."""
     return yields.orderBy(F.xxhash64("symbol", "ex_date", F.lit(seed)), "symbol", "ex_date").limit(n)

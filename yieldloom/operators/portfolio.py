@@ -93,14 +93,15 @@ def income_projection(totals: DataFrame, years: int, growth_pct: float, target_m
 
 
 def payment_totals(pay: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Received dividends by stock, year, month, day, sector and industry, with shares of the year.
+    """Received dividends by stock, year, month, day, sector and industry; unknown stocks count as 'Unclassified'.
 
     One scan: the payments are summed per (stock, day) first and the grouping
     sets run over that.
     """
     base = pay.groupBy("holder", "stock", "date").agg(F.sum("total").alias("total"), F.count("*").alias("n"))
     s = sectors.select(F.col("symbol").alias("stock"), "sector", "industry")
-    b = base.join(s, "stock").withColumn("year", F.year("date")).withColumn("month", F.month("date"))
+    b = base.join(s, "stock", "left").withColumn("year", F.year("date")).withColumn("month", F.month("date"))
+    b = b.fillna("Unclassified", ["sector", "industry"])
     sets = [["stock"], ["year"], ["year", "month"], ["date"], ["sector"], ["industry"]]
     names = ["stock", "year", "month", "date", "sector", "industry"]
     g = b.groupingSets([[F.col(c) for c in ["holder", *x]] for x in sets], *[F.col(c) for c in ["holder", *names]]).agg(
@@ -156,15 +157,8 @@ def year_ends(prices: DataFrame, start: int, end: int) -> DataFrame:
     return p.groupBy("symbol", F.year("date").alias("year")).agg(F.max_by("close", "date").alias("end_price"))
 
 
-def replay(alloc: DataFrame, prices: DataFrame, div: DataFrame, start: int, end: int) -> DataFrame:
-    """Year-by-year replay of every (scenario, symbol) with and without reinvestment.
-
-    Whole lots only; dividends turn to cash; with reinvestment the cash buys
-    the same stock at the first close on or after the ex-date if that falls in
-    the same year. Symbols without a close in every year drop out. The state is
-    one stock's lots and cash, so the fold runs over its few dividend events;
-    events are gathered once per symbol, scenarios only add their amount.
-    """
+def _replay_input(alloc: DataFrame, prices: DataFrame, div: DataFrame, start: int, end: int) -> DataFrame:
+    """Allocations with first purchase, year ends and dividend events of symbols that have a close in every year."""
     opens = prices.select("symbol").distinct().withColumn("date", F.make_date(F.lit(start), F.lit(1), F.lit(1)))
     first = _buy_days(opens, prices).where(F.year("buy_date") == start).select("symbol", F.col("buy_price").alias("first_price"), F.col("buy_date").alias("first_date"))
     ends = year_ends(prices, start, end).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("year", "end_price"))).alias("ends"))
@@ -172,11 +166,39 @@ def replay(alloc: DataFrame, prices: DataFrame, div: DataFrame, start: int, end:
     ev = div.where(F.col("adjDividend") >= 0).select("symbol", "date", "adjDividend").where(F.year("date").between(start, end))
     ev = _buy_days(ev, prices).join(first.select("symbol", "first_date"), "symbol").where("date >= first_date")
     usable = F.when(F.year("buy_date") == F.year("date"), F.col("buy_price"))
-    ev = ev.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", F.year("date").alias("year"), "adjDividend", usable.alias("buy_price")))).alias("events"))
+    ev = ev.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", F.year("date").alias("year"), "adjDividend", usable.alias("buy_price"), "buy_date"))).alias("events"))
     j = alloc.join(first, "symbol").join(ends, "symbol").join(ev, "symbol", "left")
     j = j.withColumn("events", F.coalesce("events", F.array().cast(ev.schema["events"].dataType.simpleString())))
     lots = F.floor(F.col("amount") / (F.col("first_price") * LOT_SIZE)).cast("double")
-    j = j.withColumn("lots0", lots).withColumn("cash0", F.col("amount") - F.col("lots0") * F.col("first_price") * LOT_SIZE)
+    return j.withColumn("lots0", lots).withColumn("cash0", F.col("amount") - F.col("lots0") * F.col("first_price") * LOT_SIZE)
+
+
+def replay_rejected(alloc: DataFrame, prices: DataFrame, start: int, end: int) -> DataFrame:
+    """Allocations that cannot be replayed: the stock has no close in the first or in a later year."""
+    have = prices.where(F.year("date").between(start, end)).groupBy("symbol").agg(F.collect_set(F.year("date")).alias("_have"))
+    every = F.sequence(F.lit(start), F.lit(end))
+    j = alloc.select("scenario", "symbol").join(have, "symbol", "left")
+    j = j.withColumn("_y", F.array_min(F.array_except(every, F.coalesce("_have", F.array().cast("array<int>"))))).where("_y is not null")
+    reason = F.when(F.col("_y") == start, f"no price in {start}").otherwise(F.concat(F.lit("no price through "), F.col("_y").cast("string")))
+    return j.select("scenario", "symbol", reason.alias("reason"))
+
+
+def entered(alloc: DataFrame, detail: DataFrame) -> DataFrame:
+    """The allocations that a replay took in."""
+    return alloc.join(detail.select("scenario", "symbol").distinct(), ["scenario", "symbol"], "left_semi")
+
+
+def replay(alloc: DataFrame, prices: DataFrame, div: DataFrame, start: int, end: int) -> DataFrame:
+    """Year-by-year replay of every (scenario, symbol) with and without reinvestment.
+
+    Whole lots only; dividends turn to cash; with reinvestment the cash buys
+    the same stock at the first close on or after the ex-date if that falls in
+    the same year. ``replay_rejected`` lists the symbols that it cannot take.
+    The state is one stock's lots and cash, so the fold runs over its few
+    dividend events; events are gathered once per symbol, scenarios only add
+    their amount.
+    """
+    j = _replay_input(alloc, prices, div, start, end)
     row = "struct<year:int,strategy:string,lots:double,price:double,value:double,cash:double,income:double>"
 
     def run(drip: bool) -> Column:
@@ -204,14 +226,28 @@ def replay(alloc: DataFrame, prices: DataFrame, div: DataFrame, start: int, end:
 
 
 def replay_transactions(alloc: DataFrame, prices: DataFrame, div: DataFrame, start: int, end: int) -> DataFrame:
-    """Purchases and dividend receipts of the replay without reinvestment, as rows."""
-    opens = prices.select("symbol").distinct().withColumn("date", F.make_date(F.lit(start), F.lit(1), F.lit(1)))
-    first = _buy_days(opens, prices).where(F.year("buy_date") == start).select("symbol", F.col("buy_price").alias("price"), F.col("buy_date").alias("first_date"))
-    a = alloc.join(first, "symbol").withColumn("lots", F.floor(F.col("amount") / (F.col("price") * LOT_SIZE)).cast("double"))
-    buys = a.select("scenario", "symbol", F.col("first_date").alias("date"), F.lit("buy").alias("activity"), "lots", (F.col("lots") * F.col("price") * LOT_SIZE).alias("amount"))
-    d = div.where((F.col("adjDividend") >= 0) & (F.year("date") <= end)).select("symbol", "date", "adjDividend")
-    got = a.join(d, "symbol").where("date >= first_date").select("scenario", "symbol", "date", F.lit("dividend").alias("activity"), "lots", (F.col("lots") * LOT_SIZE * F.col("adjDividend")).alias("amount"))
-    return buys.unionByName(got)
+    """First purchases, dividends under both strategies and reinvestment purchases of the replay, as rows.
+
+    ``lots`` are those bought, or those held when the dividend is paid.
+    """
+    j = _replay_input(alloc, prices, div, start, end)
+    row = "struct<date:date,strategy:string,activity:string,lots:double,amount:double>"
+
+    def step(acc, e):
+        pay, plain = acc["lots"] * LOT_SIZE * e["adjDividend"], F.col("lots0") * LOT_SIZE * e["adjDividend"]
+        cash = acc["cash"] + pay
+        n = F.coalesce(F.floor(cash / (e["buy_price"] * LOT_SIZE)).cast("double"), F.lit(0.0))
+        cost = F.when(n > 0, n * e["buy_price"] * LOT_SIZE).otherwise(0.0)
+        paid = F.array(
+            F.struct(e["date"], F.lit("With DRIP"), F.lit("dividend"), acc["lots"], pay).cast(row),
+            F.struct(e["date"], F.lit("No DRIP"), F.lit("dividend"), F.col("lots0"), plain).cast(row),
+        )
+        bought = F.when(n > 0, F.array(F.struct(e["buy_date"], F.lit("With DRIP"), F.lit("reinvest"), n, cost).cast(row))).otherwise(F.array().cast(f"array<{row}>"))
+        return F.struct((acc["lots"] + n).alias("lots"), (cash - cost).alias("cash"), F.concat(acc["rows"], paid, bought).alias("rows"))
+
+    buy = F.struct(F.col("first_date"), F.lit("Both"), F.lit("buy"), F.col("lots0"), F.col("lots0") * F.col("first_price") * LOT_SIZE).cast(row)
+    init = F.struct(F.col("lots0").alias("lots"), F.col("cash0").alias("cash"), F.array(buy).alias("rows"))
+    return j.select("scenario", "symbol", F.explode(F.aggregate("events", init, step)["rows"]).alias("r")).select("scenario", "symbol", "r.*")
 
 
 def replay_totals(detail: DataFrame) -> DataFrame:

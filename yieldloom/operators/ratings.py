@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import avg_pct_rank, distribution, group_row_number, running_before
+from ..functions.ranking import avg_pct_rank, distribution, running_before
 from ..functions.scalars import is_close, row_mean, sdiv
 from ..session import cut_lineage
 from .dividends import RETURN_COLS, cap_penalty
@@ -222,6 +222,6 @@ def parse_symbol_lists(raw: DataFrame, valid: DataFrame, limit: int = 5) -> Data
     items = raw.select("query_id", F.posexplode(F.split("query", ",")).alias("pos", "item")).withColumn("symbol", F.upper(F.trim("item")))
     seen = items.where("symbol <> ''").groupBy("query_id", "symbol").agg(F.min("pos").alias("pos"))
     ok = seen.join(valid.select("symbol").distinct(), "symbol", "left_semi")
-    ok = group_row_number(ok, ["query_id"], ["pos"], "place")
+    ok = ok.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")))  # the items of one short list
     over = ok.groupBy("query_id").agg(F.max("place").alias("_n"))
     return ok.where(F.col("place") <= limit).join(over, "query_id").select("query_id", "place", "symbol", (F.col("_n") > limit).alias("overflow"))

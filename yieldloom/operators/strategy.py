@@ -8,6 +8,7 @@ with at most one row per day, so its windows are bounded.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +35,7 @@ STRATEGIES = [
     "squeeze", "trend_pullback", "relative_strength", "cross_momentum",
 ]
 PROFIT_TARGET, STOP_LOSS, MAX_HOLD = 5.0, 2.0, 5
+RULES_AT_ONCE = 63  # bits of a long
 PRESETS = {
     "quick": {
         "params": {
@@ -247,7 +249,7 @@ def _mask(prefix: str, rs: list[Rule]) -> Column:
     return sum((F.when(F.col(f"{prefix}{i}"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(len(rs))), F.lit(0).cast("long"))
 
 
-def trades(series: DataFrame, rs: list[Rule], combos: DataFrame, longest: int = MAX_HOLD) -> DataFrame:
+def trades(series: DataFrame, rs: list[Rule], combos: DataFrame) -> DataFrame:
     """Non-overlapping trades per (symbol, part, combo).
 
     A setup acts at the next session's close. The exit is the first later close
@@ -257,8 +259,14 @@ def trades(series: DataFrame, rs: list[Rule], combos: DataFrame, longest: int =
     as bits of one number, so the look-ahead runs once per session and only the
     sparse candidates meet rules and combos. Only the choice of the next entry
     after an exit is sequential: a fold over the few candidates of one series.
-    ``longest`` is the largest holding limit among the combos.
+    A series shorter than a rule's warm-up has no trades under it. The
+    look-ahead is the largest holding limit among the combos (a small table);
+    a number holds the bits of 63 rules at most, larger sets go in groups.
     """
+    if len(rs) > RULES_AT_ONCE:
+        parts = [trades(series, rs[i : i + RULES_AT_ONCE], combos) for i in range(0, len(rs), RULES_AT_ONCE)]
+        return reduce(DataFrame.unionByName, parts)
+    longest = combos.agg(F.max("max_hold")).first()[0] or 1
     sig = signal_table(series, rs)
     start = F.col("start") if "start" in series.columns else F.lit(None).cast("date")
     wide = sig.select(*KEY, "rn", "date", "close", "regime", start.alias("start"), _mask("_s", rs).alias("_sm"), _mask("_x", rs).alias("_xm"))
@@ -270,9 +278,10 @@ def trades(series: DataFrame, rs: list[Rule], combos: DataFrame, longest: int =
     ).where((F.col("_em") > 0) & (F.col("rn") < F.col("last_rn")))
     if "start" in series.columns:
         c = c.where("part <> 'valid' or date >= start")
+    warm = F.create_map(*[x for r in rs for x in (F.lit(r.id), F.lit(r.warmup))])
     bits = F.create_map(*[x for i, r in enumerate(rs) for x in (F.lit(r.id), F.lit(i))])
-    j = F.broadcast(combos.select("combo", "max_hold", "profit_target", "stop_loss", bits[F.col("rule")].alias("bit")).where("bit is not null"))  # the preset grid
-    c = c.join(j, F.expr("(shiftright(_em, bit) & 1L) = 1L"))
+    j = F.broadcast(combos.select("combo", "max_hold", "profit_target", "stop_loss", bits[F.col("rule")].alias("bit"), warm[F.col("rule")].alias("warm")).where("bit is not null"))  # the preset grid
+    c = c.join(j, F.expr("(shiftright(_em, bit) & 1L) = 1L and last_rn >= warm")).drop("warm")
 
     def hit(k: Column) -> Column:
         x = F.element_at("ahead", k)

@@ -175,6 +175,13 @@ def _(m):
     return rounded(f, ["sector", "recovered", "traps"], 4, x_min=6, x_max=6)
 
 
+@query("K15_entry_yields", """
+SELECT symbol, sector, ex_date, R6{dividend_amount/low_price*100} AS entry_yield, low_days_after AS days_after, coalesce(low_recovered,false) AS recovered, CASE WHEN coalesce(low_recovered,false) THEN 'Recovered' ELSE 'Dividend Trap' END AS status
+FROM recev WHERE low_days_after IS NOT NULL AND dividend_amount/low_price>0""")
+def _(m):
+    return E.entry_yields(sectored(m), "low_price", "low_days_after", "low_recovered").withColumn("entry_yield", rnd("entry_yield"))
+
+
 @query("K15_display_sample")
 def _(m):
-    return E.display_sample(E.entry_yields(sectored(m), "low_price", "low_days_after", "low_recovered"))
+    return E.display_sample(E.entry_yields(sectored(m), "low_price", "low_days_after", "low_recovered"), 5000)  # a scatter plot's sample is the feature

@@ -71,13 +71,13 @@ def _(m):
 
 
 @query("B08_range_slice", """
-r AS (SELECT * FROM (VALUES ('3M',90),('6M',180),('1Y',365),('3Y',1095),('All',100000)) r(range, days))
-SELECT p.symbol, range, count(*) AS sessions, min(date) AS first, R8{avg(close)} AS avg_close FROM (SELECT *, max(date) OVER (PARTITION BY symbol) AS last FROM prices) p, r WHERE date >= last-days GROUP BY p.symbol, range""")
+r AS (SELECT * FROM (VALUES ('3M',90),('6M',180),('1Y',365),('3Y',1095),('All',NULL)) r(range, days))
+SELECT p.symbol, range, count(*) AS sessions, min(date) AS first, R8{avg(close)} AS avg_close FROM (SELECT *, max(date) OVER (PARTITION BY symbol) AS last FROM prices) p, r WHERE days IS NULL OR date >= last-days GROUP BY p.symbol, range""")
 def _(m):
     p = m.closes.withColumn("last", F.max("date").over(Window.partitionBy("symbol")))
-    ranges = {"3M": 90, "6M": 180, "1Y": 365, "3Y": 1095, "All": 100000}
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("range"), F.lit(v).alias("days")) for k, v in ranges.items()]))
-    d = p.select("*", cells.alias("c")).where("date >= date_sub(last, c.days)")
+    ranges = {"3M": 90, "6M": 180, "1Y": 365, "3Y": 1095, "All": None}
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("range"), F.lit(v).cast("int").alias("days")) for k, v in ranges.items()]))
+    d = p.select("*", cells.alias("c")).where("c.days is null or date >= date_sub(last, c.days)")
     return d.groupBy("symbol", "c.range").agg(F.count("*").alias("sessions"), F.min("date").alias("first"), rnd(F.avg("close"), 8).alias("avg_close"))
 
 

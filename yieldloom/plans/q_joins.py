@@ -27,10 +27,10 @@ def _(m):
 
 
 @query("C03_score_returns", """
-SELECT s.symbol, R4{DScore} AS DScore, R6{r.return_7d} AS live_7d, p.price AS live_price FROM scores s LEFT JOIN (SELECT * FROM returns WHERE symbol<'S000050') r ON r.symbol=s.symbol JOIN (SELECT * FROM profiles WHERE isActivelyTrading) p ON p.symbol=s.symbol""")
+SELECT s.symbol, R4{DScore} AS DScore, R6{r.return_7d} AS live_7d, p.price AS live_price FROM scores s LEFT JOIN (SELECT * FROM returns WHERE CAST(substr(symbol,2) AS BIGINT)%7<>3) r ON r.symbol=s.symbol JOIN (SELECT * FROM profiles WHERE isActivelyTrading) p ON p.symbol=s.symbol""")
 def _(m):
     live = m.profiles.where("isActivelyTrading").select("symbol", F.col("price").alias("live_price"))
-    late = R.latest_returns(m.prices).where("symbol < 'S000050'").select("symbol", F.col("return_7d").alias("live_7d"))
+    late = R.latest_returns(m.prices).where("cast(substr(symbol, 2) as long) % 7 <> 3").select("symbol", F.col("return_7d").alias("live_7d"))
     return scores(m).select("symbol", "DScore").join(late, "symbol", "left").join(live, "symbol").select("symbol", rnd("DScore", 4).alias("DScore"), rnd("live_7d").alias("live_7d"), "live_price")
 
 
@@ -70,9 +70,9 @@ def _(m):
     return A.event_window_join(ev, m.closes, 180, 30).select("symbol", "ex_date", "date", "close")
 
 
-@query("C10_year_spine", "SELECT symbol, year, R6{v} AS adjDividend FROM yd WHERE v=0")
+@query("C10_year_spine", "SELECT symbol, year, R6{v} AS adjDividend FROM yd")
 def _(m):
-    return D.yearly_dividends(m.dividends, ASOF).where("adjDividend = 0").select("symbol", "year", rnd("adjDividend").alias("adjDividend"))
+    return D.yearly_dividends(m.dividends, ASOF).select("symbol", "year", rnd("adjDividend").alias("adjDividend"))
 
 
 @query("C11_outer_merge", """

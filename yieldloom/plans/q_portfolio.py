@@ -39,7 +39,7 @@ SELECT symbol, CASE WHEN CAST(substr(symbol,2) AS BIGINT)%23=7 THEN NULL ELSE pr
 
 
 def market(m):
-    k = F.substring("symbol", 2, 6).cast("long")
+    k = F.expr("substr(symbol, 2)").cast("long")
     p = m.profiles.select(
         F.concat("symbol", F.lit(".JK")).alias("symbol"), F.when(k % 23 != 7, F.col("price")).alias("price"),
         F.when(k % 10 == 3, "").otherwise(F.col("sector")).alias("sector"), F.when(k % 29 == 11, -1.0).otherwise(F.col("lastDiv")).alias("lastDiv"),
@@ -105,12 +105,12 @@ def _(m):
 
 
 @query("M07_payment_totals", """
-b AS (SELECT p.*, sector, industry, year(date) AS y, month(date) AS mo FROM payments p JOIN companies c ON c.symbol=p.stock)
+b AS (SELECT p.*, coalesce(sector,'Unclassified') AS sector, coalesce(industry,'Unclassified') AS industry, year(date) AS y, month(date) AS mo FROM payments p LEFT JOIN companies c ON c.symbol=p.stock AND c.sk%13<>4)
 SELECT holder, 'stock' AS level, stock AS key, sum(total) AS total, count(*) AS payments FROM b GROUP BY holder, stock UNION ALL SELECT holder, 'year', y::VARCHAR, sum(total), count(*) FROM b GROUP BY holder, y
 UNION ALL SELECT holder, 'year_month', printf('%04d-%02d', y, mo), sum(total), count(*) FROM b GROUP BY holder, y, mo UNION ALL SELECT holder, 'date', date::VARCHAR, sum(total), count(*) FROM b GROUP BY holder, date
 UNION ALL SELECT holder, 'sector', sector, sum(total), count(*) FROM b GROUP BY holder, sector UNION ALL SELECT holder, 'industry', industry, sum(total), count(*) FROM b GROUP BY holder, industry""")
 def _(m):
-    return P.payment_totals(m.payments, m.companies)
+    return P.payment_totals(m.payments, m.companies.where("sk % 13 <> 4"))  # some stocks are unknown
 
 
 @query("M07_day_shares", """
@@ -133,7 +133,7 @@ def _(m):
 
 shared("rawalloc", """
 SELECT c_mktsegment AS scenario, h.symbol, sum(lots*avg_price)*100 AS v FROM holdings h JOIN customer ON c_custkey=holder GROUP BY ALL""")
-shared("alloc", "SELECT scenario, symbol, v AS amount FROM rawalloc WHERE CAST(substr(symbol,2) AS BIGINT)%10<>4")
+shared("alloc", "SELECT scenario, symbol, v AS amount FROM rawalloc")
 
 
 def raw_allocations(m):
@@ -142,7 +142,7 @@ def raw_allocations(m):
 
 
 def allocations(m):
-    return raw_allocations(m).where(F.substring("symbol", 2, 6).cast("long") % 10 != 4).withColumnRenamed("v", "amount")
+    return raw_allocations(m).withColumnRenamed("v", "amount")
 
 
 BAD = """
@@ -152,7 +152,7 @@ n AS (SELECT scenario, upper(trim(stock)) AS symbol, count(*) AS n, min(try_cast
 
 
 def messy_allocations(m):
-    k = F.substring("symbol", 2, 6).cast("long")
+    k = F.expr("substr(symbol, 2)").cast("long")
     r = raw_allocations(m).select("scenario", "symbol", F.col("v").cast("long").cast("string").alias("value"), k.alias("k"))
     a = r.select("scenario", F.concat(F.lit(" "), F.lower("symbol"), F.lit(" ")).alias("stock"), F.when(F.col("k") % 9 == 5, "0").when(F.col("k") % 7 == 3, "ten").otherwise(F.col("value")).alias("value"))
     b = r.where("k % 8 = 1").select("scenario", F.col("symbol").alias("stock"), "value")
@@ -173,12 +173,12 @@ START, END = 1997, 2001
 shared("firstbuy", f"SELECT symbol, arg_min(close,date) AS p0, min(date) AS d0 FROM prices WHERE year(date)={START} GROUP BY symbol")
 shared("yends", f"SELECT * FROM (SELECT symbol, year(date) AS y, arg_max(close,date) AS ep FROM prices WHERE year(date) BETWEEN {START} AND {END} GROUP BY ALL) QUALIFY count(*) OVER (PARTITION BY symbol)={END - START + 1}")
 shared("divev", f"""
-SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM (SELECT d.symbol, d.date, year(d.date) AS y, adjDividend AS dps, CASE WHEN year(p.date)=year(d.date) THEN p.close END AS bp
+SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM (SELECT d.symbol, d.date, year(d.date) AS y, adjDividend AS dps, CASE WHEN year(p.date)=year(d.date) THEN p.close END AS bp, p.date AS bd
 FROM dividends d JOIN firstbuy f ON f.symbol=d.symbol AND d.date>=d0 ASOF LEFT JOIN prices p ON p.symbol=d.symbol AND p.date>=d.date WHERE year(d.date) BETWEEN {START} AND {END})""")
 shared("al0", "SELECT a.scenario, a.symbol, floor(amount/(p0*100)) AS lots, amount-floor(amount/(p0*100))*p0*100 AS cash FROM alloc a JOIN firstbuy f ON f.symbol=a.symbol WHERE a.symbol IN (SELECT symbol FROM yends)")
 shared("drip", """
-SELECT scenario, symbol, 0::BIGINT AS k, NULL::BIGINT AS y, lots, cash, 0.0::DOUBLE AS pay FROM al0
-UNION ALL SELECT scenario, s.symbol, e.k, e.y, lots + n, cash + lots*100*dps - CASE WHEN n>0 THEN n*bp*100 ELSE 0 END, lots*100*dps FROM
+SELECT scenario, symbol, 0::BIGINT AS k, NULL::BIGINT AS y, lots, cash, 0.0::DOUBLE AS pay, 0.0::DOUBLE AS bought FROM al0
+UNION ALL SELECT scenario, s.symbol, e.k, e.y, lots + n, cash + lots*100*dps - CASE WHEN n>0 THEN n*bp*100 ELSE 0 END, lots*100*dps, n FROM
  (SELECT d.*, e.k AS ek, coalesce(floor((cash+lots*100*dps)/(bp*100)),0) AS n FROM drip d JOIN divev e ON e.symbol=d.symbol AND e.k=d.k+1) s JOIN divev e ON e.symbol=s.symbol AND e.k=s.ek""")
 shared("replay", """
 SELECT a.scenario, a.symbol, e.y AS year, 'No DRIP' AS strategy, lots, ep AS price, lots*ep*100 AS value, cash + coalesce((SELECT sum(lots*100*dps) FROM divev d WHERE d.symbol=a.symbol AND d.y<=e.y),0) AS cash, coalesce((SELECT sum(lots*100*dps) FROM divev d WHERE d.symbol=a.symbol AND d.y=e.y),0) AS income
@@ -202,12 +202,25 @@ def _(m):
 
 
 @query("M09_transactions", f"""
-a AS (SELECT a.scenario, a.symbol, d0, p0, floor(amount/(p0*100)) AS lots FROM alloc a JOIN firstbuy f ON f.symbol=a.symbol)
-SELECT scenario, symbol, d0 AS date, 'buy' AS activity, lots, R2{{lots*p0*100}} AS amount FROM a UNION ALL SELECT scenario, a.symbol, d.date, 'dividend', lots, R2{{lots*100*adjDividend}} FROM a JOIN dividends d ON d.symbol=a.symbol AND d.date>=d0 AND year(d.date)<={END}""")
+SELECT scenario, a.symbol, d0 AS date, 'Both' AS strategy, 'buy' AS activity, lots, R2{{lots*p0*100}} AS amount FROM al0 a JOIN firstbuy f ON f.symbol=a.symbol
+UNION ALL SELECT scenario, a.symbol, d.date, 'No DRIP', 'dividend', lots, R2{{lots*100*dps}} FROM al0 a JOIN divev d ON d.symbol=a.symbol
+UNION ALL SELECT scenario, t.symbol, d.date, 'With DRIP', 'dividend', lots-bought, R2{{pay}} FROM drip t JOIN divev d ON d.symbol=t.symbol AND d.k=t.k
+UNION ALL SELECT scenario, t.symbol, d.bd, 'With DRIP', 'reinvest', bought, R2{{bought*bp*100}} FROM drip t JOIN divev d ON d.symbol=t.symbol AND d.k=t.k WHERE bought>0""")
 def _(m):
     return P.replay_transactions(allocations(m), m.closes, m.dividends, START, END).withColumn("amount", rnd("amount", 2))
 
 
+@query("M09_rejected", f"""
+al AS (SELECT scenario, symbol FROM alloc UNION ALL SELECT DISTINCT scenario, 'UNLISTED' FROM alloc),
+y AS (SELECT symbol, unnest(range({START},{END + 1})) AS y FROM (SELECT DISTINCT symbol FROM al)), g AS (SELECT y.symbol, min(y.y) AS y FROM y LEFT JOIN (SELECT DISTINCT symbol, year(date) AS y FROM prices WHERE NOT (CAST(substr(symbol,2) AS BIGINT)%10=4 AND year(date)=1999)) p ON p.symbol=y.symbol AND p.y=y.y WHERE p.y IS NULL GROUP BY y.symbol)
+SELECT scenario, a.symbol, CASE WHEN y={START} THEN 'no price in {START}' ELSE 'no price through '||y END AS reason FROM al a JOIN g ON g.symbol=a.symbol""")
+def _(m):
+    a = allocations(m)
+    unlisted = a.select("scenario").distinct().withColumn("symbol", F.lit("UNLISTED"))
+    gaps = m.closes.where("not (cast(substr(symbol, 2) as long) % 10 = 4 and year(date) = 1999)")  # some stocks lack a year
+    return P.replay_rejected(a.select("scenario", "symbol").unionByName(unlisted), gaps, START, END)
+
+
 PLANS = [("early", 1996, 2000), ("late", 1998, 2001)]
 shared("plans", " UNION ALL ".join(f"SELECT '{n}' AS scenario, symbol, {a} AS y0, {b} AS y1, 20000000.0+10000.0*sk AS initial, 2000000.0 AS topup FROM companies" for n, a, b in PLANS))
 shared("mon", """
@@ -255,7 +268,8 @@ def _(m):
 
 
 @query("M13_replay_summary", f"""
-t AS (SELECT scenario, strategy, year, sum(value)+sum(cash) AS pv, sum(cash) AS cash, sum(income) AS inc FROM replay GROUP BY ALL), a AS (SELECT scenario, sum(amount) AS cap FROM alloc GROUP BY scenario)
+t AS (SELECT scenario, strategy, year, sum(value)+sum(cash) AS pv, sum(cash) AS cash, sum(income) AS inc FROM replay GROUP BY ALL), a AS (SELECT scenario, sum(amount) AS cap FROM alloc WHERE symbol IN (SELECT symbol FROM al0) GROUP BY scenario)
 SELECT t.scenario, strategy, R1{{arg_max(pv,year)}} AS final_value, R1{{sum(inc)}} AS total_income, R6{{arg_max(inc,year)/any_value(cap)*100}} AS yield_on_cost, R1{{arg_max(cash,year)}} AS residual_cash FROM t JOIN a ON a.scenario=t.scenario GROUP BY t.scenario, strategy""")
 def _(m):
-    return rounded(P.replay_summary(P.replay_totals(detail(m)), allocations(m)), ["scenario", "strategy"], 1, yield_on_cost=6)
+    rows = detail(m)
+    return rounded(P.replay_summary(P.replay_totals(rows), P.entered(allocations(m), rows)), ["scenario", "strategy"], 1, yield_on_cost=6)

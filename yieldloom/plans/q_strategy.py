@@ -83,7 +83,7 @@ SELECT symbol, part, date, close, regime, bench, pct, start, row_number() OVER (
  (SELECT s.symbol, p.part, s.date, s.close, s.regime, s.bench, s.pct, (SELECT t.date FROM ser_all t WHERE t.symbol=s.symbol AND t.rn=c.cut+1) AS start FROM ser_all s JOIN cutoff c ON c.symbol=s.symbol AND enough,
   (VALUES ('train'),('valid')) p(part) WHERE (p.part='train' AND s.rn<=c.cut) OR (p.part='valid' AND s.rn-1>=greatest(0,c.cut-{WARM})))""")
 _signals("split", "ser_split")
-shared("combos", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r.id}', '{r.strategy}', {h}, {t}, {s}, {r.b}, {r.d})" for i, (r, h, t, s) in enumerate(S.grid("quick"))) + ") c(combo, rule, strategy, max_hold, pt, sl, pb, pd)")
+shared("combos", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r.id}', '{r.strategy}', {h}, {t}, {s}, {r.b}, {r.d}, {r.warmup})" for i, (r, h, t, s) in enumerate(S.grid("quick"))) + ") c(combo, rule, strategy, max_hold, pt, sl, pb, pd, warm)")
 
 
 def _trades(name):
@@ -93,7 +93,7 @@ SELECT *, coalesce(lag(setup) OVER w,false) AS entry, coalesce(lag(leave) OVER w
 SELECT c.symbol, c.part, combo, c.rn AS e, any_value(c.date) AS entry_date, any_value(c.close) AS ep, any_value(c.regime) AS regime,
  coalesce(min(f.rn) FILTER (WHERE f.close>=c.close*(1+pt/100) OR f.close<=c.close*(1-sl/100) OR f.out OR f.rn-c.rn>=max_hold), max(f.rn)) AS x
 FROM act_{name} c JOIN combos k ON c.rule=k.rule JOIN act_{name} f ON f.symbol=c.symbol AND f.part=c.part AND f.rule=c.rule AND f.rn>c.rn AND f.rn<=c.rn+max_hold
-WHERE c.entry AND c.rn<c.last AND (c.part<>'valid' OR c.date>=c.start) GROUP BY c.symbol, c.part, combo, c.rn""")
+WHERE c.entry AND c.rn<c.last AND c.last>=k.warm AND (c.part<>'valid' OR c.date>=c.start) GROUP BY c.symbol, c.part, combo, c.rn""")
     shared(f"pick_{name}", f"""
 SELECT symbol, part, combo, min(e) AS e, arg_min(x,e) AS x, 1::BIGINT AS k FROM cand_{name} GROUP BY ALL
 UNION ALL SELECT t.symbol, t.part, t.combo, min(t.e), arg_min(t.x,t.e), max(p.k)+1 FROM pick_{name} p JOIN cand_{name} t ON t.symbol=p.symbol AND t.part=p.part AND t.combo=p.combo AND t.e>p.x GROUP BY t.symbol, t.part, t.combo""")
@@ -309,7 +309,7 @@ SELECT symbol, strategy, rule, date, close, R4{{i}} AS indicator, parameter_sour
 def _(m):
     res = S.cut_lineage(holdout(m)[0])
     best = S.cut_lineage(S.best_combo(S.summarize(res)))
-    quote = F.floor(F.col("price") * 100 * (6 + F.substring("symbol", 2, 6).cast("long") % 9) / 10) / 100
+    quote = F.floor(F.col("price") * 100 * (6 + F.expr("substr(symbol, 2)").cast("long") % 9) / 10) / 100
     px = S.with_live_quote(m.closes, m.profiles.select("symbol", quote.alias("quote")), SCAN_DAY, WARM)
     px = S.cut_lineage(px)
     plan = S.scan_plan(px.select("symbol").distinct(), quick(m), quick(m), best, S.stock_overrides(res, best))

@@ -2,41 +2,102 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.ranking import chunked_list
+from ..functions.scalars import require_columns
+
+
+PRICES = "symbol string, date date, close double"
 
 
 def merge_prices(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Union where the newer copy of a (symbol, date) wins; within ``new`` the highest seq."""
+    """Union where the newer copy of a (symbol, date) wins; within ``new`` the highest seq, which has to be there."""
+    require_columns(new, "symbol", "date", "close", "seq")
     old = existing.select("symbol", "date", "close", F.lit(0).alias("_gen"), F.lit(0).cast("long").alias("_seq"))
-    seq = F.col("seq") if "seq" in new.columns else F.lit(0)
-    inc = new.select("symbol", "date", "close", F.lit(1).alias("_gen"), seq.cast("long").alias("_seq"))
+    inc = new.select("symbol", "date", "close", F.lit(1).alias("_gen"), F.col("seq").cast("long").alias("_seq"))
     return old.unionByName(inc).groupBy("symbol", "date").agg(F.max_by("close", F.struct("_gen", "_seq")).alias("close"))
 
 
+# A table is a folder of written versions and numbered pointer files. A pointer is written aside and renamed to the next
+# number, which either happens or does not; readers take the highest number. A lost writer leaves the last pointer as it was.
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    fs, p = _fs(spark, f"{root}/_pointers")
+    if not fs.exists(p):
+        return []
+    return sorted(int(x.getPath().getName()) for x in fs.listStatus(p) if x.getPath().getName().isdigit())
+
+
+def current(spark: SparkSession, root: str) -> dict | None:
+    """What the newest pointer says; None if nothing was published yet."""
+    n = _pointers(spark, root)
+    return json.loads(spark.read.text(f"{root}/_pointers/{n[-1]}", wholetext=True).first()[0]) if n else None
+
+
+def _publish(spark: SparkSession, root: str, says: dict, keep: int = 2) -> None:
+    """Move the pointer; versions that the last ``keep`` pointers do not name are deleted."""
+    n = _pointers(spark, root)
+    fs, aside = _fs(spark, f"{root}/_pointers/.{uuid.uuid4().hex}")
+    out = fs.create(aside)
+    out.write(bytearray(json.dumps(says).encode()))
+    out.close()
+    if not fs.rename(aside, _fs(spark, f"{root}/_pointers/{(n[-1] if n else 0) + 1}")[1]):
+        raise RuntimeError(f"another writer published {root} at the same time")
+    n = _pointers(spark, root)
+    named = {v for k in n[-keep:] for v in json.loads(spark.read.text(f"{root}/_pointers/{k}", wholetext=True).first()[0])["versions"]}
+    for k in n[:-keep]:
+        fs.delete(_fs(spark, f"{root}/_pointers/{k}")[1], False)
+    for x in fs.listStatus(_fs(spark, root)[1]):
+        name = x.getPath().getName()
+        if name.startswith("v-") and name not in named:
+            fs.delete(x.getPath(), True)
+
+
 def upsert_prices(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Merge into a table partitioned by year, rewriting only the years touched.
+    """Merge into a table kept by year; only the years touched are written, as a new version, then the pointer moves.
 
-    Dynamic overwrite stages the new files first, so a failed write leaves the
-    stored years as they were.
+    A failed or repeated call leaves a whole table. Reading a stored year with
+    other columns is an error, never an empty year.
     """
-    new = new.withColumn("year", F.year("date"))
-    years = new.select("year").distinct()
+    require_columns(new, "symbol", "date", "close", "seq")
+    says = current(spark, path) or {"years": {}, "versions": []}
+    new = new.select("symbol", "date", "close", "seq", F.year("date").alias("year")).persist()
     try:
-        stored = spark.read.parquet(path)
-        old = stored.join(F.broadcast(years), "year", "left_semi")  # a row per calendar year
-        merged = merge_prices(old, new)
-    except AnalysisException:
-        merged = merge_prices(new.limit(0), new)
-    out = merged.withColumn("year", F.year("date"))
-    # spread each year over several files; a single hot year is not one task
-    out = out.repartition("year", F.pmod(F.xxhash64("symbol"), F.lit(8)))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy("year").parquet(path)
+        years = sorted(r["year"] for r in new.select("year").distinct().collect())  # calendar years
+        stored = _read_years(spark, path, {y: v for y, v in says["years"].items() if int(y) in years})
+        version = f"v-{uuid.uuid4().hex}"
+        out = merge_prices(stored, new).withColumn("year", F.year("date"))
+        # spread each year over several files; a single hot year is not one task
+        out = out.repartition("year", F.pmod(F.xxhash64("symbol"), F.lit(8)))
+        out.write.option("compression", "snappy").partitionBy("year").parquet(f"{path}/{version}")
+    finally:
+        new.unpersist()
+    moved = says["years"] | {str(y): version for y in years}
+    _publish(spark, path, {"years": moved, "versions": sorted(set(moved.values()))})
+
+
+def _read_years(spark: SparkSession, path: str, years: dict[str, str]) -> DataFrame:
+    if not years:
+        return spark.createDataFrame([], PRICES)
+    paths = [f"{path}/{v}/year={y}" for y, v in sorted(years.items())]
+    found = require_columns(spark.read.parquet(*paths), "symbol", "date", "close")
+    return found.select("symbol", "date", F.col("close").cast("double").alias("close"))
+
+
+def read_prices(spark: SparkSession, path: str) -> DataFrame:
+    """The price table as the newest pointer has it."""
+    return _read_years(spark, path, (current(spark, path) or {"years": {}})["years"])
 
 
 def publish_together(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
@@ -44,26 +105,26 @@ def publish_together(spark: SparkSession, root: str, tables: dict[str, DataFrame
 
     Readers follow the pointer, so they see all new tables or none of them.
     """
-    version = uuid.uuid4().hex
+    version = f"v-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.option("compression", "snappy").parquet(f"{root}/{version}/{name}")
-    spark.createDataFrame([(version, sorted(tables))], "version string, tables array<string>").coalesce(1).write.mode("overwrite").json(f"{root}/_current")
+    _publish(spark, root, {"tables": sorted(tables), "versions": [version]})
     return version
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.schema("version string, tables array<string>").json(f"{root}/_current").first()["version"]
-    return spark.read.parquet(f"{root}/{version}/{name}")
+    return spark.read.parquet(f"{root}/{current(spark, root)['versions'][0]}/{name}")
 
 
 def publish_calendar(calendar: DataFrame, path: str) -> None:
-    """Calendar rows per year; years without rows write nothing and stay out of the manifest."""
-    c = calendar.withColumn("year", F.year("date"))
-    c.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    """Calendar rows per year as one new version: years without rows leave no partition and are not in the manifest."""
+    spark, version = calendar.sparkSession, f"v-{uuid.uuid4().hex}"
+    calendar.withColumn("year", F.year("date")).write.partitionBy("year").parquet(f"{path}/{version}")
+    _publish(spark, path, {"versions": [version]})
 
 
 def published_years(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("events"))
+    return spark.read.parquet(f"{path}/{current(spark, path)['versions'][0]}").groupBy("year").agg(F.count("*").alias("events"))
 
 
 def export_csv(df: DataFrame, path: str) -> None:
