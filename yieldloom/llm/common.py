@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,20 @@ def doc_remainder(col: str, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string")) % mod
 
 
+_CACHES: dict[str, Callable[[], None]] = {}  # what this process remembers, by owner
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    _CACHES[owner] = forget
+
+
+def claim(owner: str = "") -> None:
+    """Start of a task of ``owner``: Python workers serve one operator after the other, so the others' memory is given up first."""
+    for name, forget in _CACHES.items():
+        if name != owner:
+            forget()
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, NULL as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

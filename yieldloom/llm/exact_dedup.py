@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, stage
+from .common import as_bytes, claim, pieces, stage
 
 
 def _digits(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for b in batches:
             raw = as_bytes(b.column(1))
             yield pa.RecordBatch.from_arrays(
@@ -38,6 +39,7 @@ def _digits(width: int):
 
 def _bodies(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for b in pieces(batches, "text"):
             raw = [x.lower() for x in as_bytes(b.column(1))]  # bytes.lower() changes A-Z only
             yield pa.RecordBatch.from_arrays(

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, partitions, pieces, stage
+from .common import as_bytes, claim, partitions, pieces, remembers, stage
 
 MAGIC = b"IDCM"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, vocabulary, words, checksum of the words, checksum of the ids
@@ -270,6 +270,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+remembers("ids", _ENCODERS.clear)
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -289,6 +290,7 @@ def write_ids(docs: DataFrame, path: str, end: int, label: str = "id-files", id_
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ids")
         enc, part, block = word_encoder(path), TaskContext.get().partitionId(), 0
         held: list[tuple] = []
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import claim, pieces
 from .mixing import uniform
 
 DIM = 4096
@@ -73,6 +73,7 @@ def document_frequency(train: DataFrame) -> tuple[np.ndarray, int]:
     """Texts that hold each gram, over all training texts; DIM rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         df, n = np.zeros(DIM, np.int64), 0
         for b in pieces(batches, "text", 4 << 20):
             df += (gram_counts(b.column("text").to_pylist()) > 0).sum(0)
@@ -152,6 +153,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", held
     flag = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for b in pieces(batches, "text", 4 << 20):
             p, s, c, r = zip(*model.predict(b.column("text").to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays(

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, stage, unstage
+from .common import as_bytes, claim, pieces, remembers, stage, unstage
 from .components import connected
 
 HOT_MAX = 1 << 18
@@ -48,13 +48,14 @@ class _Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 19:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
 
 
 _WORDS = _Words()
+remembers("words", _WORDS.clear)
 
 
 def shingle_set(raw: bytes, k: int = 4) -> np.ndarray:
@@ -104,6 +105,7 @@ def frequent_tokens(src: DataFrame, k: int, ranges: int) -> tuple[np.ndarray, np
     each = HOT_MAX >> bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         for b in pieces(batches, "text"):
             sets = [shingle_set(x, k) for x in as_bytes(b.column("text"))]
             t, c = np.unique(_short(np.concatenate(sets)), return_counts=True)
@@ -132,6 +134,7 @@ def frequent_tokens(src: DataFrame, k: int, ranges: int) -> tuple[np.ndarray, np
 
 def _describe(hot: np.ndarray, freq: np.ndarray, k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         for b in pieces(batches, "text"):
             ns, sigs, groups, prefixes, leads = [], [], [], [], []
             sent: set = set()  # a slice sends a group's frequent token once, and the tokens of equal sets once
@@ -232,6 +235,7 @@ def _local(k: int, percent: int):
     """(grp, blk, node, text) sorted by block -> (node, comp): the smallest node that links inside the block reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         for rows in _streamed(batches, 2):
             rows.sort(key=lambda r: r[2])
             nodes, root = [r[2] for r in rows], list(range(len(rows)))
@@ -263,6 +267,7 @@ def _cross(k: int, percent: int):
     """(left block, right block, side, comp, text) sorted by the blocks -> (a, b): components that a link joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         for rows in _streamed(batches, 4):
             left, right = [r for r in rows if r[4] == 0], [r for r in rows if r[4] == 1]
             if not left or not right:
@@ -326,6 +331,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = stage(sets.join(busy, "grp").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "ngram-members")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # an id may stand for several texts
+        claim("words")
         for b in pieces(batches, "text"):
             ok = [xxhash.xxh3_128_digest(shingle_set(t, k).tobytes()) == s for t, s in zip(as_bytes(b.column("text")), b.column("sig").to_pylist(), strict=True)]
             yield b.filter(pa.array(ok, pa.bool_())).drop_columns(["sig"])

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces
+from .common import as_bytes, claim, pieces, remembers
 
 SPACE = "▁"
-_KEEP = 1 << 19  # units, pairs remembered
+_UNITS, _PAIRS = 1 << 17, 1 << 18  # units remembered in each of two generations, and adjacent pairs
 
 
 class Transducer:
@@ -76,6 +76,7 @@ class Transducer:
         self.unit = re.compile(f"{SPACE}*[{inside}]+|{SPACE}+|[^{SPACE}{inside}]" if inside else f"{SPACE}+|[^{SPACE}]", re.S)
         self.valid: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def _merged(self, text: str) -> list[str]:
         """What merging by score, leftmost first, makes of a short text."""
@@ -95,7 +96,7 @@ class Transducer:
         key = a << 32 | b
         ok = self.valid.get(key)
         if ok is None:
-            if len(self.valid) >= _KEEP:
+            if len(self.valid) >= _PAIRS:
                 self.valid.clear()
             p, q = self.text[a], self.text[b]
             ok = self.valid[key] = p + q not in self.ids and self._merged(p + q) == [p, q]
@@ -148,19 +149,29 @@ class Transducer:
                 if k < len(u):
                     out += [self.bytes[b] for b in c.encode()]
                 start = k + 1
-        if len(u) <= 64:
-            if len(self.known) >= _KEEP:
-                self.known.clear()
-            self.known[u] = out
         return out
 
+    def _recall(self, u: str) -> list[int]:
+        """A unit's ids; when the memory is full the younger generation becomes the older one, and what is used again is young again."""
+        ids = self.older.get(u)
+        if ids is None:
+            ids = self._unit(u)
+        if len(u) <= 64:
+            if len(self.known) >= _UNITS:
+                self.known, self.older = {}, self.known
+            self.known[u] = ids
+        return ids
+
+    def forget(self) -> None:
+        self.known, self.older, self.valid = {}, {}, {}
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        known, out = self.known, []
+        out: list[int] = []
         for u in self.unit.findall(self.prefix + text.replace(" ", SPACE)):
-            ids = known.get(u)
-            out += self._unit(u) if ids is None else ids
+            ids = self.known.get(u)
+            out += self._recall(u) if ids is None else ids
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -169,6 +180,7 @@ class Transducer:
 
 
 _LOADED: dict[str, Transducer] = {}
+remembers("pieces", lambda: [t.forget() for t in _LOADED.values()])
 
 
 def transducer(path: str) -> Transducer:
@@ -188,6 +200,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pieces")
         t = transducer(path)
         for b in pieces(batches, "text", 4 << 20):
             rows = []

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces
+from .common import as_bytes, claim, pieces
 
 #: (bytes from, lowest ratio, highest ratio). Short texts carry the frame's overhead and little context, so their band is wide.
 BANDS = [
@@ -105,6 +105,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", bands: list[tuple[int, fl
     limits = bands or BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         z = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
         for b in pieces(batches, text_col):
             yield b.filter(pa.array([judge(raw, z, limits, chunk, share)[6] for raw in as_bytes(b.column(text_col))], pa.bool_()))
@@ -127,6 +128,7 @@ def quality_rules(
     limits = bands or BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         z = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
         for b in pieces(batches, "text"):
             rows = []

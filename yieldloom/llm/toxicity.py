@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, stage
+from .common import as_bytes, claim, pieces, stage
 
 _PUNCTUATION = bytes(32 if chr(x) in ".,;:!?\"'()[]{}|-_*/<>" else x for x in range(256))
 
@@ -96,6 +96,7 @@ def word_counts(train: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for b in pieces(batches, "text"):
             both: tuple[Counter, Counter] = (Counter(), Counter())
             for raw, t in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
@@ -157,6 +158,7 @@ def _calibrate(model: ToxicModel, rows: DataFrame, bins: int = 512) -> None:
     """Logistic fit of the label on the evidence, from a histogram over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         hist = np.zeros((bins, 2), np.int64)
         for b in pieces(batches, "text"):
             for raw, t in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
@@ -187,6 +189,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", h
     passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for b in pieces(batches, "text"):
             found = [model.evidence(raw) for raw in as_bytes(b.column(2))]
             p = [model.probability(e) for e, _ in found]
