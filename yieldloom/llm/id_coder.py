@@ -191,15 +191,27 @@ def decode_block(block: bytes) -> np.ndarray:
 # ---- tokens --------------------------------------------------------------------------------------------------------
 
 
+class _Places(dict):
+    """Numbers of words in the order of their first sight; ``new`` lists those not encoded yet."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """Ids of words cut at ASCII white space, which the tokenizer drops; frequent words are remembered up to a bound."""
 
     MARK = "\x01"
 
-    def __init__(self, path: str, keep: int = 1 << 19):
+    def __init__(self, path: str, keep: int = 1 << 20):
         from tokenizers import Tokenizer
 
-        self.tok, self.keep = Tokenizer.from_file(path), keep
+        self.tok, self.keep, self.end = Tokenizer.from_file(path), keep, None
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         mark = self._ids(self.MARK)
         self.mark = mark[0] if len(mark) == 1 else None
@@ -209,64 +221,77 @@ class WordEncoder:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.start, self.size, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
-        self.hits = np.zeros(1 << 16, np.int64)
+        self.place = _Places()  # None stands for the end of a text
+        self.start, self.size, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[numbers], self.size[numbers] = self.used + start, size
+        self.used += len(ids)
 
     def _shrink(self) -> None:
         """Forget all but the more frequent half."""
-        words, k = list(self.place), len(self.place)
-        best = np.sort(np.argsort(-self.hits[:k], kind="stable")[: self.keep // 2])
-        kept = [(words[i], self.flat[self.start[i] : self.start[i] + self.size[i]].copy()) for i in best]
+        n = len(self.place)
+        best = np.sort(np.argsort(-self.hits[:n], kind="stable")[: self.keep // 2])
+        words = list(self.place)
+        size, old = self.size[best], self.start[best]
+        first = np.cumsum(size) - size
+        ids = self.flat[np.repeat(old - first, size) + np.arange(int(size.sum()))]
         hits = self.hits[best] // 2
         self._clear()
-        self._add([w for w, _ in kept], [x for _, x in kept])
-        self.hits[: len(kept)] = hits
-
-    def _add(self, words: list[bytes], ids: list[np.ndarray]) -> None:
-        k, need = len(self.place), sum(map(len, ids))
-        while k + len(words) > len(self.start):
-            self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
-            self.hits = np.append(self.hits, np.zeros_like(self.hits))
-        while self.used + need > len(self.flat):
-            self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        size = np.array([len(x) for x in ids], np.int64)
-        self.start[k : k + len(words)] = self.used + np.cumsum(size) - size
-        self.size[k : k + len(words)] = size
-        self.flat[self.used : self.used + need] = np.concatenate(ids)
-        self.used += need
-        self.place.update(zip(words, range(k, k + len(words)), strict=True))
-
-    def learn(self, words: list[bytes], group: int = 20000) -> None:
-        """Encode words that are not remembered, many in one call, a mark between them."""
-        plain = [w for w in words if self.mark is not None and b"\x01" not in w]
-        for at in range(0, len(plain), group):
-            part = plain[at : at + group]
-            ids = np.array(self._ids(f" {self.MARK} ".join(w.decode() for w in part)), np.int32)
+        self.place.update((words[i], k) for k, i in enumerate(best.tolist()))
+        self._room(len(best))
+        self.hits[: len(best)] = hits
+        self._store(np.arange(len(best)), ids, first, size)
+
+    def _room(self, n: int) -> None:
+        while n > len(self.start):
+            self.start, self.size, self.hits = (np.append(x, np.zeros_like(x)) for x in (self.start, self.size, self.hits))
+
+    def _learn(self, group: int = 20000) -> None:
+        """Encode the new words, many in one call, a mark between them."""
+        new, n = self.place.new, len(self.place)
+        self._room(n)
+        numbers = np.arange(n - len(new), n)
+        plain = np.array([w is not None and self.mark is not None and b"\x01" not in w for w in new], bool)
+        alone = np.flatnonzero(~plain).tolist()
+        at = np.flatnonzero(plain)
+        for i in range(0, len(at), group):
+            part = at[i : i + group]
+            ids = np.array(self._ids(f" {self.MARK} ".encode().join([new[k] for k in part.tolist()]).decode()), np.int32)
             cut = np.flatnonzero(ids == self.mark)
             if len(cut) == len(part) - 1:
-                self._add(part, [x[1:] if i else x for i, x in enumerate(np.split(ids, cut))])
-        for w in words:
-            if w not in self.place:
-                self._add([w], [np.array(self._ids(w.decode()), np.int32)])
+                start = np.concatenate([[0], cut + 1])
+                self._store(numbers[part], ids, start, np.append(cut, len(ids)) - start)
+            else:
+                alone += part.tolist()
+        for k in alone:
+            ids = np.array([self.end] if new[k] is None else self._ids(new[k].decode()), np.int32)
+            self._store(numbers[k : k + 1], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+        new.clear()
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end`` behind it, and the number of each."""
-        split = [t.split() for t in texts]
-        count = np.array([len(x) for x in split], np.int64)
+        if end != self.end:
+            self._clear()
+            self.end = end
         if len(self.place) > self.keep:
             self._shrink()
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in self.place]
-        if new:
-            self.learn(new)
+        split = [t.split() for t in texts]
+        for x in split:
+            x.append(None)
+        count = np.array([len(x) for x in split], np.int64)
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+        if self.place.new:
+            self._learn()
         self.hits[: len(self.place)] += np.bincount(at, minlength=len(self.place))
         size = self.size[at]
-        first = np.cumsum(size) - size
-        ids = self.flat[np.repeat(self.start[at] - first, size) + np.arange(int(size.sum()))]
-        bound = np.concatenate([[0], np.cumsum(size)])[np.cumsum(count)]
-        each = np.diff(bound, prepend=0) + 1
-        return np.insert(ids, bound, end).astype(np.int32), each
+        stop = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[at] - (stop - size), size) + np.arange(int(stop[-1]))]
+        return ids, np.diff(stop[np.cumsum(count) - 1], prepend=0)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -303,7 +328,7 @@ def write_ids(docs: DataFrame, path: str, end: int, label: str = "id-files", id_
             row = (part, block, len(flat), zlib.compress(index, 1), encode_block(flat, enc.vocab))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "n", "docs", "data"])
 
-        for b in pieces(batches, "text", 2 << 20):
+        for b in pieces(batches, "text", 4 << 20):
             ids, each = enc.encode(as_bytes(b.column("text")), end)
             held.append((b.column("doc_id").to_pylist(), ids, each))
             if sum(len(x[1]) for x in held) >= block_ids:
