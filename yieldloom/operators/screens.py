@@ -74,6 +74,12 @@ RETURN_THRESHOLDS = {
     "1Y": [-50, -25, -10, -5, 5, 10, 25, 50],
     "10Y": [-100, -50, -25, -10, 10, 25, 50, 100],
 }
+# Colour thresholds of the other coloured metrics.
+METRIC_THRESHOLDS = {
+    "PE": [-100, 0, 5, 15],
+    "PS": [-1000, -100, -10, -1, 0, 1, 2, 3, 5],
+    "yield": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10],
+}
 
 
 def hierarchy(df: DataFrame, size: str, color: str, edges: list[float]) -> DataFrame:
@@ -99,6 +105,7 @@ def weighted_mean(df: DataFrame, by: list[str], value: str, weight: str) -> Data
     return df.groupBy(*by).agg(F.when(total > 0, sdiv(F.sum(F.when(ok, v * w)), total)).otherwise(F.avg(v)).alias("weighted_mean"))
 
 
+# Names of payout frequencies.
 FREQUENCIES = ["Once per year", "Twice per year", "Thrice per year", "4 times per year"]
 
 

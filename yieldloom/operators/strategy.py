@@ -98,7 +98,7 @@ class Rule:
 
     @property
     def warmup(self) -> int:
-        """Sessions needed before the first signal can be trusted."""
+        """Sessions needed before the first signal can be trusted (fixed values)."""
         a, b, c, d = (int(v) for v in (self.a, self.b, self.c, self.d))
         return {
             "squeeze": a + d + 5,
@@ -370,6 +370,7 @@ def _wmean(v: str, w: str, cond: Column) -> Column:
     return F.try_divide(F.sum(F.when(use, F.col(v) * F.col(w))), F.sum(F.when(use, F.col(w).cast("double"))))
 
 
+# Weights of the blended strategy score.
 SUMMARY_WEIGHTS = {"val_avg_trade": 0.30, "val_win_rate": 0.15, "median_return": 0.15, "positive_pct": 0.15, "coverage_pct": 0.15, "drawdown_control": 0.10}
 
 
@@ -414,6 +415,7 @@ def best_combo(summary: DataFrame) -> DataFrame:
     return qualified(summary).orderBy(F.desc("score"), F.desc_nulls_last("val_avg_trade"), F.desc("val_trades"), "combo").limit(1)
 
 
+# Weights of a stock's own score.
 STOCK_WEIGHTS = {"val_avg_trade": 0.35, "val_win_rate": 0.20, "val_total_return": 0.20, "val_trades": 0.15, "drawdown_control": 0.10}
 
 
@@ -427,12 +429,13 @@ def stock_overrides(results: DataFrame, best: DataFrame) -> DataFrame:
     c = results.join(glob, "symbol").where((F.col("val_trades") > 0) & (F.col("val_total_return") > F.col("global_return") + 1e-9))
     c = c.withColumn("drawdown_control", -F.abs("val_max_drawdown"))
     for m, _ in STOCK_WEIGHTS.items():
-        part = Window.partitionBy("symbol", F.col(m).isNull())
-        r = F.rank().over(part.orderBy(m)) + (F.count("*").over(Window.partitionBy("symbol", m)) - 1) / 2
+        k = F.round(F.col(m).cast("double"), 9)  # equal results of combos that traded alike are ties, whatever the order of sums
+        part = Window.partitionBy("symbol", k.isNull())
+        r = F.rank().over(part.orderBy(k)) + (F.count("*").over(Window.partitionBy("symbol", k)) - 1) / 2
         c = c.withColumn(f"_r_{m}", F.when(F.col(m).isNotNull(), r / F.count("*").over(part)))
     score = sum((F.coalesce(F.col(f"_r_{m}"), F.lit(0.0)) * w * 100 for m, w in STOCK_WEIGHTS.items()), F.lit(0.0))
     c = c.withColumn("score", score)
-    rn = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("score"), F.desc("val_trades"), F.desc("val_avg_trade"), "combo"))
+    rn = F.row_number().over(Window.partitionBy("symbol").orderBy(F.round("score", 9).desc(), F.desc("val_trades"), F.round("val_avg_trade", 9).desc(), "combo"))
     return c.withColumn("_rn", rn).where("_rn = 1").select("symbol", "combo", "score", "val_trades", "val_avg_trade", "val_total_return", "global_return", (F.col("val_total_return") - F.col("global_return")).alias("return_uplift"))
 
 

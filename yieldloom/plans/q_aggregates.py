@@ -31,8 +31,8 @@ def _(m):
     return X.weighted_mean(scores(m), ["sector"], "yield", "mktCap").withColumn("weighted_mean", rnd("weighted_mean"))
 
 
-def _node(level, path, by):
-    grad = "CASE WHEN color<=-50 THEN 0 WHEN color<=-25 THEN 12.5 WHEN color<=-10 THEN 25 WHEN color<=-5 THEN 37.5 WHEN color<=5 THEN 50 WHEN color<=10 THEN 62.5 WHEN color<=25 THEN 75 WHEN color<=50 THEN 87.5 ELSE 100 END"
+def _node(level, path, by, edges=None):
+    grad = "CASE " + " ".join(f"WHEN color<={e} THEN {i * (100.0 / len(edges))!r}::DOUBLE" for i, e in enumerate(edges)) + " ELSE 100 END" if edges else "CASE WHEN color<=-50 THEN 0 WHEN color<=-25 THEN 12.5 WHEN color<=-10 THEN 25 WHEN color<=-5 THEN 37.5 WHEN color<=5 THEN 50 WHEN color<=10 THEN 62.5 WHEN color<=25 THEN 75 WHEN color<=50 THEN 87.5 ELSE 100 END"
     return f"SELECT level, path, R0{{size}} AS size, R6{{color}} AS color, CAST({grad} AS DOUBLE) AS color_grad FROM (SELECT '{level}' AS level, {path} AS path, sum(s) AS size, CASE WHEN sum(s)>0 THEN sum(s*c)/sum(s) ELSE avg(c) END AS color FROM n {by})"
 
 
@@ -44,6 +44,24 @@ def _(m):
     return rounded(X.hierarchy(d, "mktCap", "ret", X.RETURN_THRESHOLDS["1Y"]), ["level", "path", "color_grad"], 6, size=0)
 
 
+def _nodes(edges=None):
+    return " UNION ALL ".join([
+        _node("all", "'ALL'", "", edges), _node("sector", "sector", "GROUP BY sector", edges), _node("industry", "sector||'/'||industry", "GROUP BY sector, industry", edges),
+        _node("stock", "sector||'/'||industry||'/'||symbol", "GROUP BY sector, industry, symbol", edges)])
+
+
+def _metric_hierarchy(name, column, scale, edges):
+    @query(f"D04_hierarchy_{name}", f"n AS (SELECT sector, industry, symbol, CAST(mktCap AS DOUBLE) AS s, {column}*{scale} AS c FROM scores WHERE {column} IS NOT NULL) " + _nodes(edges))
+    def _(m):
+        d = scores(m).withColumn("metric", F.col(column) * scale)
+        return rounded(X.hierarchy(d, "mktCap", "metric", edges), ["level", "path", "color_grad"], 6, size=0)
+
+
+_metric_hierarchy("pe", "peRatio", 1, X.METRIC_THRESHOLDS["PE"])
+_metric_hierarchy("ps", "psRatio", 1, X.METRIC_THRESHOLDS["PS"])
+_metric_hierarchy("yield", "yield", 1, X.METRIC_THRESHOLDS["yield"])
+
+
 @query("D05_distinct_counts", "SELECT source, count(DISTINCT visitor) AS visitors, count(DISTINCT page) AS pages, count(*) AS visits FROM parsed WHERE kind='visit' GROUP BY source")
 def _(m):
     v = parse_logs(m.logs).where("kind = 'visit'")

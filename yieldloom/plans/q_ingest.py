@@ -209,14 +209,16 @@ def _(m):
 
 
 @query("A19_broker_history", """
-SELECT l_orderkey, l_linenumber, stock, CAST(lot AS DOUBLE) AS lot, CAST(CAST(dividend*100 AS BIGINT) AS DOUBLE) AS dividend, total, date FROM payments""")
+SELECT l_orderkey, stock, CAST(lot AS DOUBLE) AS lot, CAST(CAST(dividend*100 AS BIGINT) AS DOUBLE) AS dividend, total, date FROM payments""")
 def _(m):
     fill = lambda n: F.lit("\n" + "\n".join(["-"] * n) + "\n")
     text = F.concat(
         F.lit("header\nDIVIDEND "), "stock", F.lit(" cash"), fill(1), F.col("lot").cast("string"), fill(1), F.round(F.col("dividend") * 100).cast("long").cast("string"), fill(1),
         F.format_number("total", 0), fill(7), F.date_format("date", "d MMM yyyy"), F.lit("\nend"))
-    rec = I.payments_from_history(I.parse_broker_history(m.payments.select("l_orderkey", "l_linenumber", text.alias("text"))))
-    return rec.select("l_orderkey", "l_linenumber", "stock", F.col("lot_n").alias("lot"), F.col("dividend_n").alias("dividend"), F.col("total_n").alias("total"), F.col("pay_date").alias("date"))
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", text.alias("text"))))  # a statement holds the few payments of an order
+    statements = m.payments.groupBy("l_orderkey").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"))
+    rec = I.payments_from_history(I.parse_broker_history(statements))
+    return rec.select("l_orderkey", "stock", F.col("lot_n").alias("lot"), F.col("dividend_n").alias("dividend"), F.col("total_n").alias("total"), F.col("pay_date").alias("date"))
 
 
 shared("parsed", r"""

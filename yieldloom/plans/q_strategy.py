@@ -10,8 +10,10 @@ from ..operators import strategy as S
 from .oracle import shared
 from .registry import query
 
-RULES = S.rules("quick")
-IDS = {r.strategy: r.id for r in RULES}
+RULES = S.rules("balanced")  # the default search; the deep one has queries of its own
+DEEP = S.rules("deep")
+SCANNED = list(dict.fromkeys([*RULES, *S.rules("quick")]))  # a scan falls back to the baseline presets
+LOOKBACKS = sorted(S.lookbacks_of([*RULES, *DEEP, *SCANNED]))
 WARM = max(r.warmup for r in RULES)
 HOLDOUT = 28.0
 SCAN_DAY = "2001-11-05"
@@ -25,74 +27,115 @@ SELECT date, CASE WHEN sf>ss THEN 'bull' ELSE 'bear' END AS regime FROM (SELECT
 
 def _mom(name, src):
     shared(f"cal_{name}", f"SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM {src})")
-    shared(f"mom_{name}", f"""
+    for n in LOOKBACKS:
+        shared(f"mom{n}_{name}", f"""
 SELECT symbol, date, (rank() OVER (PARTITION BY date ORDER BY ret)+(count(*) OVER (PARTITION BY date, ret)-1)/2.0)/count(*) OVER (PARTITION BY date)*100 AS pct FROM
- (SELECT a.symbol, a.date, a.close/b.close-1 AS ret FROM (SELECT symbol, p.date, close, i FROM {src} p JOIN cal_{name} c ON p.date=c.date) a JOIN (SELECT symbol, p.date, close, i FROM {src} p JOIN cal_{name} c ON p.date=c.date) b ON a.symbol=b.symbol AND b.i=a.i-20)""")
+ (SELECT a.symbol, a.date, a.close/b.close-1 AS ret FROM (SELECT symbol, p.date, close, i FROM {src} p JOIN cal_{name} c ON p.date=c.date) a JOIN (SELECT symbol, p.date, close, i FROM {src} p JOIN cal_{name} c ON p.date=c.date) b ON a.symbol=b.symbol AND b.i=a.i-{n})""")
+    joins = " ".join(f"ASOF LEFT JOIN mom{n}_{name} m{n} ON m{n}.symbol=p.symbol AND p.date>=m{n}.date" for n in LOOKBACKS)
     shared(f"ser_{name}", f"""
-SELECT p.symbol, 'all' AS part, p.date, p.close, coalesce(r.regime,'bear') AS regime, b.close AS bench, m.pct, row_number() OVER (PARTITION BY p.symbol ORDER BY p.date) AS rn, NULL::DATE AS start
-FROM (SELECT symbol, date, close FROM {src}) p ASOF LEFT JOIN regime r ON p.date>=r.date ASOF LEFT JOIN bench b ON p.date>=b.date ASOF LEFT JOIN mom_{name} m ON m.symbol=p.symbol AND p.date>=m.date""")
+SELECT p.symbol, 'all' AS part, p.date, p.close, coalesce(r.regime,'bear') AS regime, b.close AS bench, {', '.join(f'm{n}.pct AS pct{n}' for n in LOOKBACKS)}, row_number() OVER (PARTITION BY p.symbol ORDER BY p.date) AS rn, NULL::DATE AS start
+FROM (SELECT symbol, date, close FROM {src}) p ASOF LEFT JOIN regime r ON p.date>=r.date ASOF LEFT JOIN bench b ON p.date>=b.date {joins}""")
 
 
 def _ew(x, q, alpha, t, w):
     return f"pow({q},{t})*sum(CASE WHEN {t}=1 THEN 1 ELSE {alpha} END*{x}*pow({q},-{t})) FILTER (WHERE {t}>=1) OVER {w}"
 
 
-def _signals(name, src):
+def _c(*parts):
+    """Column name of a parameterised indicator."""
+    return "_".join(f"{x:g}" if isinstance(x, (int, float)) else x for x in parts).replace(".", "p")
+
+
+def _rule_sql(r):
+    """(setup, exit, indicator) of a rule over the columns of i4, and the columns it needs by step."""
+    a, b, c, d = r.a, float(r.b), r.c, float(r.d)
+    bull = "regime='bull'"
+    need = {"rsi": set(), "ema": set(), "sma": set(), "band": set(), "high": set(), "low": set(), "lagged": set(), "was": {}, "tight": set(), "rs": set()}
+    if r.strategy == "regime_rsi":
+        need["rsi"], need["sma"] = {a}, {c}
+        return (f"CASE WHEN regime='bear' THEN rsi_{a}<{b} ELSE rsi_{a}<{d} AND close>sma_{c} END", "false", f"rsi_{a}"), need
+    if r.strategy == "bollinger_lower":
+        need["rsi"], need["band"] = {c}, {a}
+        low = f"(mid_{a}-{b}*sd_{a})"
+        return (f"close<{low} AND pc>=(pmid_{a}-{b}*psd_{a}) AND rsi_{c}<={d}", f"close>=mid_{a} AND pc<pmid_{a}", f"(close/{low}-1)*100"), need
+    if r.strategy == "rsi_recovery":
+        need["rsi"], need["was"] = {a}, {_c("os", a, b): (f"rsi_{a}<={b}", 5)}
+        if c:
+            need["sma"] = {c}
+        return (f"{_c('os', a, b)} AND rsi_{a}>{d} AND prsi_{a}<={d}" + (f" AND close>sma_{c}" if c else ""), f"rsi_{a}>=70 AND prsi_{a}<70", f"rsi_{a}"), need
+    if r.strategy == "donchian":
+        need["high"], need["low"] = {a}, {int(b)}
+        if c:
+            need["sma"] = {c}
+        k = 1 + d / 100
+        return (f"close>h_{a}*{k!r} AND pc<=ph_{a}*{k!r}" + (f" AND close>sma_{c}" if c else "") + f" AND {bull}", f"close<l_{int(b)}", f"(close/(h_{a}*{k!r})-1)*100"), need
+    if r.strategy == "squeeze":
+        need["band"], need["high"], need["tight"] = {a}, {c}, {(a, b, int(d))}
+        return (f"{_c('sq', a, b, d)} AND close>h_{c} AND pc<=ph_{c} AND {bull}", f"close<mid_{a}", f"bw_{a}"), need
+    if r.strategy == "trend_pullback":
+        f, g = a, int(b)
+        touch = _c("touch", f, c, d)
+        need["ema"], need["was"] = {f, g}, {touch: (f"close<=e_{f}*{1 + float(c) / 100!r}", int(d))}
+        return (f"{touch} AND e_{f}>e_{g} AND close>e_{f} AND pc<=pe_{f} AND {bull}", f"e_{f}<e_{g} OR (close<e_{f} AND pc>=pe_{f})", f"(close/e_{f}-1)*100"), need
+    rec = f"rsi_{c}>{d} AND prsi_{c}<={d}"
+    need["rsi"] = {c}
+    if r.strategy == "relative_strength":
+        need["rs"] = {a}
+        return (f"rs_{a}>={b} AND {rec} AND {bull}", f"rs_{a}<0", f"rs_{a}"), need
+    return (f"pct{a}>={b} AND {rec} AND {bull}", f"pct{a}<50", f"pct{a}"), need
+
+
+def _signals(name, rs):
+    """sig_{name}: setup, exit and indicator of every rule over the series ser_{name}."""
     w = "(PARTITION BY symbol, part ORDER BY rn)"
-    shared(f"i1_{name}", f"""
-SELECT *, {_ew('greatest(mv,0)', '13/14.0', '1/14.0', 'k', 'w')} AS u14, {_ew('greatest(-mv,0)', '13/14.0', '1/14.0', 'k', 'w')} AS d14,
- CASE WHEN rn>=20 THEN {_ew('close', '19/21.0', '2/21.0', 'rn', 'w')} END AS e20, CASE WHEN rn>=50 THEN {_ew('close', '49/51.0', '2/51.0', 'rn', 'w')} END AS e50
-FROM (SELECT *, rn-1 AS k, close-lag(close) OVER {w} AS mv FROM {src}) WINDOW w AS {w}""")
-    shared(f"i2_{name}", f"""
-SELECT symbol, part, rn, date, close, regime, bench, pct, start, e20, e50, CASE WHEN k>=14 THEN CASE WHEN d14>0 THEN 100-100/(1+u14/d14) WHEN u14>0 THEN 100 END END AS rsi,
- CASE WHEN rn>=50 THEN avg(close) OVER (PARTITION BY symbol, part ORDER BY rn ROWS 49 PRECEDING) END AS sma50,
- CASE WHEN rn>=20 THEN avg(close) OVER b20 END AS mid, CASE WHEN rn>=20 THEN stddev_samp(close) OVER b20 END AS sd,
- CASE WHEN rn>20 THEN max(close) OVER (PARTITION BY symbol, part ORDER BY rn ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS h20,
- CASE WHEN rn>10 THEN max(close) OVER (PARTITION BY symbol, part ORDER BY rn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) END AS h10,
- CASE WHEN rn>10 THEN min(close) OVER (PARTITION BY symbol, part ORDER BY rn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) END AS l10
-FROM i1_{name} WINDOW b20 AS (PARTITION BY symbol, part ORDER BY rn ROWS 19 PRECEDING)""")
-    shared(f"i3_{name}", f"""
-SELECT *, mid-2.0*sd AS low, sd*4/nullif(mid,0)*100 AS bw, lag(close) OVER w AS pc, lag(rsi) OVER w AS prsi, lag(mid-2.0*sd) OVER w AS plow, lag(mid) OVER w AS pmid, lag(h20) OVER w AS ph20, lag(h10) OVER w AS ph10, lag(e20) OVER w AS pe20,
- (close/lag(close,20) OVER w - bench/lag(bench,20) OVER w)*100 AS rs,
- coalesce(max(coalesce(rsi<=30,false)) OVER p5, false) AS os, coalesce(max(coalesce(close<=e20*1.02,false)) OVER p5, false) AS touch
-FROM i2_{name} WINDOW w AS {w}, p5 AS (PARTITION BY symbol, part ORDER BY rn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
-    shared(f"i4_{name}", f"""
-SELECT *, coalesce(max(coalesce(tight,false)) OVER (PARTITION BY symbol, part ORDER BY rn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), false) AS sq FROM
- (SELECT *, bw <= CASE WHEN count(bw) OVER q=120 THEN quantile_cont(bw,0.2) OVER q END AS tight FROM i3_{name} WINDOW q AS (PARTITION BY symbol, part ORDER BY rn ROWS 119 PRECEDING))""")
-    rec = "rsi>40 AND prsi<=40"
-    parts = {
-        "regime_rsi": ("CASE WHEN regime='bear' THEN rsi<30 ELSE rsi<45 AND close>sma50 END", "false", "rsi"),
-        "bollinger_lower": ("close<low AND pc>=plow AND rsi<=40", "close>=mid AND pc<pmid", "(close/low-1)*100"),
-        "rsi_recovery": ("os AND rsi>35 AND prsi<=35", "rsi>=70 AND prsi<70", "rsi"),
-        "donchian": ("close>h20 AND pc<=ph20 AND close>sma50 AND regime='bull'", "close<l10", "(close/h20-1)*100"),
-        "squeeze": ("sq AND close>h10 AND pc<=ph10 AND regime='bull'", "close<mid", "bw"),
-        "trend_pullback": ("touch AND e20>e50 AND close>e20 AND pc<=pe20 AND regime='bull'", "e20<e50 OR (close<e20 AND pc>=pe20)", "(close/e20-1)*100"),
-        "relative_strength": (f"rs>=2 AND {rec} AND regime='bull'", "rs<0", "rs"),
-        "cross_momentum": (f"pct>=80 AND {rec} AND regime='bull'", "pct<50", "pct"),
-    }
+    sql = {r.id: _rule_sql(r) for r in rs}
+    get = lambda k: sorted(set().union(*(n[k] for _, n in sql.values())))
+    was = {k: v for _, n in sql.values() for k, v in n["was"].items()}
+    rsi, ema, sma, band, high, low, tight = (get(k) for k in ("rsi", "ema", "sma", "band", "high", "low", "tight"))
+    back = lambda n: f"(PARTITION BY symbol, part ORDER BY rn ROWS {n - 1} PRECEDING)"
+    past = lambda n: f"(PARTITION BY symbol, part ORDER BY rn ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    i1 = [f"{_ew(f'greatest({s}mv,0)', f'{n - 1}/{n}.0', f'1/{n}.0', 'k', 'w')} AS {v}_{n}" for n in rsi for s, v in (("", "u"), ("-", "d"))]
+    i1 += [f"CASE WHEN rn>={n} THEN {_ew('close', f'{n - 1}/{n + 1}.0', f'2/{n + 1}.0', 'rn', 'w')} END AS e_{n}" for n in ema]
+    shared(f"i1_{name}", f"SELECT *, {', '.join(i1)} FROM (SELECT *, rn-1 AS k, close-lag(close) OVER {w} AS mv FROM ser_{name}) WINDOW w AS {w}")
+    i2 = [f"CASE WHEN k>={n} THEN CASE WHEN d_{n}>0 THEN 100-100/(1+u_{n}/d_{n}) WHEN u_{n}>0 THEN 100 END END AS rsi_{n}" for n in rsi]
+    i2 += [f"CASE WHEN rn>={n} THEN avg(close) OVER {back(n)} END AS sma_{n}" for n in sma]
+    i2 += [f"CASE WHEN rn>={n} THEN {f}(close) OVER {back(n)} END AS {v}_{n}" for n in band for f, v in (("avg", "mid"), ("stddev_samp", "sd"))]
+    i2 += [f"CASE WHEN rn>{n} THEN {f}(close) OVER {past(n)} END AS {v}_{n}" for f, v, ns in (("max", "h", high), ("min", "l", low)) for n in ns]
+    i2 += [f"(close/lag(close,{n}) OVER {w} - bench/lag(bench,{n}) OVER {w})*100 AS rs_{n}" for n in get("rs")]
+    shared(f"i2_{name}", f"SELECT *, {', '.join(i2)} FROM i1_{name}")
+    i3 = ["lag(close) OVER w AS pc"] + [f"lag({v}_{n}) OVER w AS p{v}_{n}" for v, ns in (("rsi", rsi), ("mid", band), ("sd", band), ("h", high), ("e", ema)) for n in ns]
+    i3 += [f"sd_{n}*4/nullif(mid_{n},0)*100 AS bw_{n}" for n in band]
+    i3 += [f"coalesce(max(coalesce({x},false)) OVER {past(n)}, false) AS {k}" for k, (x, n) in was.items()]
+    shared(f"i3_{name}", f"SELECT *, {', '.join(i3)} FROM i2_{name} WINDOW w AS {w}")
+    t = [f"bw_{n} <= CASE WHEN count(bw_{n}) OVER {back(d)}={d} THEN quantile_cont(bw_{n},{q / 100!r}) OVER {back(d)} END AS {_c('t', n, q, d)}" for n, q, d in tight]
+    sq = [f"coalesce(max(coalesce({_c('t', n, q, d)},false)) OVER {past(5)}, false) AS {_c('sq', n, q, d)}" for n, q, d in tight]
+    shared(f"i4_{name}", f"SELECT *, {', '.join(sq)} FROM (SELECT *, {', '.join(t)} FROM i3_{name})" if tight else f"SELECT * FROM i3_{name}")
     shared(f"sig_{name}", " UNION ALL ".join(
-        f"SELECT symbol, part, rn, date, close, regime, start, '{IDS[k]}' AS rule, coalesce({s},false) AS setup, coalesce({x},false) AS leave, {v} AS indicator FROM i4_{name}" for k, (s, x, v) in parts.items()))
+        f"SELECT symbol, part, rn, date, close, regime, start, '{k}' AS rule, coalesce({x},false) AS setup, coalesce({y},false) AS leave, {v} AS indicator FROM i4_{name}" for k, ((x, y, v), _) in sql.items()))
 
 
 _mom("all", "prices")
-_signals("all", "ser_all")
+_signals("all", RULES)
+shared("ser_deep", "SELECT * FROM ser_all")
+_signals("deep", DEEP)
 shared("cutoff", f"""
 SELECT symbol, count(*) AS n, CAST(floor(count(*)*{1 - HOLDOUT / 100!r}) AS INT) AS cut, CAST(floor(count(*)*{1 - HOLDOUT / 100!r}) AS INT)>={WARM} AND count(*)-CAST(floor(count(*)*{1 - HOLDOUT / 100!r}) AS INT)>={WARM} AS enough FROM prices GROUP BY symbol""")
 shared("ser_split", f"""
-SELECT symbol, part, date, close, regime, bench, pct, start, row_number() OVER (PARTITION BY symbol, part ORDER BY date) AS rn FROM
- (SELECT s.symbol, p.part, s.date, s.close, s.regime, s.bench, s.pct, (SELECT t.date FROM ser_all t WHERE t.symbol=s.symbol AND t.rn=c.cut+1) AS start FROM ser_all s JOIN cutoff c ON c.symbol=s.symbol AND enough,
+SELECT symbol, part, date, close, regime, bench, {', '.join(f'pct{n}' for n in LOOKBACKS)}, start, row_number() OVER (PARTITION BY symbol, part ORDER BY date) AS rn FROM
+ (SELECT s.symbol, p.part, s.date, s.close, s.regime, s.bench, {', '.join(f's.pct{n}' for n in LOOKBACKS)}, (SELECT t.date FROM ser_all t WHERE t.symbol=s.symbol AND t.rn=c.cut+1) AS start FROM ser_all s JOIN cutoff c ON c.symbol=s.symbol AND enough,
   (VALUES ('train'),('valid')) p(part) WHERE (p.part='train' AND s.rn<=c.cut) OR (p.part='valid' AND s.rn-1>=greatest(0,c.cut-{WARM})))""")
-_signals("split", "ser_split")
-shared("combos", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r.id}', '{r.strategy}', {h}, {t}, {s}, {r.b}, {r.d}, {r.warmup})" for i, (r, h, t, s) in enumerate(S.grid("quick"))) + ") c(combo, rule, strategy, max_hold, pt, sl, pb, pd, warm)")
+_signals("split", RULES)
+for _name, _preset in (("combos", "balanced"), ("combos_deep", "deep"), ("presets", "quick")):
+    shared(_name, "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r.id}', '{r.strategy}', {h}, {t}, {s}, {r.b}::DOUBLE, {r.d}::DOUBLE, {r.warmup})" for i, (r, h, t, s) in enumerate(S.grid(_preset))) + ") c(combo, rule, strategy, max_hold, pt, sl, pb, pd, warm)")
 
 
-def _trades(name):
+def _trades(name, combos="combos"):
     shared(f"act_{name}", f"""
 SELECT *, coalesce(lag(setup) OVER w,false) AS entry, coalesce(lag(leave) OVER w,false) AS out, max(rn) OVER (PARTITION BY symbol, part, rule) AS last FROM sig_{name} WINDOW w AS (PARTITION BY symbol, part, rule ORDER BY rn)""")
     shared(f"cand_{name}", f"""
 SELECT c.symbol, c.part, combo, c.rn AS e, any_value(c.date) AS entry_date, any_value(c.close) AS ep, any_value(c.regime) AS regime,
  coalesce(min(f.rn) FILTER (WHERE f.close>=c.close*(1+pt/100) OR f.close<=c.close*(1-sl/100) OR f.out OR f.rn-c.rn>=max_hold), max(f.rn)) AS x
-FROM act_{name} c JOIN combos k ON c.rule=k.rule JOIN act_{name} f ON f.symbol=c.symbol AND f.part=c.part AND f.rule=c.rule AND f.rn>c.rn AND f.rn<=c.rn+max_hold
+FROM act_{name} c JOIN {combos} k ON c.rule=k.rule JOIN act_{name} f ON f.symbol=c.symbol AND f.part=c.part AND f.rule=c.rule AND f.rn>c.rn AND f.rn<=c.rn+max_hold
 WHERE c.entry AND c.rn<c.last AND c.last>=k.warm AND (c.part<>'valid' OR c.date>=c.start) GROUP BY c.symbol, c.part, combo, c.rn""")
     shared(f"pick_{name}", f"""
 SELECT symbol, part, combo, min(e) AS e, arg_min(x,e) AS x, 1::BIGINT AS k FROM cand_{name} GROUP BY ALL
@@ -110,6 +153,7 @@ JOIN (SELECT symbol, part, combo, least(0,min(eq/pk-1))*100 AS max_drawdown FROM
 
 _trades("all")
 _trades("split")
+_trades("deep", "combos_deep")
 VAL = ["total_return", "win_rate", "max_drawdown", "trades", "avg_trade"]
 shared("hold_", f"""
 SELECT t.*, {', '.join(f'coalesce(v.{c},0) AS val_{c}' if c == 'trades' else f'v.{c} AS val_{c}' for c in VAL)} FROM (SELECT * EXCLUDE (part) FROM met_split WHERE part='train') t LEFT JOIN met_split v ON v.part='valid' AND v.symbol=t.symbol AND v.combo=t.combo""")
@@ -135,8 +179,8 @@ shared("qual", """
 SELECT * FROM (SELECT *, bool_or(ok) OVER () AS anyok FROM (SELECT *, stocks_validated>=greatest(3,ceil((max(stocks_tested) OVER ())*0.2)) AND val_trades>=greatest(20,2*max(stocks_tested) OVER ()) AS ok FROM strat)) WHERE CASE WHEN anyok THEN ok ELSE val_trades>0 END""")
 shared("bestc", "SELECT * FROM qual ORDER BY score DESC, val_avg_trade DESC NULLS LAST, val_trades DESC, combo LIMIT 1")
 shared("over", f"""
-SELECT symbol, combo, score, val_trades, val_avg_trade, val_total_return, gr AS global_return, val_total_return-gr AS return_uplift FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, val_trades DESC, val_avg_trade DESC, combo) AS k FROM
- (SELECT *, {' + '.join(f"{_pr(c if c != 'drawdown_control' else '(-abs(val_max_drawdown))', 'symbol')}*{w}*100" for c, w in S.STOCK_WEIGHTS.items())} AS score FROM
+SELECT symbol, combo, score, val_trades, val_avg_trade, val_total_return, gr AS global_return, val_total_return-gr AS return_uplift FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(score,9) DESC, val_trades DESC, round(val_avg_trade,9) DESC, combo) AS k FROM
+ (SELECT *, {' + '.join(f"{_pr(f"round({c}::DOUBLE,9)" if c != 'drawdown_control' else 'round(-abs(val_max_drawdown),9)', 'symbol')}*{w}*100" for c, w in S.STOCK_WEIGHTS.items())} AS score FROM
   (SELECT h.*, g.val_total_return AS gr FROM hold h JOIN (SELECT * FROM hold WHERE combo IN (SELECT combo FROM bestc) AND val_trades>0 AND val_total_return IS NOT NULL) g ON g.symbol=h.symbol WHERE h.val_trades>0 AND h.val_total_return>g.val_total_return+1e-9))) WHERE k=1""")
 shared("lastp", f"SELECT symbol, max(date) AS d, arg_max(close,date) AS c FROM prices GROUP BY symbol HAVING count(*)>={WARM} AND max(date)>=DATE '{SCAN_DAY}'-7")
 shared("quotes", "SELECT symbol, floor(price*100*(6+CAST(substr(symbol,2) AS BIGINT)%9)/10)/100 AS quote FROM profiles")
@@ -144,7 +188,7 @@ shared("live", f"""
 SELECT p.symbol, p.date, p.close FROM prices p JOIN lastp l ON p.symbol=l.symbol WHERE p.date < DATE '{SCAN_DAY}' UNION ALL
 SELECT l.symbol, DATE '{SCAN_DAY}', quote FROM lastp l JOIN quotes q ON l.symbol=q.symbol WHERE quote>0 AND quote/c BETWEEN 0.65 AND 1.35""")
 _mom("live", "live")
-_signals("live", "ser_live")
+_signals("live", SCANNED)
 
 # ---------------------------------------------------------------- queries
 
@@ -158,8 +202,8 @@ def all_signals(m, rs=RULES):
     return S.signals(series(m, lookbacks=S.lookbacks_of(rs)), rs)
 
 
-def quick(m):
-    return S.grid_table(m.spark, "quick")
+def grid(m, preset="balanced"):
+    return S.grid_table(m.spark, preset)
 
 
 @query("L01_wilder_rsi", """
@@ -206,14 +250,16 @@ def _(m):
         c("BBL_5_2.0", 3).alias("band_low"), c("BBM_5_2.0", 5).alias("band_mid"), c("BBU_5_2.0", 3).alias("band_high"), c("BBB_5_2.0", 4).alias("band_width"), c("BBP_5_2.0", 4).alias("band_pos"))
 
 
-def _strategy_query(number, rule):
-    @query(f"{number}_{rule.strategy}", f"SELECT symbol, date, setup, leave, R4{{indicator}} AS indicator FROM sig_all WHERE rule='{rule.id}'")
+def _strategy_query(number, strategy):
+    rs = [r for r in RULES if r.strategy == strategy]
+
+    @query(f"{number}_{strategy}", f"SELECT symbol, date, rule, setup, leave, R4{{indicator}} AS indicator FROM sig_all WHERE rule IN ({', '.join(repr(r.id) for r in rs)})")
     def _(m):
-        return all_signals(m, [rule]).select("symbol", "date", "setup", "leave", rnd("indicator", 4).alias("indicator"))
+        return all_signals(m, rs).select("symbol", "date", "rule", "setup", "leave", rnd("indicator", 4).alias("indicator"))
 
 
-for _n, _r in zip(("L04", "L05", "L06", "L07", "L08", "L09", "L10", "L11"), RULES):
-    _strategy_query(_n, _r)
+for _n, _s in zip(("L04", "L05", "L06", "L07", "L08", "L09", "L10", "L11"), S.STRATEGIES):
+    _strategy_query(_n, _s)
 
 
 @query("L12_warmup", f"""
@@ -230,7 +276,12 @@ TR = "symbol, combo, trade_no, entry_rn, exit_rn, entry_date, regime, entry_pric
 
 @query("L13_trades", f"SELECT {TR} FROM trd_all")
 def _(m):
-    return S.trades(series(m), RULES, quick(m)).select(*TR.split(", "))
+    return S.trades(series(m), RULES, grid(m)).select(*TR.split(", "))
+
+
+@query("L13_trades_deep", f"SELECT {TR} FROM trd_deep")
+def _(m):
+    return S.trades(series(m, lookbacks=S.lookbacks_of(DEEP)), DEEP, grid(m, "deep")).select(*TR.split(", "))
 
 
 MET = ["total_return", "win_rate", "avg_trade", "max_drawdown"]
@@ -238,13 +289,13 @@ MET = ["total_return", "win_rate", "avg_trade", "max_drawdown"]
 
 @query("L14_backtest_metrics", "SELECT symbol, combo, trades, bear_entries, bull_entries, " + ", ".join(f"R4{{{c}}} AS {c}" for c in MET) + " FROM met_all")
 def _(m):
-    d = S.metrics(S.trades(series(m), RULES, quick(m)))
+    d = S.metrics(S.trades(series(m), RULES, grid(m)))
     return d.select("symbol", "combo", "trades", "bear_entries", "bull_entries", *[rnd(c, 4).alias(c) for c in MET])
 
 
 def holdout(m):
     parts, status = S.split_series(series(m), HOLDOUT, WARM)
-    met = S.metrics(S.trades(parts, RULES, quick(m)))
+    met = S.metrics(S.trades(parts, RULES, grid(m)))
     return S.holdout_results(met), status
 
 
@@ -300,8 +351,10 @@ def _(m):
 
 
 @query("L20_setup_scan", f"""
-pl AS (SELECT l.symbol, k.strategy, k.rule, k.max_hold, k.sl AS stop_loss, k.pb, k.pd, CASE WHEN o.symbol IS NOT NULL THEN 'Stock-specific optimized' WHEN b.combo IS NOT NULL THEN 'Global optimized' ELSE 'Baseline preset' END AS parameter_source, CASE WHEN o.symbol IS NOT NULL THEN o.score ELSE b.score END AS score, o.return_uplift
- FROM lastp l CROSS JOIN combos k LEFT JOIN over o ON o.symbol=l.symbol AND o.combo=k.combo LEFT JOIN bestc b ON b.combo=k.combo),
+pl0 AS (SELECT l.symbol, q.strategy, coalesce(o.rule, g.rule, q.rule) AS rule, coalesce(o.max_hold, g.max_hold, {S.MAX_HOLD}) AS max_hold, coalesce(o.sl, g.sl, {S.STOP_LOSS}) AS stop_loss,
+ CASE WHEN o.symbol IS NOT NULL THEN 'Stock-specific optimized' WHEN g.combo IS NOT NULL THEN 'Global optimized' ELSE 'Baseline preset' END AS parameter_source, CASE WHEN o.symbol IS NOT NULL THEN o.score ELSE g.score END AS score, o.return_uplift
+ FROM lastp l CROSS JOIN presets q LEFT JOIN (SELECT v.symbol, v.score, v.return_uplift, k.* FROM over v JOIN combos k ON k.combo=v.combo) o ON o.symbol=l.symbol AND o.strategy=q.strategy LEFT JOIN (SELECT v.score, k.* FROM bestc v JOIN combos k ON k.combo=v.combo) g ON g.strategy=q.strategy),
+pl AS (SELECT pl0.*, p.pb, p.pd FROM pl0 JOIN (SELECT rule, pb, pd FROM combos UNION SELECT rule, pb, pd FROM presets) p ON p.rule=pl0.rule),
 nw AS (SELECT * FROM sig_live QUALIFY row_number() OVER (PARTITION BY symbol, rule ORDER BY rn DESC)=1), rg AS (SELECT arg_max(regime,date) AS mr FROM regime),
 j AS (SELECT pl.*, n.date, n.close, n.indicator AS i, n.setup, coalesce(CASE strategy WHEN 'regime_rsi' THEN n.indicator<=CASE WHEN mr='bull' THEN pd ELSE pb END+3 WHEN 'rsi_recovery' THEN n.indicator BETWEEN pb AND pd+3 WHEN 'bollinger_lower' THEN abs(n.indicator)<=3 WHEN 'donchian' THEN abs(n.indicator)<=3
  WHEN 'trend_pullback' THEN abs(n.indicator)<=3 WHEN 'relative_strength' THEN n.indicator>=pb-3 WHEN 'cross_momentum' THEN n.indicator>=pb-3 ELSE n.indicator<=3 END, false) AS near FROM pl JOIN nw n ON n.symbol=pl.symbol AND n.rule=pl.rule, rg)
@@ -312,8 +365,9 @@ def _(m):
     quote = F.floor(F.col("price") * 100 * (6 + F.expr("substr(symbol, 2)").cast("long") % 9) / 10) / 100
     px = S.with_live_quote(m.closes, m.profiles.select("symbol", quote.alias("quote")), SCAN_DAY, WARM)
     px = S.cut_lineage(px)
-    plan = S.scan_plan(px.select("symbol").distinct(), quick(m), quick(m), best, S.stock_overrides(res, best))
-    out = S.scan(S.signals(series(m, px), RULES), plan, quick(m), R.regime_series(m.benchmark))
+    plan = S.scan_plan(px.select("symbol").distinct(), grid(m, "quick"), grid(m), best, S.stock_overrides(res, best))
+    both = grid(m).unionByName(grid(m, "quick"))
+    out = S.scan(S.signals(series(m, px, S.lookbacks_of(SCANNED)), SCANNED), plan, both, R.regime_series(m.benchmark))
     return out.select(*[rnd(c, 4).alias(c) if c in ("indicator", "score", "return_uplift") else F.col(c) for c in out.columns])
 
 
@@ -321,7 +375,7 @@ def _(m):
 b AS (SELECT symbol, (arg_max(close,date)/arg_min(close,date)-1)*100 AS bh FROM prices GROUP BY symbol)
 SELECT m.symbol, combo, R4{bh} AS benchmark_return, R4{total_return-bh} AS alpha FROM met_all m JOIN b ON b.symbol=m.symbol""")
 def _(m):
-    d = S.metrics(S.trades(series(m), RULES, quick(m))).join(S.buy_and_hold(m.closes), "symbol")
+    d = S.metrics(S.trades(series(m), RULES, grid(m))).join(S.buy_and_hold(m.closes), "symbol")
     return d.select("symbol", "combo", rnd("benchmark_return", 4).alias("benchmark_return"), rnd(F.col("total_return") - F.col("benchmark_return"), 4).alias("alpha"))
 
 
