@@ -69,6 +69,15 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(chat.read_chats(stage(chat.format_chats(turns), "chats")))
 
 
+SQL_OP4 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+e AS (SELECT *, len(text) + len(regexp_extract_all(text, '\[\\*/?(?:INST|ROLE)\]|<\\*(?:/?s>|</?SYS>>)')) + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 7 ELSE 17 + len(role) END AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
     held = F.coalesce(doc_remainder("doc_id", 5) == 0, F.lit(False))
@@ -111,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": SQL_OP2, "op3_ngram_join": SQL_OP3, "op7_exact_dedup": SQL_OP7}
+    return {"op2_mix_sources": SQL_OP2, "op3_ngram_join": SQL_OP3, "op4_chat_format": SQL_OP4, "op7_exact_dedup": SQL_OP7}
