@@ -1,5 +1,6 @@
 """Source, ingest, sink and set-operation queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rnd
@@ -238,6 +239,16 @@ def _(m):
     return I.frame_digest(m.prices)
 
 
+@query("A21_digest_changes", "SELECT count(*) AS rows, true AS same_in_any_order, true AS changes_with_an_edit, false AS changes_with_nothing FROM prices")
+def _(m):
+    one = lambda d, n: I.frame_digest(d).select("rows", F.struct("xor", "total").alias(n))
+    first = F.row_number().over(Window.partitionBy("symbol").orderBy("date")) == 1
+    edit = m.prices.withColumn("close", F.col("close") + F.when((F.col("symbol") == "S000001") & first, 0.01).otherwise(0.0))
+    same = m.prices.withColumn("close", F.col("close") + 0.0)
+    j = one(m.prices, "a").crossJoin(one(m.prices.orderBy(F.desc("date"), "symbol"), "b").drop("rows")).crossJoin(one(edit, "c").drop("rows")).crossJoin(one(same, "d").drop("rows"))  # single rows
+    return j.select("rows", (F.col("a") == F.col("b")).alias("same_in_any_order"), (F.col("a") != F.col("c")).alias("changes_with_an_edit"), (F.col("a") != F.col("d")).alias("changes_with_nothing"))
+
+
 @query("A22_statement_rates", "SELECT f.symbol, f.date, f.reportedCurrency, CASE WHEN f.reportedCurrency='USD' THEN coalesce(x.close, 16618.0) ELSE 1 END AS rate FROM financials f ASOF LEFT JOIN (SELECT * FROM fx WHERE date>=DATE '1996-06-01') x ON f.date>=x.date")
 def _(m):
     return I.statement_rates(m.financials.select("symbol", "date", "reportedCurrency"), m.fx.where("date >= date'1996-06-01'"))
