@@ -161,3 +161,39 @@ def test_language_model_edges(spark):
     assert lm.score_corpus(h.empty(spark), doc_remainder("doc_id", 7) == 2).count() == 0
     all_out = lm.score_corpus(df, F.lit(True)).collect()
     assert all(r.train_tokens == 0 and r.score == r.base_score for r in all_out)
+
+
+def test_language_model_learns_from_every_training_document(spark):
+    # each document repeats ten words of its own, so only a network that has read it beats the unigram on it
+    rows = spark.createDataFrame([(d, " ".join(f"w{d}x{i}" for i in range(10)) + " ") for d in range(20)], "doc_id long, text string")
+    got = lm.score_corpus(rows.select("doc_id", F.repeat("text", 2500).alias("text")), F.lit(False)).collect()
+    assert len(got) == 20 and all(r.n_tokens == 25_001 for r in got)
+    assert all(r.score > 0.5 * r.base_score for r in got), sorted(r.score / r.base_score for r in got)
+
+
+def test_language_model_in_several_turns(spark):
+    df = h.edge(spark)
+    got = lm.score_corpus(df, F.lit(False), epochs=1, shard=12_000, workers=1).collect()
+    check(got, [(r.doc_id, r.text) for r in df.collect()], lambda d: False)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    again = lm.score_corpus(df.repartition(3), F.lit(False), epochs=1, shard=12_000, workers=1).collect()
+    assert np.allclose(sorted(r.score for r in got), sorted(r.score for r in again), rtol=1e-5)
+
+
+def test_training_reads_every_token_once():
+    seen = []
+    real = lm.gradients
+
+    def watch(p, xs, ys, h):
+        seen.extend(ys.reshape(-1).tolist())
+        return real(p, xs, ys, h)
+
+    lm.gradients = watch
+    try:
+        for n in (0, 1, 2, 50, 95, 96, 1000, 1001, 1047):
+            seen.clear()
+            stream = np.concatenate([[lm.END], 1 + np.arange(n) % 120])
+            lm.train(stream, lm.init_params(np.full(121, 5), 4, 1))
+            assert Counter(seen) == Counter(stream[1:].tolist())
+    finally:
+        lm.gradients = real
