@@ -147,6 +147,14 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert stage(spark, h.empty(spark), h.SF).count() == 0
 
 
+def test_near_stage_joins_at_four_fifths_of_five_words(spark):
+    text = " ".join(f"a{i}" for i in range(200))
+    more = text + " " + " ".join(f"b{i}" for i in range(40))  # 196 of 236 shingles of five words, 197 of 237 of four
+    less = text + " " + " ".join(f"c{i}" for i in range(60))  # 196 of 256
+    docs = spark.createDataFrame([(1, text), (2, more), (3, less)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, h.SF).collect()) == [1, 3]
+
+
 def test_registered_once_for_each_operator():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
