@@ -93,3 +93,16 @@ def test_connected(spark):
     got = {r.vertex: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: find(v) for e in edges for v in e if find(v) != v}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_without_id_link(spark):
+    w = [f"a{i}" for i in range(120)]
+    cut = lambda at: " ".join(w[at : at + 100])
+    other = [f"b{i}" for i in range(100)]
+    alone = [f"c{i}" for i in range(100)]
+    rows = [(1, cut(0)), (None, cut(7)), (2, cut(14))]  # 1 and 2 are linked only through the row without an id
+    rows += [(5, " ".join(other)), (None, " ".join(other + ["more"])), (None, " ".join(alone)), (None, " ".join(alone + ["more"])), (None, None)]
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(h.jaccard_components(rows), key=str)
+    assert sorted(r.component_id for r in got if r.component_id) == [1, 1, 1, 5, 5]
+    assert len({r.component for r in got if r.component is not None}) == 3

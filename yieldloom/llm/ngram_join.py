@@ -304,7 +304,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts without words (NULL, empty, white space) have an empty set and link
     with nothing, not even each other. Repeated rows link with each other; rows
-    with the same id and different texts are vertices of their own. An empty
+    with the same id and different texts are vertices of their own. Rows with a
+    NULL id link as all others and get the smallest id reachable, NULL if there is none. An empty
     table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
@@ -336,9 +337,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             ok = [xxhash.xxh3_128_digest(shingle_set(t, k).tobytes()) == s for t, s in zip(as_bytes(b.column("text")), b.column("sig").to_pylist(), strict=True)]
             yield b.filter(pa.array(ok, pa.bool_())).drop_columns(["sig"])
 
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
+        for b in pieces(batches, "text"):
+            sigs = [xxhash.xxh3_128_digest(shingle_set(t, k).tobytes()) for t in as_bytes(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), b.column("text")], names=["sig", "text"])
+
     slim = members.select(F.col("first_id").alias("doc_id"), "sig", "grp", "blk", "node")
-    found = src.drop("row_id").join(slim.hint("shuffle_hash"), "doc_id").select("grp", "blk", "node", "sig", "text")
-    written = stage(found.mapInArrow(same, "grp long, blk int, node long, text string"), "ngram-texts")
+    by_id = src.drop("row_id").join(slim.hint("shuffle_hash"), "doc_id").select("grp", "blk", "node", "sig", "text").mapInArrow(same, "grp long, blk int, node long, text string")
+    # sets whose rows have no id are met by the set itself
+    nameless = src.where("doc_id is null").select("text").mapInArrow(signed, "sig binary, text string").dropDuplicates(["sig"])
+    by_set = nameless.join(slim.where("doc_id is null").hint("shuffle_hash"), "sig").select("grp", "blk", "node", "text")
+    written = stage(by_id.union(by_set), "ngram-texts")
     texts = written.dropDuplicates(["node"])
 
     ordered = texts.repartition("grp", "blk").sortWithinPartitions("grp", "blk")
