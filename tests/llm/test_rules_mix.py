@@ -99,3 +99,25 @@ def test_chat_edges(spark):
     got = {r.conv_id: r for r in chat.digest_chats(chat.read_chats(chat.format_chats(spark.createDataFrame(rows, schema)))).collect()}
     assert got[1].n_turns == 2 and got[None].n_turns == 1 and got[2].loss_sha256 == hashlib.sha256(b"ab").hexdigest()
     assert chat.digest_chats(chat.read_chats(chat.format_chats(spark.createDataFrame([], schema)))).count() == 0
+
+
+def test_every_byte_lies_in_a_judged_chunk():
+    import random
+
+    import zstandard
+
+    rnd, seen = random.Random(4), []
+    z = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+
+    class Watch:
+        def compress(self, raw):
+            seen.append(raw)
+            return z.compress(raw)
+
+    clean = " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 9))) for _ in range(2000)).encode()
+    for n in (0, 1, 4095, 4096, 4097, 6000, 6143, 6144, 8191, 9000, 11_000):
+        seen.clear()
+        quality.verdict(clean[:n], Watch(), quality.BANDS, quality.CHUNK, 0.5)
+        assert b"".join(seen[1:] or seen) == clean[:n] and all(len(x) <= quality.CHUNK for x in seen[1:])
+    tails = [quality.verdict(clean[:4096] + b"x" * n, z, quality.BANDS, quality.CHUNK, 0.5)[3] for n in (0, 1990, 2100)]
+    assert tails == ["", "repetitive", "repetitive"]

@@ -1,7 +1,7 @@
 """Quality rules by compression bands.
 
-zstandard ratios (compressed by raw bytes) of the whole text and of its fixed
-chunks are held against a band that depends on the length: text below the band
+zstandard ratios (compressed by raw bytes) of the whole text and of its chunks
+(as few equal ones of at most ``CHUNK`` bytes as hold all of it) are held against a band that depends on the length: text below the band
 repeats itself, text above it looks random. Every text is judged on its own,
 so nothing is shuffled and memory follows one slice of a batch.
 """
@@ -81,10 +81,9 @@ def verdict(raw: bytes, z: zstandard.ZstdCompressor, bands: list[tuple[int, floa
     ratio = len(z.compress(raw)) / len(raw)
     low, high = band(len(raw), bands)
     below = above = n = 0
-    for at in range(0, len(raw), chunk):
-        part = raw[at : at + chunk]
-        if n and len(part) < chunk // 2:  # a short tail is judged with the whole only
-            break
+    cuts = -(-len(raw) // chunk)
+    for i in range(cuts):
+        part = raw[len(raw) * i // cuts : len(raw) * (i + 1) // cuts]
         r = ratio if len(part) == len(raw) else len(z.compress(part)) / len(part)
         a, b = band(len(part), bands)
         below, above, n = below + (r < a), above + (r > b), n + 1
