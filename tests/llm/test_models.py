@@ -7,6 +7,7 @@ from collections import Counter
 
 import helpers as h
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -94,6 +95,14 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(h.empty(spark), model).count() == 0
 
 
+def test_toxicity_lexicon_is_never_cut(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(12_000)) for x in "ab")
+    train = spark.createDataFrame([(one, 1)] * 40 + [(two, 0)] * 40, "text string, toxic int")
+    assert len(toxicity.fit_toxicity(train).lexicon) == 24_000
+    with pytest.raises(ValueError):
+        toxicity.fit_toxicity(train, size=23_999)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     p = {k: v.astype(float) + rng.normal(0, 0.1, v.shape) for k, v in lm.init_params(np.arange(200, 70, -1), 5, 1).items()}

@@ -8,7 +8,7 @@ sum of the significant segments is calibrated to a probability on the training
 texts.
 
 Word counts cover every training text and combine before they shuffle; the
-lexicon that travels to the tasks is bounded by ``size``, the calibration
+lexicon that travels to the tasks is whole or, beyond ``size``, an error; the calibration
 reads a histogram of bounded size.
 """
 
@@ -111,10 +111,11 @@ def word_counts(train: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def fit_toxicity(train: DataFrame, prior: float = 0.1, least_z: float = 3.0, size: int = 20000) -> ToxicModel:
+def fit_toxicity(train: DataFrame, prior: float = 0.1, least_z: float = 3.0, size: int = 500_000) -> ToxicModel:
     """Learn from (text, toxic) with toxic 0 or 1; rows with another label are left out. Without both labels every score is (almost) 0.
 
     ``prior`` is the weight of the Dirichlet prior as a share of the corpus, so it means the same at every size.
+    The lexicon holds every word of either sign with |z| >= ``least_z``; if there are more than ``size``, it stops with an error.
     """
     rows = stage(train.where("toxic in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")), "toxic-train")
     counts = stage(word_counts(rows), "toxic-words")
@@ -126,7 +127,9 @@ def fit_toxicity(train: DataFrame, prior: float = 0.1, least_z: float = 3.0, siz
     yt, yo = F.col("toxic") + a, F.col("other") + a
     delta = F.log(yt / (F.lit(t + prior_size) - yt)) - F.log(yo / (F.lit(o + prior_size) - yo))
     scored = counts.withColumn("delta", delta).withColumn("z", F.col("delta") / F.sqrt(1 / yt + 1 / yo))
-    lex = scored.where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "word").limit(size).select("word", "delta", "toxic", "other").collect()
+    lex = scored.where(F.abs("z") >= least_z).orderBy("word").select("word", "delta", "toxic", "other").limit(size + 1).collect()
+    if len(lex) > size:
+        raise ValueError(f"more than {size} words reach |z| >= {least_z}; raise size or least_z")
     model = ToxicModel({bytes(r["word"]): float(r["delta"]) for r in lex})
     _chance(model, [(float(r["delta"]), r["other"] / o) for r in lex])
     _calibrate(model, rows)
