@@ -93,6 +93,11 @@ def test_sentencepiece_query(spark):
     assert pieces_fst.encode_pieces(h.empty(spark), PIECES).count() == 0
 
 
+def test_sentencepiece_query_returns_ids(spark):
+    got = queries.op8_sentencepiece(spark, h.SF).collect()
+    assert got and all(r.n_tokens == len(r.ids) and r.ids_crc32 == crc(r.ids) for r in got)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     err, _ = compare(queries.queries()[name](spark, h.SF), queries.oracle_sql()[name], connect(h.SF))

@@ -104,7 +104,7 @@ FROM n
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces_fst.encode_pieces(_docs(spark, sf_dir), vocabulary("piece_bpe_32k.model"), with_ids=False)
+    return pieces_fst.encode_pieces(_docs(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
