@@ -287,3 +287,14 @@ def test_signal_returns_alternate(spark):
     sig = spark.createDataFrame(pd.DataFrame({"symbol": "A", "date": days(4), "signal": ["buy", "buy", "sell", "buy"]}), "symbol string, date date, signal string")
     r = L.signal_returns(px, sig, "m").first()
     assert r["m_trades"] == 2 and r["m_return"] == pytest.approx(0.0)
+
+
+def test_boosted_trees_run_at_the_operators_defaults(monkeypatch):
+    from yieldloom.plans import q_ops, registry
+
+    registry.queries()
+    asked = []
+    monkeypatch.setattr(q_ops, "modelled", lambda m, **how: asked.append(how) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        registry._QUERIES["N07_boosted_trees"](None)
+    assert asked == [{"kind": "boosted"}]
