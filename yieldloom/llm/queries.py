@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, id_coder, langid, lm, mixing, ngram_join, pieces_fst, quality, toxicity
+from . import chat, collocations, exact_dedup, id_coder, langid, lm, mixing, ngram_join, pieces_fst, quality, ranked, secret_scan, toxicity
 from .common import doc_remainder, stage, vocabulary
 
 
@@ -115,9 +115,52 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_corpus(_docs(spark, sf_dir), doc_remainder("doc_id", 7) == 2)
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest_spans(secret_scan.scan_secrets(_docs(spark, sf_dir)))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_docs(spark, sf_dir))
+
+
+SQL_OP12 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+')), '[^\x20\x09]+') AS ws FROM d),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) x(k))),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+u AS (SELECT c.*, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.phrase, u.a, u.cut, l.a AS l, r.a AS r, (u.a::HUGEINT * 2000000 // (l.a + r.a))::BIGINT AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(u.ws[1:u.cut], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(u.ws[u.cut + 1:u.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, a, k, ws, unnest(range(2, k)) AS m FROM c),
+o AS (SELECT lang, array_to_string(ws[j:j + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, a, ws, m, unnest(range(1, k - m + 2)) AS j FROM i) GROUP BY ALL),
+e AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) AS rank FROM b LEFT JOIN o USING (lang, phrase)
+      WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, rank::INT AS rank, phrase, a, l, r, n, score FROM e JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+SQL_OP13 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT count(*)::BIGINT AS nn, sum(len(ws))::BIGINT AS ll FROM d WHERE len(ws) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(ws)::BIGINT AS n, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(nn) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM p, t GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term), t GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_ngram_join, op4_chat_format, op5_toxicity, op6_token_ids, op7_exact_dedup, op8_sentencepiece, op9_quality_rules, op10_language_model)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_ngram_join, op4_chat_format, op5_toxicity, op6_token_ids, op7_exact_dedup, op8_sentencepiece, op9_quality_rules, op10_language_model, op11_secrets, op12_collocations, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": SQL_OP2, "op3_ngram_join": SQL_OP3, "op4_chat_format": SQL_OP4, "op7_exact_dedup": SQL_OP7}
+    return {"op2_mix_sources": SQL_OP2, "op3_ngram_join": SQL_OP3, "op4_chat_format": SQL_OP4, "op7_exact_dedup": SQL_OP7, "op12_collocations": SQL_OP12, "op13_ranked_search": SQL_OP13}
