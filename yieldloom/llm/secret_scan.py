@@ -35,11 +35,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A name that announces a credential, then a separator; what follows up to white space, a quote or a bracket is the value.
 CONTEXT = re.compile(
-    r"(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_-])*(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|api[_-]?key|(?:access|private|secret|signing|encryption)[_-]?key)"
+    r"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|api[_-]?key|(?:access|private|secret|signing|encryption)[_-]?key)"
     r"(?:[\"']?[\x20\t]*(?:[:=]|=>)|[\x20\t]+is)[\x20\t]*[\"']?(?:(?:bearer|basic)[\x20\t]+)?([^\s\"'<>(){}\[\],;]+)"
     r"|(?<![A-Za-z0-9])bearer[\x20\t]+([^\s\"'<>(){}\[\],;]+)|://[^\s:/@]+:([^\s/@]+)@",
     re.ASCII | re.IGNORECASE,
 )
+#: One of these is in every text, lower-cased, that the patterns above find something in.
+NAMES = ("pass", "pwd", "secret", "token", "credential", "auth", "key", "bearer", "://")
+_HEX_RUN, _HEX = b"h" * 24, bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 # fixed values: keyboard rows, each shifted half a key to the right of the one above, and usual letter substitutes
@@ -158,11 +161,11 @@ def best_cut(value: str, costs: dict[str, int]) -> tuple[int, list[tuple[int, in
     return whole[n], cut[::-1]
 
 
-def fixed_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the fixed patterns, code points, end exclusive."""
-    out = [(*m.span(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-    out += [(*m.span(), "access") for m in ACCESS.finditer(text)]
-    out += [(*m.span(), "hex") for m in HEX.finditer(text)]
+def fixed_spans(text: str, raw: bytes, named: bool) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the fixed patterns, code points, end exclusive; cheap tests leave out texts that can hold none."""
+    out = [(*m.span(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if named else []
+    out += [(*m.span(), "access") for m in ACCESS.finditer(text)] if "AKIA" in text else []
+    out += [(*m.span(), "hex") for m in HEX.finditer(text)] if _HEX_RUN in raw.translate(_HEX) else []
     return out
 
 
@@ -171,16 +174,20 @@ def credential_values(text: str) -> list[tuple[int, int]]:
     out = []
     for m in CONTEXT.finditer(text):
         i, j = m.span(m.lastindex)
-        j = i + len(text[i:j].rstrip(".:!?"))
+        if text[j : j + 1] != "@":
+            j = i + len(text[i:j].rstrip(".:!?"))
         if j - i >= LEAST_CHARS:
             out.append((i, j))
     return out
 
 
-def scan(text: str, costs: dict[str, int], least: float = LEAST_BITS) -> list[tuple[str, int, int, float | None]]:
+def scan(raw: bytes, costs: dict[str, int], least: float = LEAST_BITS) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, bits) by start, then kind: the fixed patterns and values that take 2^least guesses or more; bits only for those."""
-    found = [(k, i, j, None) for i, j, k in fixed_spans(text)]
-    for i, j in credential_values(text):
+    text = raw.decode()
+    small = raw.lower().decode()
+    named = any(x in small for x in NAMES)
+    found = [(k, i, j, None) for i, j, k in fixed_spans(text, raw, named)]
+    for i, j in credential_values(text) if named else ():
         if not any(a < j and i < b for _, a, b, _ in found):
             bits = best_cut(text[i:j], costs)[0] / 1000
             if bits >= least:
@@ -224,7 +231,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         claim()
         costs = known.value
         for b in pieces(batches, "text"):
-            found = [[dict(zip(("kind", "start", "end", "bits"), x, strict=True)) for x in scan(raw.decode(), costs, least)] for raw in as_bytes(b.column("text"))]
+            found = [[dict(zip(("kind", "start", "end", "bits"), x, strict=True)) for x in scan(raw, costs, least)] for raw in as_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, span)], names=["doc_id", "spans"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
