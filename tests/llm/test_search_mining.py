@@ -121,6 +121,15 @@ def test_secret_query(spark):
         assert [x for x in r.spans.split(",") if x and not x.startswith("guess")] == fixed
 
 
+def test_secret_digests(spark):
+    docs = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
+    costs = ss.word_costs(docs)
+    for r in ss.digest_spans(ss.scan_secrets(docs)).collect():
+        found = [f"{k}:{i}:{j}" for k, i, j, _ in ss.scan(SECRETS[r.doc_id].encode(), costs)]
+        assert r.spans == ",".join(found) and r.base_sha256 == hashlib.sha256(",".join(plain_fixed(SECRETS[r.doc_id])).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex, r.n_guess] == [sum(x.startswith(k) for x in found) for k in ss.KINDS]
+
+
 def test_secret_edges(spark):
     docs = h.edge(spark)
     got = ss.digest_spans(ss.scan_secrets(docs)).collect()
@@ -184,12 +193,15 @@ def test_collocation_edges(spark):
 
 
 def test_phrase_keys_and_filter(spark):
-    raw = b"a b, a b c"
-    words = co.words(raw)
-    assert words == [b"a", b"b", b",", b"a", b"b", b"c"]
-    hashes = np.array([co._WORDS[w] for w in words], np.uint64)
-    keys = co.phrase_keys(hashes, np.full(6, 5, np.uint64))
-    assert keys[1][0][0] == keys[1][0][3] and keys[1][1].tolist() == [True, False, False, True, True] and keys[2][1].tolist() == [False, False, False, True]
+    raw = co.fold(b" A b!\t\ta  b c")
+    start, end, hashes = co.split_words(raw)
+    assert [raw[i:j] for i, j in zip(start, end)] == [b"a", b"b", b"", b"a", b"b", b"c", b""]
+    assert hashes[0] == hashes[3] != hashes[1] and hashes[2] == hashes[6] == 0
+    keys = co.phrase_keys(hashes, np.full(7, 5, np.uint64))
+    assert keys[1][0][0] == keys[1][0][3] and keys[1][1].tolist() == [True, False, False, True, True, False] and keys[2][1].tolist() == [False, False, False, True, False]
+    long = [b"x" * n + t for n in (0, 1, 5, 70000) for t in (b"a", b"b", b"\xc3\xa9")]
+    assert len(set(co.split_words(co.fold(b" ".join(long)))[2].tolist())) == len(long) + 1
+    assert [len(x) for x in co.split_words(co.fold(b""))] == [1, 1, 1]
     some = np.random.default_rng(1).integers(0, 2**62, 500).astype(np.uint64)
     f = co.Filter(16).plus(spark.createDataFrame([(int(np.int64(x)),) for x in some[:250].astype(np.int64)], "key long"))
     assert f.has(some[:250]).all() and f.has(some[250:]).mean() < 0.05

@@ -26,33 +26,20 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, claim, doc_remainder, pieces, remembers, stage
+from .common import as_bytes, claim, doc_remainder, pieces, stage
 
 FILTER_BITS = 28
 LONGEST = 4
-SLICE = 16 << 20
+SLICE = 4 << 20
 _CUT = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 44 if c in _CUT else c for c in range(256))
+_INSIDE = bytes(c not in b", \t" for c in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Words(dict):
-    """Hashes of words, never 0, remembered up to a bound; the comma, which cuts pieces, is 0."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) >= 1 << 17:
-            self.clear()
-        h = self[w] = 0 if w == b"," else xxhash.xxh3_64_intdigest(w) or 1
-        return h
-
-
-_WORDS = _Words()
-remembers("phrases", _WORDS.clear)
-
-
-def words(raw: bytes) -> list[bytes]:
-    """Words of a text, A-Z lower-cased, with a comma where a piece ends."""
-    return raw.translate(_TABLE).replace(b",", b" , ").split()
+def fold(raw: bytes) -> bytes:
+    """A text with A-Z lower-cased, a comma for everything that ends a piece and one at its end."""
+    return raw.translate(_TABLE) + b","
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,6 +48,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def split_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of every word of a folded text, in order, with an empty entry of hash 0 where a piece ends.
+
+    The hash is a polynomial in the word's bytes, computed for all words at once; it is 0 for no word.
+    """
+    byte = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(raw) + 1, bool)
+    inside[:-1] = np.frombuffer(raw.translate(_INSIDE), bool)
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edge = np.insert(edge, 0, 0)
+    first, last = edge[::2], edge[1::2]
+    stop = np.flatnonzero(byte == 44)
+    start, end = np.concatenate([first, stop]), np.concatenate([last, stop])
+    order = np.argsort(start, kind="stable")
+    hashes = np.zeros(len(start), np.uint64)
+    if len(first):
+        size = last - first
+        at = np.cumsum(size) - size
+        power = np.cumprod(np.full(int(size.max()), _A, np.uint64))
+        place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(at.astype(np.int32), size)
+        own = _mix(np.add.reduceat(power[place] * (byte[inside[:-1]] + np.uint64(1)), at))
+        own[own == 0] = 1
+        hashes[: len(first)] = own
+    return start[order], end[order], hashes[order]
+
+
 def phrase_keys(hashes: np.ndarray, seeds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For lengths 1 to 4: keys of the phrases that start at each word (the length minus one in the last two bits), and which of them exist."""
     out, h, ok = [], seeds, np.ones(len(hashes), bool)
@@ -101,28 +115,26 @@ class Filter:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]):
-    """Words, hashes, language seeds and language numbers of slices of whole texts, and the slice's languages."""
+    """Slices of whole texts: the folded text, start, end, hash, language seed and language number of every word, and the languages."""
     for b in pieces(batches, "text", SLICE):
         known: dict[str, int] = {}
-        found, lens, lang = [], [], []
-        for raw, name in zip(as_bytes(b.column("text")), b.column("lang").to_pylist(), strict=True):
-            own = words(raw)
-            own.append(b",")
-            found += own
-            lens.append(len(own))
-            lang.append(known.setdefault(name, len(known)))
-        hashes = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+        lang = np.array([known.setdefault(x, len(known)) for x in b.column("lang").to_pylist()], np.int64)
+        texts = [fold(x) for x in as_bytes(b.column("text"))]
+        ends = np.cumsum([len(x) for x in texts])
+        raw = b"".join(texts)
+        del texts
+        start, end, hashes = split_words(raw)
+        of = lang[np.searchsorted(ends, start, side="right")]
         seed = np.array([xxhash.xxh3_64_intdigest(x) for x in known], np.uint64)
-        of = np.repeat(np.array(lang, np.int64), lens)
-        yield found, hashes, seed[of], of, list(known)
+        yield raw, start, end, hashes, seed[of], of, list(known)
 
 
 def _tally(levels: tuple[int, ...], known, before, parts: int):
     """Slices -> (part, keys, counts): phrases of the given lengths whose parts are both in ``known`` but not both in ``before``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("phrases")
-        for _, hashes, seeds, _, _ in _slices(batches):
+        claim()
+        for _, _, _, hashes, seeds, _, _ in _slices(batches):
             counted, prev = [], None
             for k, (keys, ok) in enumerate(phrase_keys(hashes, seeds), 1):
                 if k > max(levels):
@@ -179,8 +191,8 @@ def _by_words(known):
     """Slices -> (lang, k, phrase, n): phrases in ``known``, whose parts are too, by their words; k = 0 has the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("phrases")
-        for found, hashes, seeds, of, langs in _slices(batches):
+        claim()
+        for raw, start, end, hashes, seeds, of, langs in _slices(batches):
             all_ = np.bincount(of[hashes != 0], minlength=len(langs))
             out = [(x, 0, "", int(c)) for x, c in zip(langs, all_, strict=True) if c]
             prev = None
@@ -192,7 +204,7 @@ def _by_words(known):
                 _, first, n = np.unique(keys[at], return_index=True, return_counts=True)
                 texts: dict[tuple, int] = {}
                 for i, c in zip(at[first].tolist(), n.tolist(), strict=True):
-                    texts[langs[of[i]], b" ".join(found[i : i + k])] = c
+                    texts[langs[of[i]], b" ".join([raw[a:z] for a, z in zip(start[i : i + k].tolist(), end[i : i + k].tolist(), strict=True)])] = c
                 out += [(x, k, p.decode(), c) for (x, p), c in texts.items()]
             for lo in range(0, len(out), 8192):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 8192], strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "k", "phrase", "n"])

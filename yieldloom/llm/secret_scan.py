@@ -240,7 +240,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def digest_spans(found: DataFrame) -> DataFrame:
     """doc_id, numbers of fixed spans by kind, their digest, and all spans, each as kind:start:end."""
-    said = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
-    fixed = F.transform(F.filter("spans", lambda s: s["kind"] != "guess"), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
-    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *count[:3], F.sha2(F.array_join(fixed, ","), 256).alias("base_sha256"), F.array_join(said, ",").alias("spans"), count[3])
+
+    def said(spans: str) -> str:
+        return f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+
+    fixed = F.expr(said("filter(spans, s -> s.kind <> 'guess')"))
+    count = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *count[:3], F.sha2(fixed, 256).alias("base_sha256"), F.expr(said("spans")).alias("spans"), count[3])
