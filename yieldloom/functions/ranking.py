@@ -2,35 +2,16 @@
 
 A window without a bounded partition would bring a whole market, or one hot
 group of it, into one task. Here a range sort spreads the rows over all tasks
-(a unique key splits ties), the order is written once with ``checkpoint`` and
-the global position is the row's place in its partition plus the size of the
-partitions before it. Only one row per *partition* is handled in one place.
+(a unique key splits ties) and ``scan_sorted`` reads places, ties and sums off
+the sorted partitions. Only one row per *partition* is handled in one place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
-_PLACE_BITS = 33  # monotonically_increasing_id keeps the row's place in the low bits
-
-
-def _ordered(df: DataFrame, order: list[Column | str]) -> DataFrame:
-    return cut_lineage(
-        df.orderBy(*order)
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_pid", F.shiftright("_mid", _PLACE_BITS))
-        .withColumn("_place", F.col("_mid").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
-        .drop("_mid")
-    )
-
-
-def _offsets(saved: DataFrame, weight: Column) -> DataFrame:
-    totals = saved.groupBy("_pid").agg(F.sum(weight).alias("_w"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select("_pid", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_off"))
+from .scan import scan_sorted
 
 
 def order_index(df: DataFrame, order: list[Column | str], out: str = "_rn") -> DataFrame:
@@ -38,21 +19,12 @@ def order_index(df: DataFrame, order: list[Column | str], out: str = "_rn") -> D
 
     ``order`` has to end in a unique key.
     """
-    saved = _ordered(df, order)
-    offs = F.broadcast(_offsets(saved, F.lit(1)))  # one row per partition
-    return saved.join(offs, "_pid").withColumn(out, F.col("_off") + F.col("_place") + 1).drop("_pid", "_place", "_off")
+    return scan_sorted(df, [], order).withColumnRenamed("_place", out).drop("_n")
 
 
-def running_before(df: DataFrame, order: list[Column | str], weight: str, out: str = "_before") -> DataFrame:
-    """Add the sum of ``weight`` over all rows strictly earlier in the order."""
-    saved = _ordered(df, order)
-    offs = F.broadcast(_offsets(saved, F.col(weight)))
-    w = Window.partitionBy("_pid").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        saved.join(offs, "_pid")
-        .withColumn(out, F.col("_off") + F.coalesce(F.sum(weight).over(w), F.lit(0)))
-        .drop("_pid", "_place", "_off")
-    )
+def running_before(df: DataFrame, order: list[Column | str], weight: str, out: str = "_before", by: list[str] | None = None) -> DataFrame:
+    """Add the sum of ``weight`` over all rows of the group strictly earlier in the order."""
+    return scan_sorted(df, by or [], order, weights={out: weight}).drop("_place", "_n", f"{out}_total")
 
 
 def group_running_totals(df: DataFrame, by: list[str], order: list[str], weights: dict[str, str]) -> DataFrame:
@@ -60,41 +32,21 @@ def group_running_totals(df: DataFrame, by: list[str], order: list[str], weights
 
     ``weights`` maps output names to columns; ``order`` has to be unique in a group.
     """
-    saved = _ordered(df, [*by, *order])
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    totals = saved.groupBy("_pid").agg(*[F.sum(c).alias(f"_w_{o}") for o, c in weights.items()])
-    offs = totals.select("_pid", *[F.coalesce(F.sum(f"_w_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in weights])
-    w = Window.partitionBy("_pid").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    run = saved.join(F.broadcast(offs), "_pid").select(
-        *df.columns, *[(F.col(f"_off_{o}") + F.sum(c).over(w)).alias(o) for o, c in weights.items()]
-    )
-    start = run.groupBy(*by).agg(*[F.min(F.struct(*order, (F.col(o) - F.col(c)).alias("_s")))["_s"].alias(f"_s_{o}") for o, c in weights.items()])
-    return run.join(start, by).select(*df.columns, *[(F.col(o) - F.col(f"_s_{o}")).alias(o) for o in weights])
+    run = scan_sorted(df, by, order, weights=weights)
+    return run.select(*df.columns, *[(F.col(o) + F.coalesce(F.col(c), F.lit(0))).alias(o) for o, c in weights.items()])
 
 
 def group_row_number(df: DataFrame, by: list[str], order: list[Column | str], out: str) -> DataFrame:
     """``row_number`` per group for groups of unbounded size."""
-    idx = order_index(df, [*by, *order], "_rn")
-    if not by:
-        return idx.withColumnRenamed("_rn", out)
-    start = idx.groupBy(*by).agg(F.min("_rn").alias("_start"))
-    return idx.join(start, by).withColumn(out, F.col("_rn") - F.col("_start") + 1).drop("_rn", "_start")
+    return scan_sorted(df, by, order).withColumnRenamed("_place", out).drop("_n")
 
 
 def avg_pct_rank(df: DataFrame, value: str, out: str, key: str | list[str] = "symbol", by: list[str] | None = None) -> DataFrame:
     """Percent rank (0..1) with average ties among non-null values; NULL stays NULL."""
-    by = by or []
     keys = [key] if isinstance(key, str) else key
-    idx = order_index(df, [*by, F.col(value).asc_nulls_last(), *keys], "_rn")
-    ties = idx.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.min("_rn").alias("_lo"), F.count("*").alias("_c"))
-    if by:
-        base = idx.groupBy(*by).agg(F.min("_rn").alias("_start"), F.count(value).alias("_n"))
-        joined = idx.join(ties, [*by, value], "left").join(base, by)
-    else:
-        base = idx.agg(F.min("_rn").alias("_start"), F.count(value).alias("_n"))  # one row
-        joined = idx.join(ties, value, "left").crossJoin(F.broadcast(base))
-    rank = F.col("_lo") - F.col("_start") + (F.col("_c") + 1) / 2
-    return joined.withColumn(out, F.try_divide(rank, F.col("_n").cast("double"))).drop("_rn", "_lo", "_c", "_start", "_n")
+    d = scan_sorted(df, by or [], [F.col(value).asc_nulls_last(), *keys], value=value)
+    rank = F.col("_low") - 1 + (F.col("_count") + 1) / 2
+    return d.withColumn(out, F.when(F.col(value).isNotNull(), F.try_divide(rank, F.col("_n").cast("double")))).drop("_place", "_n", "_low", "_count")
 
 
 def long_pct_ranks(df: DataFrame, key: list[str], metrics: dict[str, Column], by: list[str] | None = None) -> DataFrame:
@@ -126,13 +78,7 @@ def distribution(df: DataFrame, value: str, by: list[str], quantiles: dict[str,
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_c"))
     )
-    placed = running_before(cells, [*by, "_v"], "_c")
-    tot = placed.groupBy(*by).agg(
-        F.sum("_c").alias("n"),
-        F.min("_before").alias("_start"),
-        (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"),
-    )
-    j = placed.join(tot, by).withColumn("_from", F.col("_before") - F.col("_start"))
+    placed = scan_sorted(cells, by, ["_v"], weights={"_from": "_c"}).withColumnRenamed("_from_total", "n")
     aggs, outs = [], []
     for name, p in quantiles.items():
         k = F.lit(float(p)) * (F.col("n") - 1)
@@ -141,12 +87,11 @@ def distribution(df: DataFrame, value: str, by: list[str], quantiles: dict[str,
             aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{name}_{side}"))
         frac = k - F.floor(k)
         outs.append((F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * frac).alias(name))
-    if moments:
-        d = F.col("_v") - F.col("mean")
-        aggs.append(F.sqrt(F.try_divide(F.sum(F.col("_c") * d * d), F.first("n").cast("double") - 1)).alias("std"))
-    res = j.groupBy(*by, "n", "mean").agg(*aggs)
-    keep = ["n", "mean", "std"] if moments else ["n"]
-    return res.select(*by, *keep, *outs)
+    res = placed.groupBy(*by, "n").agg(*aggs)
+    if not moments:
+        return res.select(*by, "n", *outs)
+    plain = df.groupBy(*by).agg(F.avg(F.col(value).cast("double")).alias("mean"), F.stddev_samp(F.col(value).cast("double")).alias("std"))
+    return res.join(plain, [res[b].eqNullSafe(plain[b]) for b in by]).select(*[res[b] for b in by], "n", "mean", "std", *outs)
 
 
 def chunked_list(df: DataFrame, by: list[str], item: str, out: str, size: int = 1000) -> DataFrame:

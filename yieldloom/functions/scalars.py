@@ -26,6 +26,16 @@ def rnd(c: Column | str, digits: int = 6) -> Column:
     return F.round(col(c).cast("double"), digits)
 
 
+def exact_sum(c: Column | str, digits: int = 18) -> Column:
+    """Sum of doubles as a fixed-point number: the same bits in whatever order the rows come."""
+    return F.sum(col(c).cast(f"decimal(38,{digits})")).cast("double")
+
+
+def exact_avg(c: Column | str, digits: int = 18) -> Column:
+    """Mean of doubles, independent of the order of rows."""
+    return exact_sum(c, digits) / F.count(col(c))
+
+
 def finite(c: Column | str) -> Column:
     """NULL for NaN and both infinities."""
     c = col(c).cast("double")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import long_pct_ranks
-from ..functions.scalars import sdiv
+from ..functions.scalars import exact_avg, exact_sum, sdiv
 from ..functions.sequential import with_smoothed
 from ..session import cut_lineage, spread
 from .asof import align_series
@@ -327,7 +327,7 @@ def metrics(tr: DataFrame, buy_fee: float = 0.15, sell_fee: float = 0.15, sell_t
     dd = e.select(*KEY, "combo", (F.col("equity") / peak - 1).alias("dd")).groupBy(*KEY, "combo").agg((F.least(F.lit(0.0), F.min("dd")) * 100).alias("max_drawdown"))
     m = t.groupBy(*KEY, "combo").agg(
         ((F.max_by(F.col("before") * F.col("g"), "trade_no") - 1) * 100).alias("total_return"), (F.avg((F.col("r") > 0).cast("double")) * 100).alias("win_rate"),
-        F.count("*").alias("trades"), (F.avg("r") * 100).alias("avg_trade"),
+        F.count("*").alias("trades"), (exact_avg("r") * 100).alias("avg_trade"),
         F.count_if(F.col("regime") == "bear").alias("bear_entries"), F.count_if(F.col("regime") == "bull").alias("bull_entries"),
     )
     return m.join(dd, [*KEY, "combo"])
@@ -367,7 +367,7 @@ def symbol_status(requested: DataFrame, split_status: DataFrame, results: DataFr
 
 def _wmean(v: str, w: str, cond: Column) -> Column:
     use = cond & F.col(v).isNotNull() & (F.col(w) > 0)
-    return F.try_divide(F.sum(F.when(use, F.col(v) * F.col(w))), F.sum(F.when(use, F.col(w).cast("double"))))
+    return F.try_divide(exact_sum(F.when(use, F.col(v) * F.col(w)), 12), F.sum(F.when(use, F.col(w))).cast("double"))
 
 
 # Weights of the blended strategy score.
@@ -377,7 +377,9 @@ SUMMARY_WEIGHTS = {"val_avg_trade": 0.30, "val_win_rate": 0.15, "median_return":
 def summarize(results: DataFrame) -> DataFrame:
     """Holdout robustness of every combo across stocks and its blended score.
 
-    The median per combo is exact for any number of stocks.
+    The median per combo is exact for any number of stocks. Sums are fixed-point
+    and ranks compare nine digits, so combos that traded alike are ties in
+    whatever order and partitions their rows come.
     """
     from ..functions.ranking import distribution
 
@@ -394,7 +396,7 @@ def summarize(results: DataFrame) -> DataFrame:
     ).join(med, "combo", "left").crossJoin(F.broadcast(total))
     s = s.withColumn("coverage_pct", sdiv("stocks_validated", "_u") * 100).withColumn("drawdown_control", -F.abs("val_drawdown"))
     s = cut_lineage(s.withColumn("generalization_gap", F.col("val_avg_trade") - F.col("train_avg_trade")))
-    ranks = long_pct_ranks(s, ["combo"], {c: F.col(c) for c in SUMMARY_WEIGHTS}).withColumnsRenamed({c: f"_r_{c}" for c in SUMMARY_WEIGHTS})
+    ranks = long_pct_ranks(s, ["combo"], {c: F.round(F.col(c).cast("double"), 9) for c in SUMMARY_WEIGHTS}).withColumnsRenamed({c: f"_r_{c}" for c in SUMMARY_WEIGHTS})
     score = sum((F.coalesce(F.col(f"_r_{c}"), F.lit(0.0)) * w * 100 for c, w in SUMMARY_WEIGHTS.items()), F.lit(0.0))
     return s.join(ranks, "combo", "left").withColumn("score", score).drop("_u", "drawdown_control", *[f"_r_{c}" for c in SUMMARY_WEIGHTS])
 
@@ -412,7 +414,7 @@ def qualified(summary: DataFrame) -> DataFrame:
 
 
 def best_combo(summary: DataFrame) -> DataFrame:
-    return qualified(summary).orderBy(F.desc("score"), F.desc_nulls_last("val_avg_trade"), F.desc("val_trades"), "combo").limit(1)
+    return qualified(summary).orderBy(F.round("score", 9).desc(), F.round("val_avg_trade", 9).desc_nulls_last(), F.desc("val_trades"), "combo").limit(1)
 
 
 # Weights of a stock's own score.
@@ -460,6 +462,7 @@ def with_live_quote(prices: DataFrame, quotes: DataFrame, asof: str, required: i
     return old.unionByName(live.select("symbol", d.alias("date"), F.col("quote").alias("close")))
 
 
+# How far from its trigger a setup is still worth watching, by strategy.
 def near_setup(band: float) -> Column:
     i, b, d = F.col("indicator"), F.col("param_b"), F.col("param_d")
     s = F.col("strategy")

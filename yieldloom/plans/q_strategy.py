@@ -147,7 +147,7 @@ FROM pick_{name} p JOIN cand_{name} c ON c.symbol=p.symbol AND c.part=p.part AND
 SELECT t.symbol, t.part, t.combo, trade_no, s.rn, CASE WHEN s.rn=exit_rn THEN bef*g ELSE bef*s.close/(entry_price*(1+0.0015)) END AS eq FROM
  (SELECT *, coalesce(product(g) OVER (PARTITION BY symbol, part, combo ORDER BY trade_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),1) AS bef FROM trd_{name}) t JOIN ser_{name} s ON s.symbol=t.symbol AND s.part=t.part AND s.rn BETWEEN entry_rn AND exit_rn""")
     shared(f"met_{name}", f"""
-SELECT m.*, d.max_drawdown FROM (SELECT symbol, part, combo, (product(g)-1)*100 AS total_return, avg(CASE WHEN r>0 THEN 1.0 ELSE 0 END)*100 AS win_rate, count(*) AS trades, avg(r)*100 AS avg_trade, count(*) FILTER (WHERE regime='bear') AS bear_entries, count(*) FILTER (WHERE regime='bull') AS bull_entries FROM trd_{name} GROUP BY ALL) m
+SELECT m.*, d.max_drawdown FROM (SELECT symbol, part, combo, (product(g)-1)*100 AS total_return, avg(CASE WHEN r>0 THEN 1.0 ELSE 0 END)*100 AS win_rate, count(*) AS trades, (sum(CAST(r AS DECIMAL(38,18)))::DOUBLE/count(r))*100 AS avg_trade, count(*) FILTER (WHERE regime='bear') AS bear_entries, count(*) FILTER (WHERE regime='bull') AS bull_entries FROM trd_{name} GROUP BY ALL) m
 JOIN (SELECT symbol, part, combo, least(0,min(eq/pk-1))*100 AS max_drawdown FROM (SELECT *, greatest(1, max(eq) OVER (PARTITION BY symbol, part, combo ORDER BY trade_no, rn)) AS pk FROM eq_{name}) GROUP BY ALL) d ON d.symbol=m.symbol AND d.part=m.part AND d.combo=m.combo""")
 
 
@@ -166,7 +166,7 @@ def _pr(c, part=""):
 
 
 def _wm(v, w, cond="true"):
-    return f"sum({v}*{w}) FILTER (WHERE {cond} AND {v} IS NOT NULL AND {w}>0)/nullif(sum({w}) FILTER (WHERE {cond} AND {v} IS NOT NULL AND {w}>0),0)"
+    return f"sum(CAST({v}*{w} AS DECIMAL(38,12))) FILTER (WHERE {cond} AND {v} IS NOT NULL AND {w}>0)::DOUBLE/nullif(sum({w}) FILTER (WHERE {cond} AND {v} IS NOT NULL AND {w}>0),0)"
 
 
 shared("strat0", f"""
@@ -174,10 +174,10 @@ SELECT combo, count(DISTINCT symbol) AS stocks_tested, count(DISTINCT symbol) FI
  {_wm('val_avg_trade', 'val_trades', 'val_trades>0')} AS val_avg_trade, {_wm('val_win_rate', 'val_trades', 'val_trades>0')} AS val_win_rate, {_wm('val_max_drawdown', 'val_trades', 'val_trades>0')} AS val_drawdown,
  avg(CASE WHEN val_total_return>0 THEN 1.0 ELSE 0 END) FILTER (WHERE val_trades>0)*100 AS positive_pct, median(val_total_return) FILTER (WHERE val_trades>0) AS median_return,
  count(DISTINCT symbol) FILTER (WHERE val_trades>0)*100.0/(SELECT count(DISTINCT symbol) FROM hold) AS coverage_pct FROM hold GROUP BY combo""")
-shared("strat", "SELECT *, val_avg_trade-train_avg_trade AS generalization_gap, (" + " + ".join(f"{_pr(c if c != 'drawdown_control' else '(-abs(val_drawdown))')}*{w}*100" for c, w in S.SUMMARY_WEIGHTS.items()) + ") AS score FROM strat0")
+shared("strat", "SELECT *, val_avg_trade-train_avg_trade AS generalization_gap, (" + " + ".join(f"{_pr(f"round({c}::DOUBLE,9)" if c != 'drawdown_control' else 'round(-abs(val_drawdown),9)')}*{w}*100" for c, w in S.SUMMARY_WEIGHTS.items()) + ") AS score FROM strat0")
 shared("qual", """
 SELECT * FROM (SELECT *, bool_or(ok) OVER () AS anyok FROM (SELECT *, stocks_validated>=greatest(3,ceil((max(stocks_tested) OVER ())*0.2)) AND val_trades>=greatest(20,2*max(stocks_tested) OVER ()) AS ok FROM strat)) WHERE CASE WHEN anyok THEN ok ELSE val_trades>0 END""")
-shared("bestc", "SELECT * FROM qual ORDER BY score DESC, val_avg_trade DESC NULLS LAST, val_trades DESC, combo LIMIT 1")
+shared("bestc", "SELECT * FROM qual ORDER BY round(score,9) DESC, round(val_avg_trade,9) DESC NULLS LAST, val_trades DESC, combo LIMIT 1")
 shared("over", f"""
 SELECT symbol, combo, score, val_trades, val_avg_trade, val_total_return, gr AS global_return, val_total_return-gr AS return_uplift FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(score,9) DESC, val_trades DESC, round(val_avg_trade,9) DESC, combo) AS k FROM
  (SELECT *, {' + '.join(f"{_pr(f"round({c}::DOUBLE,9)" if c != 'drawdown_control' else 'round(-abs(val_max_drawdown),9)', 'symbol')}*{w}*100" for c, w in S.STOCK_WEIGHTS.items())} AS score FROM
