@@ -12,12 +12,13 @@ Passes count 62-bit keys of phrases; the numbers of a slice are combined before
 they travel, packed by key range, and the number of ranges follows the size of
 the texts. The proposed set travels as a bit filter of at most ``FILTER_BITS``
 bits: a wrong "yes" only lets a phrase be counted in vain, a wrong "no" does not
-exist. A last pass counts the phrases found by their words, so that no key
-decides a result.
+exist. A last pass counts the phrases found by their words; there a key only
+groups the occurrences inside one slice.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ from .common import as_bytes, claim, doc_remainder, pieces, stage
 FILTER_BITS = 28
 LONGEST = 4
 SLICE = 4 << 20
+HELD = 1 << 18
 _CUT = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 44 if c in _CUT else c for c in range(256))
 _INSIDE = bytes(c not in b", \t" for c in range(256))
@@ -188,13 +190,24 @@ def _not_in(known):
 
 
 def _by_words(known):
-    """Slices -> (lang, k, phrase, n): phrases in ``known``, whose parts are too, by their words; k = 0 has the number of all words."""
+    """Slices -> (lang, k, phrase, n): phrases in ``known``, whose parts are too, by their words; k = 0 has the number of all words.
+
+    The counts of successive slices are added up while they are at most ``HELD`` phrases.
+    """
+
+    def rows(held: dict, sizes: Counter) -> Iterator[pa.RecordBatch]:
+        out = [(x, 0, "", c) for x, c in sizes.items() if c]
+        out += [(x, k, b" ".join(p.split()).decode(), c) for (x, k, p), c in held.items()]
+        for lo in range(0, len(out), 8192):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 8192], strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "k", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
+        held: dict[tuple, int] = {}
+        sizes: Counter = Counter()
         for raw, start, end, hashes, seeds, of, langs in _slices(batches):
-            all_ = np.bincount(of[hashes != 0], minlength=len(langs))
-            out = [(x, 0, "", int(c)) for x, c in zip(langs, all_, strict=True) if c]
+            for x, c in zip(langs, np.bincount(of[hashes != 0], minlength=len(langs)).tolist(), strict=True):
+                sizes[x] += c
             prev = None
             for k, (keys, ok) in enumerate(phrase_keys(hashes, seeds), 1):
                 at = np.flatnonzero(ok if k == 1 else ok & prev[:-1] & prev[1:])
@@ -202,12 +215,14 @@ def _by_words(known):
                 prev = np.zeros(len(keys), bool)
                 prev[at] = True
                 _, first, n = np.unique(keys[at], return_index=True, return_counts=True)
-                texts: dict[tuple, int] = {}
-                for i, c in zip(at[first].tolist(), n.tolist(), strict=True):
-                    texts[langs[of[i]], b" ".join([raw[a:z] for a, z in zip(start[i : i + k].tolist(), end[i : i + k].tolist(), strict=True)])] = c
-                out += [(x, k, p.decode(), c) for (x, p), c in texts.items()]
-            for lo in range(0, len(out), 8192):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 8192], strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "k", "phrase", "n"])
+                first = at[first]
+                for x, i, j, c in zip(of[first].tolist(), start[first].tolist(), end[first + k - 1].tolist(), n.tolist(), strict=True):
+                    found = langs[x], k, raw[i:j]  # from the first word to the last, with the white space between them
+                    held[found] = held.get(found, 0) + c
+            if len(held) > HELD:
+                yield from rows(held, sizes)
+                held, sizes = {}, Counter()
+        yield from rows(held, sizes)
 
     return run
 
