@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, claim, pieces, remembers
 
 SPACE = "▁"
-_UNITS, _PAIRS = 1 << 17, 1 << 18  # units remembered in each of two generations, and adjacent pairs
+_UNITS, _PAIRS = 1 << 18, 1 << 18  # units remembered in each of two generations, and adjacent pairs
 
 
 class Transducer:
@@ -71,9 +71,12 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[""] = i
         self.text = {i: p for p, i in self.ids.items()}
+        self.longest = max(map(len, self.ids), default=1)
         joining = {c for p in self.ids if len(p) > 1 for c in p} - {SPACE}
         inside = "".join(re.escape(c) for c in sorted(joining))
         self.unit = re.compile(f"{SPACE}*[{inside}]+|{SPACE}+|[^{SPACE}{inside}]" if inside else f"{SPACE}+|[^{SPACE}]", re.S)
+        self.segment = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.alphabet = {c for c in self.ids if len(c) == 1}
         self.valid: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
@@ -103,44 +106,62 @@ class Transducer:
         return ok
 
     def _arcs(self, s: str, at: int) -> list[tuple[int, int]]:
-        """Lexicon arcs (end, id) from a position, longest first."""
+        """Lexicon arcs (end, id) from a position, shortest first."""
         out, node = [], self.trie
-        for j in range(at, len(s)):
-            node = node.get(s[j])
+        for c in s[at : at + self.longest]:
+            node = node.get(c)
             if node is None:
                 break
+            at += 1
             i = node.get("")
             if i is not None:
-                own = self.valid.get(i)
-                if own is None:
-                    own = self.valid[i] = len(self._merged(s[at : j + 1])) == 1
-                if own:
-                    out.append((j + 1, i))
-        out.reverse()
+                out.append((at, i))
         return out
 
     def shortest(self, s: str) -> list[int] | None:
-        """Ids on the path of finite weight through a stretch whose characters all have pieces; dead states are remembered."""
-        n, out, at = len(s), [], [0]
-        frames, dead = [iter(self._arcs(s, 0))], set()
-        while frames:
-            for j, i in frames[-1]:
-                if (j, i) in dead or (out and not self._adjacent(out[-1], i)):
+        """Ids on the path of finite weight through a stretch whose characters all have pieces.
+
+        Long arcs come first; the arcs of a position are found once, dead states are remembered.
+        """
+        n, valid = len(s), self.valid
+        out: list[int] = []
+        arcs = {0: self._arcs(s, 0)}
+        path = [(0, len(arcs[0]))]  # position, and how many of its arcs are still untried
+        dead: set[tuple[int, int]] = set()
+        before = -1
+        while path:
+            at, left = path.pop()
+            ends = arcs[at]
+            while left:
+                left -= 1
+                j, i = ends[left]
+                own = valid.get(i)
+                if own is None:
+                    own = valid[i] = len(self._merged(s[at:j])) == 1
+                if not own or (dead and (j, i) in dead):
                     continue
+                if before >= 0:
+                    ok = valid.get(before << 32 | i)
+                    if not (self._adjacent(before, i) if ok is None else ok):
+                        continue
                 out.append(i)
                 if j == n:
                     return out
-                frames.append(iter(self._arcs(s, j)))
-                at.append(j)
+                path.append((at, left))
+                if j not in arcs:
+                    arcs[j] = self._arcs(s, j)
+                path.append((j, len(arcs[j])))
+                before = i
                 break
             else:
-                frames.pop()
-                j = at.pop()
                 if out:
-                    dead.add((j, out.pop()))
+                    dead.add((at, out.pop()))
+                before = out[-1] if out else -1
         return None
 
     def _unit(self, u: str) -> list[int]:
+        if self.alphabet.issuperset(u):
+            return self.shortest(u)
         out, start = [], 0
         for k, c in enumerate(u + "\0"):  # byte fallback cuts the unit
             if k == len(u) or c not in self.ids:
@@ -168,10 +189,19 @@ class Transducer:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
+        if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
+            cuts = self.segment.findall(self.prefix + text.replace(" ", SPACE))
+        else:
+            cuts = (self.prefix + text.replace(" ", " " + SPACE)).split(" ")
         out: list[int] = []
-        for u in self.unit.findall(self.prefix + text.replace(" ", SPACE)):
-            ids = self.known.get(u)
-            out += self._recall(u) if ids is None else ids
+        for s in cuts:  # a unit never goes on behind a space
+            ids = self.known.get(s)
+            if ids is not None:
+                out += ids
+                continue
+            for u in self.unit.findall(s):
+                ids = self.known.get(u)
+                out += self._recall(u) if ids is None else ids
         return out
 
     def decode(self, ids: list[int]) -> str:
