@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, claim, doc_remainder, pieces, stage
+from .common import as_bytes, claim, doc_remainder, give_back, pieces, stage
 
 FILTER_BITS = 28
 LONGEST = 4
@@ -136,6 +136,7 @@ def _tally(levels: tuple[int, ...], known, before, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
+        give_back()
         for _, _, _, hashes, seeds, _, _ in _slices(batches):
             counted, prev = [], None
             for k, (keys, ok) in enumerate(phrase_keys(hashes, seeds), 1):
@@ -203,6 +204,7 @@ def _by_words(known):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
+        give_back()
         held: dict[tuple, int] = {}
         sizes: Counter = Counter()
         for raw, start, end, hashes, seeds, of, langs in _slices(batches):

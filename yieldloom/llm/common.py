@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -71,6 +72,14 @@ def claim(owner: str = "") -> None:
             forget()
 
 
+def give_back() -> None:
+    """Memory that earlier tasks of this worker freed goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, NULL as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -15,7 +15,8 @@ if the query's overlap with the group's token union can reach the threshold.
    document's common tokens if these prevail, else among its rare ones, so near
    copies meet and documents that only share a passage do not.
 3. Groups that share at least the smallest m of their members in matrix entries
-   are the candidates. Groups are cut into blocks of about ``BLOCK`` sets. Blocks are first linked inside, then by one
+   are the candidates. Groups are cut into blocks of about
+   ``BLOCK`` sets or ``SHINGLES`` shingles, whichever are fewer. Blocks are first linked inside, then by one
    pivot of each local component; only blocks that are not yet entirely in one
    component are opened against each other, and there only documents whose
    overlap with the block's token union reaches the bound are compared.
@@ -34,12 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, claim, pieces, remembers, stage, unstage
+from .common import as_bytes, claim, give_back, pieces, remembers, stage, unstage
 from .components import connected
 
 HOT_MAX = 1 << 18
 HOT_FROM = 16
 BLOCK = 256
+SHINGLES = 1 << 18  # of a block, about
+SLICE = 2 << 20
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xD6E8FEB86659FD93)
 
@@ -48,7 +51,7 @@ class _Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 16:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -106,7 +109,8 @@ def frequent_tokens(src: DataFrame, k: int, ranges: int) -> tuple[np.ndarray, np
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("words")
-        for b in pieces(batches, "text"):
+        give_back()
+        for b in pieces(batches, "text", SLICE):
             sets = [shingle_set(x, k) for x in as_bytes(b.column("text"))]
             t, c = np.unique(_short(np.concatenate(sets)), return_counts=True)
             part = (t >> np.uint64(40 - bits)).astype(np.int64)
@@ -135,7 +139,8 @@ def frequent_tokens(src: DataFrame, k: int, ranges: int) -> tuple[np.ndarray, np
 def _describe(hot: np.ndarray, freq: np.ndarray, k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("words")
-        for b in pieces(batches, "text"):
+        give_back()
+        for b in pieces(batches, "text", SLICE):
             ns, sigs, groups, prefixes, leads = [], [], [], [], []
             sent: set = set()  # a slice sends a group's frequent token once, and the tokens of equal sets once
             for raw in as_bytes(b.column("text")):
@@ -221,7 +226,7 @@ def _qualify(q: list[np.ndarray], group: list[np.ndarray], percent: int) -> np.n
 def _streamed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Rows of equal first ``keys`` columns, from sorted batches."""
     held: list[tuple] = []
-    for b in batches:
+    for b in pieces(batches, "text", SLICE):
         for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
             if held and row[:keys] != held[-1][:keys]:
                 yield held
@@ -236,6 +241,7 @@ def _local(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("words")
+        give_back()
         for rows in _streamed(batches, 2):
             rows.sort(key=lambda r: r[2])
             nodes, root = [r[2] for r in rows], list(range(len(rows)))
@@ -268,6 +274,7 @@ def _cross(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("words")
+        give_back()
         for rows in _streamed(batches, 4):
             left, right = [r for r in rows if r[4] == 0], [r for r in rows if r[4] == 1]
             if not left or not right:
@@ -314,7 +321,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot, freq = frequent_tokens(src, k, int(spark.conf.get("spark.sql.shuffle.partitions")))
     described = src.mapInArrow(_describe(hot, freq, k, percent), "doc_id long, row_id long, n_shingles long, sig binary, grp long, prefix array<long>, lead long")
     rows = stage(described.withColumn("node", F.monotonically_increasing_id()), "ngram-rows")
-    sets = stage(rows.where("sig is not null").groupBy("sig").agg(F.min("node").alias("node"), F.min("doc_id").alias("first_id"), F.min("grp").alias("grp"), F.min("lead").alias("lead")), "ngram-sets")
+    sets = stage(rows.where("sig is not null").groupBy("sig").agg(F.min("node").alias("node"), F.min("doc_id").alias("first_id"), F.min("grp").alias("grp"), F.min("lead").alias("lead"), F.min("n_shingles").alias("n")), "ngram-sets")
 
     # the matrix: tokens that more than one group holds
     cells = rows.where("grp is not null").select("grp", F.explode("prefix").alias("token")).repartition("token").dropDuplicates(["token", "grp"])
@@ -326,20 +333,22 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bounded = shared.join(leads.toDF("ga", "la"), "ga").join(leads.toDF("gb", "lb"), "gb").where("n >= least(la, lb)")
     cand = stage(bounded.select("ga", "gb"), "ngram-candidates")
 
-    sizes = sets.groupBy("grp").agg(F.count("*").alias("size"))
+    sizes = sets.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
     paired = cand.select(F.col("ga").alias("grp")).union(cand.select(F.col("gb").alias("grp"))).distinct()
-    busy = sizes.join(paired.withColumn("paired", F.lit(True)), "grp", "left").where("size > 1 or paired").select("grp", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    busy = sizes.join(paired.withColumn("paired", F.lit(True)), "grp", "left").where("size > 1 or paired").select("grp", F.ceil(F.greatest(F.col("size") / block, F.col("n") / SHINGLES)).cast("int").alias("blocks"))
     members = stage(sets.join(busy, "grp").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "ngram-members")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # an id may stand for several texts
         claim("words")
-        for b in pieces(batches, "text"):
+        give_back()
+        for b in pieces(batches, "text", SLICE):
             ok = [xxhash.xxh3_128_digest(shingle_set(t, k).tobytes()) == s for t, s in zip(as_bytes(b.column("text")), b.column("sig").to_pylist(), strict=True)]
             yield b.filter(pa.array(ok, pa.bool_())).drop_columns(["sig"])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("words")
-        for b in pieces(batches, "text"):
+        give_back()
+        for b in pieces(batches, "text", SLICE):
             sigs = [xxhash.xxh3_128_digest(shingle_set(t, k).tobytes()) for t in as_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), b.column("text")], names=["sig", "text"])
 
