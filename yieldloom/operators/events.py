@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import distribution
 from ..functions.scalars import sdiv
 from ..session import cut_lineage
-from .asof import asof_join, event_window_join
-from .returns import daily_fill
+from .asof import asof_join, event_window_join, month_key
 
 SUMMARY = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 LOOKBACK, LOOKFORWARD = 180, 365
@@ -46,13 +45,27 @@ def with_event_prices(events: DataFrame, prices: DataFrame) -> DataFrame:
     return asof_join(e, px, ["symbol"], {"close": "cum_price", "_d": "cum_date"}, on="ex_date", strict=True)
 
 
+def held_days(prices: DataFrame, events: DataFrame, before: int, after: int) -> DataFrame:
+    """Every event with the close of each calendar day in its window, as far as the symbol's prices reach: close and days_to_ex.
+
+    A close holds until the day before the next one. The intervals meet the events by month, are clipped to the window, and
+    only then become days.
+    """
+    w = Window.partitionBy("symbol").orderBy("date")
+    held = prices.select("symbol", "close", F.col("date").alias("_from"), F.coalesce(F.date_sub(F.lead("date").over(w), 1), "date").alias("_to"))
+    held = held.withColumn("_m", F.explode(F.sequence(month_key("_from"), month_key("_to"))))
+    lo, hi = F.date_sub("ex_date", before), F.date_add("ex_date", after)
+    ev = events.withColumn("_m", F.explode(F.sequence(month_key(lo), month_key(hi))))
+    first, last = F.greatest("_from", lo), F.least("_to", hi)
+    j = held.join(ev, ["symbol", "_m"]).where((first <= last) & (F.col("_m") == month_key(first)))  # once, though both span months
+    return j.withColumn("days_to_ex", F.explode(F.sequence(F.datediff(first, "ex_date"), F.datediff(last, "ex_date")))).drop("_from", "_to", "_m")
+
+
 def ex_trajectory(prices: DataFrame, events: DataFrame, before: int = LOOKBACK, after: int = 30) -> DataFrame:
     """Price path around ex-dates (ex-date = 100) per symbol and day offset."""
     e = with_event_prices(events.select("symbol", "ex_date"), prices).where("ex_price <> 0")
-    e = e.withColumn("days_to_ex", F.explode(F.sequence(F.lit(-before), F.lit(after))))
-    e = e.withColumn("date", F.date_add("ex_date", F.col("days_to_ex")))
-    j = e.join(daily_fill(prices), ["symbol", "date"])  # equi-join on the day, no range compare
-    return j.withColumn("rel", sdiv("close", "ex_price") * 100).groupBy("symbol", "days_to_ex").agg(*_summary("rel"))
+    days = held_days(prices, e.select("symbol", "ex_date", "ex_price"), before, after)
+    return days.withColumn("rel", sdiv("close", "ex_price") * 100).groupBy("symbol", "days_to_ex").agg(*_summary("rel"))
 
 
 def ex_drop_stats(prices: DataFrame, events: DataFrame) -> DataFrame:

@@ -140,6 +140,13 @@ def _(m):
     return K.read_prices(m.spark, path).withColumn("close", rnd("close", 2))
 
 
+@query("A13_stored_range", "SELECT symbol, date, close FROM prices WHERE date BETWEEN DATE '2000-03-01' AND DATE '2000-09-30' AND symbol IN ('S000001','S000002','S000007')")
+def _(m):
+    path = scratch_path(m.spark, "stored")
+    K.upsert_prices(m.spark, path, m.closes.withColumn("seq", F.lit(1)))
+    return K.read_prices(m.spark, path, "2000-03-01", "2000-09-30", ["S000001", "S000002", "S000007"])  # opens one year of three buckets
+
+
 @query("A13_range_read", "SELECT symbol, date, close FROM prices WHERE date BETWEEN DATE '2000-03-01' AND DATE '2000-09-30' AND symbol IN (SELECT symbol FROM companies WHERE industry LIKE '%1')")
 def _(m):
     want = m.companies.where("industry like '%1'").select("symbol")
@@ -249,6 +256,45 @@ def _(m):
     return j.select("rows", (F.col("a") == F.col("b")).alias("same_in_any_order"), (F.col("a") != F.col("c")).alias("changes_with_an_edit"), (F.col("a") != F.col("d")).alias("changes_with_nothing"))
 
 
+EDITED = "SELECT symbol, date, open, high, low, CASE WHEN symbol='S000001' AND date=(SELECT min(date) FROM prices WHERE symbol='S000001') THEN close+0.01 ELSE close END AS close, \"adjClose\", volume FROM prices WHERE NOT (symbol='S000002' AND date<DATE '1995-01-01')"
+
+
+def edited(m):
+    """The prices after a correction, a withdrawn stretch and a symbol that was not there before."""
+    first = m.prices.where("symbol = 'S000001'").agg(F.min("date").alias("_first"))
+    d = m.prices.crossJoin(F.broadcast(first)).where("not (symbol = 'S000002' and date < date'1995-01-01')")  # a single row
+    d = d.withColumn("close", F.when((F.col("symbol") == "S000001") & (F.col("date") == F.col("_first")), F.col("close") + 0.01).otherwise(F.col("close"))).drop("_first")
+    return d.unionByName(m.prices.where("symbol = 'S000003'").withColumn("symbol", F.lit("NEW")))
+
+
+@query("A21_changed_parts", """
+p AS (SELECT symbol, date_trunc('month', date)::DATE AS month, min(date) AS d FROM prices GROUP BY ALL)
+SELECT symbol, month, 'edited' AS change FROM p WHERE symbol='S000001' AND d=(SELECT min(date) FROM prices WHERE symbol='S000001')
+UNION ALL SELECT symbol, month, 'removed' FROM p WHERE symbol='S000002' AND month<DATE '1995-01-01' UNION ALL SELECT 'NEW', month, 'added' FROM p WHERE symbol='S000003'""")
+def _(m):
+    return I.changed_parts(I.digest_parts(m.prices), I.digest_parts(edited(m)), ["symbol", "month"])
+
+
+@query("A21_digest_roll_up", "SELECT symbol, count(*) AS rows, true AS same_as_whole FROM prices GROUP BY symbol")
+def _(m):
+    parts = I.digest_parts(m.prices)
+    whole = I.frame_digest(m.prices).select(F.struct("xor", "total").alias("_w"))
+    again = I.roll_up(I.roll_up(parts, "symbol")).select(F.struct("xor", "total").alias("_a"))
+    same = whole.crossJoin(again).select((F.struct("_w.xor", F.col("_w.total").cast("decimal(38,0)")) == F.struct("_a.xor", "_a.total")).alias("same_as_whole"))  # single rows
+    return I.roll_up(parts, "symbol").select("symbol", "rows").crossJoin(F.broadcast(same))
+
+
+@query("A21_refreshed_result", f"""
+e AS ({EDITED} UNION ALL SELECT 'NEW', date, open, high, low, close, "adjClose", volume FROM prices WHERE symbol='S000003')
+SELECT symbol, count(*) AS days, R4{{avg(close)}} AS mean FROM e GROUP BY symbol""")
+def _(m):
+    from ..session import cut_lineage
+
+    stats = lambda d: d.groupBy("symbol").agg(F.count("*").alias("days"), rnd(F.avg("close"), 4).alias("mean"))
+    old, now = cut_lineage(stats(m.prices)), edited(m)
+    return I.refresh(old, now, I.changed_parts(I.digest_parts(m.prices), I.digest_parts(now), ["symbol", "month"]), stats)
+
+
 @query("A22_statement_rates", "SELECT f.symbol, f.date, f.reportedCurrency, CASE WHEN f.reportedCurrency='USD' THEN coalesce(x.close, 16618.0) ELSE 1 END AS rate FROM financials f ASOF LEFT JOIN (SELECT * FROM fx WHERE date>=DATE '1996-06-01') x ON f.date>=x.date")
 def _(m):
     return I.statement_rates(m.financials.select("symbol", "date", "reportedCurrency"), m.fx.where("date >= date'1996-06-01'"))
@@ -288,6 +334,33 @@ def _(m):
     return K.read_prices(m.spark, f"{root}/table").select("symbol", "date", rnd("close", 2).alias("close"))
 
 
+MODES_SQL = """
+f AS (SELECT symbol, date, close FROM prices JOIN companies USING (symbol) WHERE bal%4<>1 AND date BETWEEN DATE '1996-01-01' AND DATE '2001-10-09'), mk AS (SELECT symbol, max(date) AS d FROM f GROUP BY symbol),
+s AS (SELECT p.symbol, p.date, p.close+1 AS close FROM prices p LEFT JOIN mk USING (symbol) WHERE p.date<=DATE '2001-10-20' AND p.date>=CASE WHEN mk.d IS NULL THEN DATE '1996-01-01' ELSE greatest(DATE '1996-01-01', least(DATE '2001-10-13', mk.d)) END)"""
+
+
+def two_runs(m):
+    """A backfill that some companies failed, then an incremental run that has everything: gaps are closed, old rows stay."""
+    path = scratch_path(m.spark, "modes")
+    full = m.closes.withColumn("seq", F.lit(1).cast("long"))
+    ok = m.companies.where("bal % 4 <> 1").select("symbol")
+    a = K.ingest_delivery(m.spark, path, m.companies, full.join(ok, "symbol", "left_semi"), "backfill", "2001-10-09", start="1996-01-01")
+    b = K.ingest_delivery(m.spark, path, m.companies, full.withColumn("close", F.col("close") + 1), "incremental", "2001-10-20", start="1996-01-01")
+    return path, a.unionByName(b)
+
+
+@query("S01_ingest_modes", MODES_SQL + "SELECT symbol, date, R2{close} AS close FROM s UNION ALL SELECT symbol, date, close FROM f WHERE (symbol, date) NOT IN (SELECT symbol, date FROM s)")
+def _(m):
+    return K.read_prices(m.spark, two_runs(m)[0]).withColumn("close", rnd("close", 2))
+
+
+@query("S01_ingest_summary", MODES_SQL + """
+SELECT 'backfill' AS mode, (SELECT count(*) FROM companies) AS symbols_total, count(DISTINCT symbol) AS symbols_succeeded, (SELECT count(*) FROM companies)-count(DISTINCT symbol) AS symbols_failed, count(*) AS rows_upserted FROM f
+UNION ALL SELECT 'incremental', (SELECT count(*) FROM companies), count(DISTINCT symbol), (SELECT count(*) FROM companies)-count(DISTINCT symbol), count(*) FROM s""")
+def _(m):
+    return two_runs(m)[1]
+
+
 @query("S02_stream_quotes", """
 q AS (SELECT symbol, date, close, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY date), close) AS prev FROM prices)
 SELECT symbol, max(date) AS day, arg_max(close,date) AS price, R6{(arg_max(close/prev,date)-1)*100} AS return_1d_pct FROM q GROUP BY symbol""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import align_series
 from ..operators.fundamentals import FALLBACK_RATE
+from ..session import cut_lineage
 
 COMPLIANCE_SCHEMA = "`No.` int, Kode string, `Nama Emiten` string, Keterangan string"
 PORTFOLIO_SCHEMA = "Symbol string, `Available Lot` string, `Average Price` string"
@@ -122,6 +123,33 @@ def frame_digest(df: DataFrame) -> DataFrame:
     return df.select(h.alias("_h")).agg(F.count("*").alias("rows"), F.bit_xor("_h").alias("xor"), F.sum(F.col("_h").cast("decimal(20,0)")).alias("total"))
 
 
+def digest_parts(df: DataFrame, key: str = "symbol", date: str = "date") -> DataFrame:
+    """Digest of every (symbol, month): rows, xor and total of row hashes, as ``frame_digest`` has them for a whole table."""
+    h = F.xxhash64(*sorted(df.columns))
+    return df.select(key, F.trunc(date, "month").alias("month"), h.alias("_h")).groupBy(key, "month").agg(
+        F.count("*").alias("rows"), F.bit_xor("_h").alias("xor"), F.sum(F.col("_h").cast("decimal(20,0)")).alias("total")
+    )
+
+
+def roll_up(parts: DataFrame, *keys: str) -> DataFrame:
+    """Digests of larger parts from those of smaller ones; without keys the digest of the table."""
+    return parts.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.bit_xor("xor").alias("xor"), F.sum("total").cast("decimal(38,0)").alias("total"))
+
+
+def changed_parts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Parts whose digests differ: the keys and ``change`` (added, removed or edited)."""
+    a = old.select(*keys, F.struct("rows", "xor", "total").alias("_a"))
+    b = new.select(*keys, F.struct("rows", "xor", "total").alias("_b"))
+    kind = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("edited")
+    return a.join(b, keys, "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys, kind.alias("change"))
+
+
+def refresh(result: DataFrame, data: DataFrame, changed: DataFrame, compute, key: str = "symbol") -> DataFrame:
+    """A result with a row or more per symbol, computed anew only for symbols with a changed part; the others keep their rows."""
+    touched = cut_lineage(changed.select(key).distinct())
+    return result.join(touched, key, "left_anti").unionByName(compute(data.join(touched, key, "left_semi")))
+
+
 def statement_rates(fin: DataFrame, fx: DataFrame, fallback: float = FALLBACK_RATE) -> DataFrame:
     """Rate applied to each statement: the last known quote, else the constant; 1 unless USD."""
     usd = fx.where("pair = 'USDIDR'").select("date", "close")

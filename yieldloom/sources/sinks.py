@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import chunked_list
 from ..functions.scalars import require_columns
+from ..session import cut_lineage
 
 
 PRICES = "symbol string, date date, close double"
+BUCKETS = 8
 
 
 def merge_prices(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -64,40 +66,111 @@ def _publish(spark: SparkSession, root: str, says: dict, keep: int = 2) -> None:
             fs.delete(x.getPath(), True)
 
 
+def _part() -> list:
+    """Where a price is kept: its year and one of ``BUCKETS`` symbol buckets."""
+    return [F.year("date").alias("year"), _bucket().alias("bucket")]
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("symbol"), F.lit(BUCKETS)).cast("int")
+
+
 def upsert_prices(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Merge into a table kept by year; only the years touched are written, as a new version, then the pointer moves.
+    """Merge into a table kept by year and symbol bucket; only the parts touched are written, as a new version, then the pointer moves.
 
-    A failed or repeated call leaves a whole table. Reading a stored year with
-    other columns is an error, never an empty year.
+    Beside the prices the table keeps a high-water mark per symbol. A failed or repeated call leaves a whole table. Reading a stored
+    part with other columns is an error, never an empty part.
     """
     require_columns(new, "symbol", "date", "close", "seq")
-    says = current(spark, path) or {"years": {}, "versions": []}
-    new = new.select("symbol", "date", "close", "seq", F.year("date").alias("year")).persist()
+    says = current(spark, path) or {"parts": {}, "marks": None, "versions": []}
+    new = new.select("symbol", "date", "close", "seq", *_part()).persist()
     try:
-        years = sorted(r["year"] for r in new.select("year").distinct().collect())  # calendar years
-        stored = _read_years(spark, path, {y: v for y, v in says["years"].items() if int(y) in years})
+        touched = {f"{r['year']}/{r['bucket']}" for r in new.select("year", "bucket").distinct().collect()}  # calendar years times BUCKETS
+        stored = _read_parts(spark, path, {k: v for k, v in says["parts"].items() if k in touched})
         version = f"v-{uuid.uuid4().hex}"
-        out = merge_prices(stored, new).withColumn("year", F.year("date"))
-        # spread each year over several files; a single hot year is not one task
-        out = out.repartition("year", F.pmod(F.xxhash64("symbol"), F.lit(8)))
-        out.write.option("compression", "snappy").partitionBy("year").parquet(f"{path}/{version}")
+        out = merge_prices(stored, new).select("*", *_part())
+        out.repartition("year", "bucket").sortWithinPartitions("year", "bucket", "symbol", "date").write.option("compression", "snappy").partitionBy("year", "bucket").parquet(f"{path}/{version}/prices")
+        marks = high_water(spark, path).unionByName(new.select("symbol", F.col("date").alias("mark"))).groupBy("symbol").agg(F.max("mark").alias("mark"))
+        marks.write.parquet(f"{path}/{version}/marks")
     finally:
         new.unpersist()
-    moved = says["years"] | {str(y): version for y in years}
-    _publish(spark, path, {"years": moved, "versions": sorted(set(moved.values()))})
+    moved = says["parts"] | {k: version for k in touched}
+    _publish(spark, path, {"parts": moved, "marks": version, "versions": sorted({*moved.values(), version})})
 
 
-def _read_years(spark: SparkSession, path: str, years: dict[str, str]) -> DataFrame:
-    if not years:
+def _read_parts(spark: SparkSession, path: str, parts: dict[str, str]) -> DataFrame:
+    if not parts:
         return spark.createDataFrame([], PRICES)
-    paths = [f"{path}/{v}/year={y}" for y, v in sorted(years.items())]
+    paths = [f"{path}/{v}/prices/year={k.split('/')[0]}/bucket={k.split('/')[1]}" for k, v in sorted(parts.items())]
     found = require_columns(spark.read.parquet(*paths), "symbol", "date", "close")
     return found.select("symbol", "date", F.col("close").cast("double").alias("close"))
 
 
-def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """The price table as the newest pointer has it."""
-    return _read_years(spark, path, (current(spark, path) or {"years": {}})["years"])
+def high_water(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, mark: the last date stored of every symbol."""
+    says = current(spark, path)
+    return spark.read.parquet(f"{path}/{says['marks']}/marks") if says else spark.createDataFrame([], "symbol string, mark date")
+
+
+def read_prices(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, symbols: list[str] | None = None) -> DataFrame:
+    """The price table as the newest pointer has it; a range or a list of symbols opens only the parts that can hold them."""
+    parts = (current(spark, path) or {"parts": {}})["parts"]
+    if start is not None:
+        parts = {k: v for k, v in parts.items() if int(k.split("/")[0]) >= int(start[:4])}
+    if end is not None:
+        parts = {k: v for k, v in parts.items() if int(k.split("/")[0]) <= int(end[:4])}
+    if symbols is not None:
+        asked = spark.createDataFrame([(x,) for x in symbols], "symbol string").select(_bucket().alias("b")).distinct()
+        held = {str(r["b"]) for r in asked.collect()}  # BUCKETS rows at most
+        parts = {k: v for k, v in parts.items() if k.split("/")[1] in held}
+    out = _read_parts(spark, path, parts)
+    if start is not None:
+        out = out.where(F.col("date") >= F.lit(start).cast("date"))
+    if end is not None:
+        out = out.where(F.col("date") <= F.lit(end).cast("date"))
+    return out if symbols is None else out.where(F.col("symbol").isin(symbols))
+
+
+# The two modes of a price stage, the first date of a backfill, and the days an incremental run fetches again.
+MODES = ("incremental", "backfill")
+BACKFILL_START = "2010-01-01"
+REFETCH_DAYS = 7
+
+
+def fetch_plan(symbols: DataFrame, marks: DataFrame, mode: str, asof: str, start: str = BACKFILL_START) -> DataFrame:
+    """symbol, from_date: what a run asks for.
+
+    A backfill asks for everything since ``start``. An incremental run asks for the last ``REFETCH_DAYS`` days again, from the symbol's
+    high-water mark on if that is older (a gap is closed), and since ``start`` for a symbol that has no mark.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
+    ask = symbols.select("symbol").where("symbol is not null").distinct()
+    first = F.lit(start).cast("date")
+    if mode == "backfill":
+        return ask.withColumn("from_date", first)
+    back = F.date_sub(F.lit(asof).cast("date"), REFETCH_DAYS)
+    return ask.join(marks, "symbol", "left").select("symbol", F.coalesce(F.when(F.col("mark").isNotNull(), F.greatest(first, F.least(back, "mark"))), first).alias("from_date"))
+
+
+def ingest_delivery(spark: SparkSession, path: str, symbols: DataFrame, delivery: DataFrame, mode: str, asof: str, start: str = BACKFILL_START) -> DataFrame:
+    """Merge what a run was delivered and report it: mode, symbols_total, symbols_succeeded, symbols_failed, rows_upserted.
+
+    Only rows that the plan asked for count (up to ``asof``, of the given symbols); of several copies of a (symbol, date) the highest
+    seq. Symbols without a row failed; the others are merged all the same, so a partial delivery is kept. A delivery without any row,
+    and an unknown mode, are errors and change nothing.
+    """
+    require_columns(delivery, "symbol", "date", "close", "seq")
+    plan = cut_lineage(fetch_plan(symbols, high_water(spark, path), mode, asof, start))
+    due = delivery.join(plan, "symbol").where((F.col("date") >= F.col("from_date")) & (F.col("date") <= F.lit(asof).cast("date")) & F.col("close").isNotNull())
+    due = cut_lineage(keep_one(due.select("symbol", "date", "close", "seq").withColumn("s", F.col("seq")), ["symbol", "date"], "s"))
+    got = due.agg(F.count("*").alias("rows"), F.count_distinct("symbol").alias("ok")).first()
+    if not got["rows"]:
+        raise RuntimeError("the delivery has no price that was asked for")
+    upsert_prices(spark, path, due)
+    return plan.agg(F.count("*").alias("symbols_total")).select(
+        F.lit(mode).alias("mode"), "symbols_total", F.lit(got["ok"]).alias("symbols_succeeded"), (F.col("symbols_total") - got["ok"]).alias("symbols_failed"), F.lit(got["rows"]).alias("rows_upserted")
+    )
 
 
 def publish_together(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:

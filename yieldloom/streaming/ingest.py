@@ -32,12 +32,18 @@ def latest_quotes(stream: DataFrame) -> DataFrame:
     return g.select("symbol", "ts", F.col("_q.price").alias("price"), ((sdiv("_q.price", "_q.prev_close") - 1) * 100).alias("return_1d_pct"))
 
 
-def run_latest_quotes(spark: SparkSession, incoming: str, out: str, checkpoint: str, files_per_batch: int = 1000) -> None:
-    """Each micro-batch writes only the symbols that changed, under its batch number."""
+def run_latest_quotes(spark: SparkSession, incoming: str, out: str, checkpoint: str, files_per_batch: int = 1000, keep: int = 8) -> None:
+    """Each micro-batch writes only the symbols that changed, under its batch number.
+
+    After ``keep`` batches a snapshot with one row per symbol takes the place of their folders, so the number of files follows the
+    symbols, not the batches. A late quote changes nothing: the state keeps the newest time stamp.
+    """
     stream = spark.readStream.schema(QUOTE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(incoming)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if len(_folders(spark, out)) > keep:
+            compact_quotes(spark, out)
 
     q = (
         latest_quotes(stream).writeStream.outputMode("update").foreachBatch(write)
@@ -46,6 +52,32 @@ def run_latest_quotes(spark: SparkSession, incoming: str, out: str, checkpoint:
     q.awaitTermination()
 
 
+def _folders(spark: SparkSession, out: str) -> list[tuple[int, str]]:
+    """(batch number, folder) of what readers need: the newest finished snapshot, which has all batches up to its number, and the batches behind it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{n}/_SUCCESS"))
+    snaps = sorted((int(n[9:]), n) for n in names if n.startswith("snapshot=") and done(n))
+    base = snaps[-1:]
+    return base + sorted((int(n[6:]), n) for n in names if n.startswith("batch=") and done(n) and (not base or int(n[6:]) > base[0][0]))
+
+
+def compact_quotes(spark: SparkSession, out: str) -> None:
+    """Write one snapshot of all batches so far, then delete what it replaces; a stop in between leaves the old folders or the new one valid."""
+    last = _folders(spark, out)[-1][0]
+    read_latest_quotes(spark, out).write.mode("overwrite").parquet(f"{out}/snapshot={last}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    needed = {n for _, n in _folders(spark, out)}
+    for x in fs.listStatus(p):
+        if x.getPath().getName() not in needed:
+            fs.delete(x.getPath(), True)
+
+
 def read_latest_quotes(spark: SparkSession, out: str) -> DataFrame:
-    d = spark.read.parquet(out)
+    parts = [spark.read.parquet(f"{out}/{n}").withColumn("batch", F.lit(k)) for k, n in _folders(spark, out)]  # at most the batches kept
+    d = parts[0]
+    for x in parts[1:]:
+        d = d.unionByName(x)
     return d.groupBy("symbol").agg(F.max_by(F.struct("ts", "price", "return_1d_pct"), "batch").alias("_q")).select("symbol", "_q.*")
