@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,17 +191,26 @@ def _not_in(known):
     return run
 
 
-def _by_words(known):
-    """Slices -> (lang, k, phrase, n): phrases in ``known``, whose parts are too, by their words; k = 0 has the number of all words.
+_PACKED = "part int, lang array<string>, k array<int>, phrase array<string>, n array<long>"
+
+
+def _by_words(known, parts: int):
+    """Slices -> phrases in ``known``, whose parts are too, by their words, packed by hash range; k = 0 has the number of all words.
 
     The counts of successive slices are added up while they are at most ``HELD`` phrases.
     """
+    kinds = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()))
 
     def rows(held: dict, sizes: Counter) -> Iterator[pa.RecordBatch]:
-        out = [(x, 0, "", c) for x, c in sizes.items() if c]
-        out += [(x, k, b" ".join(p.split()).decode(), c) for (x, k, p), c in held.items()]
-        for lo in range(0, len(out), 8192):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 8192], strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "k", "phrase", "n"])
+        packed: dict[int, tuple[list, list, list, list]] = {}
+        for (lang, k, phrase), n in [*held.items(), *(((x, 0, b""), c) for x, c in sizes.items() if c)]:
+            if k > 1:
+                phrase = b" ".join(phrase.split())
+            to = packed.setdefault(xxhash.xxh3_64_intdigest(phrase) % parts, ([], [], [], []))
+            for column, value in zip(to, (lang, k, phrase.decode(), n), strict=True):
+                column.append(value)
+        for part, columns in packed.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([c], t) for c, t in zip(columns, kinds, strict=True))], names=["part", "lang", "k", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
@@ -229,6 +239,17 @@ def _by_words(known):
     return run
 
 
+def _word_sums(least: int):
+    """Packed counts of one hash range -> (lang, k, phrase, a) of those that are frequent."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = pa.table({c: table[c].combine_chunks().flatten() for c in ("lang", "k", "phrase", "n")})
+        sums = flat.group_by(["lang", "k", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "k", "phrase", "a"])
+        return sums.filter(pc.or_(pc.equal(sums["k"], 0), pc.greater_equal(sums["a"], least)))
+
+    return run
+
+
 def frequent_phrases(docs: DataFrame, least: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 8, filter_bits: int = FILTER_BITS) -> DataFrame:
     """lang, k, phrase, a: all phrases of 1 to 4 words found ``least`` times or more in their language, and k = 0 with the number of its words.
 
@@ -272,8 +293,8 @@ def frequent_phrases(docs: DataFrame, least: int = 30, id_col: str = "doc_id", t
     for x in found[1:]:
         keys = keys.union(x)
     all_ = Filter(min(filter_bits, max(16, (16 * keys.count()).bit_length()))).plus(keys)
-    named = src.select("lang", "text").mapInArrow(_by_words(spark.sparkContext.broadcast(all_)), "lang string, k int, phrase string, n long")
-    return named.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= F.when(F.col("k") == 0, 1).otherwise(least))
+    named = src.select("lang", "text").mapInArrow(_by_words(spark.sparkContext.broadcast(all_), ranges), _PACKED)
+    return named.groupBy("part").applyInArrow(_word_sums(least), "lang string, k int, phrase string, a long")
 
 
 def collocations(docs: DataFrame, top: int = 2000, least: int = 30, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 8) -> DataFrame:
