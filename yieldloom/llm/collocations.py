@@ -18,7 +18,6 @@ groups the occurrences inside one slice.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from .common import as_bytes, claim, doc_remainder, give_back, pieces, stage
 FILTER_BITS = 28
 LONGEST = 4
 SLICE = 4 << 20
-HELD = 1 << 18
+HELD = 1 << 21
 _CUT = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 44 if c in _CUT else c for c in range(256))
 _INSIDE = bytes(c not in b", \t" for c in range(256))
@@ -197,29 +196,29 @@ _PACKED = "part int, lang array<string>, k array<int>, phrase array<string>, n a
 def _by_words(known, parts: int):
     """Slices -> phrases in ``known``, whose parts are too, by their words, packed by hash range; k = 0 has the number of all words.
 
-    The counts of successive slices are added up while they are at most ``HELD`` phrases.
+    The counts of successive slices are added up, ``HELD`` rows at a time, and go on when the sums alone are half as many.
     """
     kinds = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()))
 
-    def rows(held: dict, sizes: Counter) -> Iterator[pa.RecordBatch]:
-        packed: dict[int, tuple[list, list, list, list]] = {}
-        for (lang, k, phrase), n in [*held.items(), *(((x, 0, b""), c) for x, c in sizes.items() if c)]:
-            if k > 1:
-                phrase = b" ".join(phrase.split())
-            to = packed.setdefault(xxhash.xxh3_64_intdigest(phrase) % parts, ([], [], [], []))
-            for column, value in zip(to, (lang, k, phrase.decode(), n), strict=True):
-                column.append(value)
-        for part, columns in packed.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([c], t) for c, t in zip(columns, kinds, strict=True))], names=["part", "lang", "k", "phrase", "n"])
+    def packed(sums: pa.Table) -> Iterator[pa.RecordBatch]:
+        phrases = sums["phrase"].to_pylist()
+        part = np.fromiter((xxhash.xxh3_64_intdigest(x) % parts for x in phrases), np.int64, len(phrases))
+        order = np.argsort(part, kind="stable")
+        sums, part = sums.take(pa.array(order)), part[order]
+        cut = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            body = [sums[c].slice(i, j - i).combine_chunks() for c in ("lang", "k", "phrase", "n")]
+            lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x.cast(t.value_type)) for x, t in zip(body, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[i])], pa.int32()), *lists], names=["part", "lang", "k", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
         give_back()
-        held: dict[tuple, int] = {}
-        sizes: Counter = Counter()
+        held: list[pa.Table] = []
         for raw, start, end, hashes, seeds, of, langs in _slices(batches):
-            for x, c in zip(langs, np.bincount(of[hashes != 0], minlength=len(langs)).tolist(), strict=True):
-                sizes[x] += c
+            names = np.array(langs, object)
+            size = np.bincount(of[hashes != 0], minlength=len(langs))
+            held.append(_table(names[size > 0], 0, [b""] * int((size > 0).sum()), size[size > 0]))
             prev = None
             for k, (keys, ok) in enumerate(phrase_keys(hashes, seeds), 1):
                 at = np.flatnonzero(ok if k == 1 else ok & prev[:-1] & prev[1:])
@@ -228,23 +227,34 @@ def _by_words(known, parts: int):
                 prev[at] = True
                 _, first, n = np.unique(keys[at], return_index=True, return_counts=True)
                 first = at[first]
-                for x, i, j, c in zip(of[first].tolist(), start[first].tolist(), end[first + k - 1].tolist(), n.tolist(), strict=True):
-                    found = langs[x], k, raw[i:j]  # from the first word to the last, with the white space between them
-                    held[found] = held.get(found, 0) + c
-            if len(held) > HELD:
-                yield from rows(held, sizes)
-                held, sizes = {}, Counter()
-        yield from rows(held, sizes)
+                found = [raw[i:j] for i, j in zip(start[first].tolist(), end[first + k - 1].tolist(), strict=True)]
+                if k > 1:  # one space between words, whatever the text has
+                    found = [b" ".join(x.split()) if b"  " in x or b"\t" in x else x for x in found]
+                held.append(_table(names[of[first]], k, found, n))
+            if sum(t.num_rows for t in held) > HELD:
+                held = [_added_up(held)]
+                if held[0].num_rows > HELD // 2:
+                    yield from packed(held.pop())
+        if held:
+            yield from packed(_added_up(held))
 
     return run
 
 
+def _table(langs: np.ndarray, k: int, phrases: list[bytes], n: np.ndarray) -> pa.Table:
+    return pa.table({"lang": pa.array(langs, pa.string()), "k": pa.array(np.full(len(phrases), k, np.int32)), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "n": pa.array(n.astype(np.int64))})
+
+
+def _added_up(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["lang", "k", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "k", "phrase", "n"])
+
+
 def _word_sums(least: int):
     """Packed counts of one hash range -> (lang, k, phrase, a) of those that are frequent."""
 
     def run(table: pa.Table) -> pa.Table:
         flat = pa.table({c: table[c].combine_chunks().flatten() for c in ("lang", "k", "phrase", "n")})
-        sums = flat.group_by(["lang", "k", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "k", "phrase", "a"])
+        sums = _added_up([flat]).rename_columns(["lang", "k", "phrase", "a"])
         return sums.filter(pc.or_(pc.equal(sums["k"], 0), pc.greater_equal(sums["a"], least)))
 
     return run
