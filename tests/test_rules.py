@@ -186,11 +186,11 @@ def test_upsert_corrections_win_and_failed_write_keeps_the_table(spark, tmp_path
     assert read() == {days(2)[0]: 100.0, days(2)[1]: 91.0}
 
 
-def test_upsert_refuses_stored_years_it_cannot_read(spark, tmp_path):
+def test_upsert_refuses_stored_parts_it_cannot_read(spark, tmp_path):
     path = str(tmp_path / "px")
     K.upsert_prices(spark, path, prices(spark, [90, 91]).withColumn("seq", F.lit(1)))
-    year = next((tmp_path / "px").glob("v-*/year=*"))
-    prices(spark, [1, 2]).withColumnRenamed("close", "price").drop("year").write.mode("overwrite").parquet(str(year))
+    part = next((tmp_path / "px").glob("v-*/prices/year=*/bucket=*"))
+    prices(spark, [1, 2]).withColumnRenamed("close", "price").drop("year").write.mode("overwrite").parquet(str(part))
     with pytest.raises(ValueError, match="close"):
         K.upsert_prices(spark, path, prices(spark, [100]).withColumn("seq", F.lit(2)))
 
