@@ -26,6 +26,11 @@ def cents(c: str):
     return F.floor(F.col(c) * 100 + 0.5)
 
 
+def without_partner(df: DataFrame, suffix: str, col: str = "symbol") -> DataFrame:
+    """All rows, and each again under a symbol that no other table knows."""
+    return df.withColumn(col, F.explode(F.array(F.col(col), F.concat(F.col(col), F.lit(suffix)))))
+
+
 def trend_of(date: str = "date"):
     return 1000 + (F.col("sk") % 7 - 1) * ((F.year(date) - 1995) * 12 + F.month(date))
 

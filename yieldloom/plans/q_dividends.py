@@ -7,7 +7,7 @@ from ..functions.scalars import rnd, sdiv
 from ..operators import dividends as D
 from ..operators import fundamentals as U
 from ..operators.returns import latest_returns
-from .market import ASOF, Market
+from .market import ASOF, Market, without_partner
 from .oracle import shared
 from .registry import query
 
@@ -241,10 +241,10 @@ def _(m):
 
 
 @query("F15_unscored_stats", """
-c AS (SELECT symbol, arg_max(close,date) AS close FROM prices GROUP BY symbol), n AS (SELECT symbol, arg_max(v,year) AS last FROM yd GROUP BY symbol),
+h AS (SELECT * FROM shares UNION ALL SELECT symbol||'-N', outstandingShares FROM shares), l AS (SELECT symbol, arg_max(close,date) AS close FROM prices GROUP BY symbol), c AS (SELECT * FROM l UNION ALL SELECT symbol||'-N', close FROM l), n AS (SELECT symbol, arg_max(v,year) AS last FROM yd GROUP BY symbol),
 j AS (SELECT h.symbol, coalesce(p.price, c.close, 0) AS price, coalesce(changes,0) AS changes, coalesce(CAST(mktCap AS DOUBLE), coalesce(p.price,c.close,0)*outstandingShares) AS cap,
  coalesce(sector,'Unknown') AS sector, coalesce(industry,'Unknown') AS industry, coalesce(beta,1) AS beta, coalesce((:asof-ipoDate)/365.25, 10) AS yrs, coalesce(last,0) AS last, d.*, f.*
- FROM shares h LEFT JOIN c ON h.symbol=c.symbol LEFT JOIN (SELECT * FROM profiles WHERE isActivelyTrading) p ON h.symbol=p.symbol LEFT JOIN divstats d ON h.symbol=d.symbol LEFT JOIN n ON n.symbol=h.symbol LEFT JOIN finstats f ON f.symbol=h.symbol)
+ FROM h LEFT JOIN c ON h.symbol=c.symbol LEFT JOIN profiles p ON h.symbol=p.symbol LEFT JOIN divstats d ON h.symbol=d.symbol LEFT JOIN n ON n.symbol=h.symbol LEFT JOIN finstats f ON f.symbol=h.symbol)
 SELECT symbol, price, changes, R0{cap} AS mktCap, sector, industry, beta, R6{yrs} AS numOfYear, R6{last} AS lastDiv, R6{CASE WHEN price>0 THEN last/price*100 ELSE 0 END} AS yield,
  R0{coalesce(num_dividend_year,0)} AS numDividendYear, R0{coalesce(num_positive_year,0)} AS positiveYear, R6{coalesce(historical_mean_flat,0)} AS avgFlatAnnualDivIncrease,
  R6{coalesce(median_5y_revenue_growth,0)} AS revenueGrowth, R4{coalesce(median_5y_netIncome_growth,0)} AS netIncomeGrowth, R6{coalesce(median_profit_margin,0)} AS medianProfitMargin,
@@ -252,7 +252,7 @@ SELECT symbol, price, changes, R0{cap} AS mktCap, sector, industry, beta, R6{yrs
  R5{CASE WHEN earningTTM>0 THEN cap/earningTTM ELSE -1 END} AS peRatio, R6{CASE WHEN revenueTTM>0 THEN cap/revenueTTM ELSE -1 END} AS psRatio FROM (SELECT * EXCLUDE (symbol_1, symbol_2) FROM j)""")
 def _(m):
     last = m.closes.groupBy("symbol").agg(F.max_by("close", "date").alias("close"))
-    d = D.unscored_stats(m.profiles.where("isActivelyTrading"), m.financials, m.dividends, rate(m), m.shares, last, ASOF)
+    d = D.unscored_stats(m.profiles, m.financials, m.dividends, rate(m), without_partner(m.shares, "-N"), without_partner(last, "-N"), ASOF)  # with listings that have a price and nothing else
     digits = {"mktCap": 0, "earningTTM": 0, "revenueTTM": 0, "numDividendYear": 0, "positiveYear": 0, "netIncomeGrowth": 4, "netIncomeGrowthTTM": 4, "peRatio": 5}
     plain = {"symbol", "price", "changes", "sector", "industry", "beta"}
     return d.select(*[F.col(c) if c in plain else rnd(c, digits.get(c, 6)).alias(c) for c in d.columns])

@@ -41,11 +41,11 @@ def _(m):
 
 
 @query("B04_twin_listing", """
-f AS (SELECT symbol, sk FROM companies WHERE sk%7<>2)
-SELECT symbol, sk FROM f WHERE NOT (sk%5=1 AND EXISTS (SELECT 1 FROM f k WHERE k.sk=f.sk-1))""")
+SELECT symbol, sk FROM companies f WHERE NOT (sk%5=1 AND EXISTS (SELECT 1 FROM companies k WHERE k.sk=f.sk-1))""")
 def _(m):
-    f = m.companies.where("sk % 7 <> 2").select("symbol", "sk")
+    f = m.companies.select("symbol", "sk")
     twins = m.companies.where("sk % 5 = 1").select(F.format_string("S%06d", F.col("sk") - 1).alias("keep"), F.col("symbol").alias("drop"))
+    twins = twins.unionByName(m.companies.where("sk % 5 = 3").select(F.concat("symbol", F.lit("-X")).alias("keep"), F.col("symbol").alias("drop")))  # their twin is not listed
     return X.drop_twins(f, twins)
 
 

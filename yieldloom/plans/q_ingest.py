@@ -295,9 +295,13 @@ def _(m):
     return I.refresh(old, now, I.changed_parts(I.digest_parts(m.prices), I.digest_parts(now), ["symbol", "month"]), stats)
 
 
-@query("A22_statement_rates", "SELECT f.symbol, f.date, f.reportedCurrency, CASE WHEN f.reportedCurrency='USD' THEN coalesce(x.close, 16618.0) ELSE 1 END AS rate FROM financials f ASOF LEFT JOIN (SELECT * FROM fx WHERE date>=DATE '1996-06-01') x ON f.date>=x.date")
+@query("A22_statement_rates", """
+s AS (SELECT symbol, date, reportedCurrency FROM financials UNION ALL SELECT symbol||'-P', (date-INTERVAL 20 YEAR)::DATE, reportedCurrency FROM financials)
+SELECT s.symbol, s.date, s.reportedCurrency, CASE WHEN s.reportedCurrency='USD' THEN coalesce(x.close, 16618.0) ELSE 1 END AS rate FROM s ASOF LEFT JOIN fx x ON s.date>=x.date""")
 def _(m):
-    return I.statement_rates(m.financials.select("symbol", "date", "reportedCurrency"), m.fx.where("date >= date'1996-06-01'"))
+    own = m.financials.select("symbol", "date", "reportedCurrency")
+    before = own.select(F.concat("symbol", F.lit("-P")).alias("symbol"), F.add_months("date", -240).alias("date"), "reportedCurrency")  # older than any quote
+    return I.statement_rates(own.unionByName(before), m.fx)
 
 
 @query("A23_long_series", "SELECT symbol, date, close FROM prices UNION ALL SELECT 'INDEX-'||index, date, close FROM index_prices UNION ALL SELECT 'USDIDR', date, close FROM fx")

@@ -9,7 +9,7 @@ from ..operators import events as E
 from ..operators import portfolio as P
 from ..operators import returns as R
 from ..operators import strategy as S
-from .market import ASOF
+from .market import ASOF, without_partner
 from .q_dividends import rate, scores
 from .q_fundamentals import rounded
 from .registry import query
@@ -27,17 +27,19 @@ def _(m):
 
 
 @query("C03_score_returns", """
-SELECT s.symbol, R4{DScore} AS DScore, R6{r.return_7d} AS live_7d, p.price AS live_price FROM scores s LEFT JOIN (SELECT * FROM returns WHERE CAST(substr(symbol,2) AS BIGINT)%7<>3) r ON r.symbol=s.symbol JOIN (SELECT * FROM profiles WHERE isActivelyTrading) p ON p.symbol=s.symbol""")
+s AS (SELECT symbol, DScore FROM scores UNION ALL SELECT symbol||'-W', DScore FROM scores), l AS (SELECT symbol, price FROM profiles WHERE isActivelyTrading UNION ALL SELECT symbol||'-W', price FROM profiles WHERE isActivelyTrading)
+SELECT s.symbol, R4{DScore} AS DScore, R6{r.return_7d} AS live_7d, l.price AS live_price FROM s LEFT JOIN returns r ON r.symbol=s.symbol JOIN l ON l.symbol=s.symbol""")
 def _(m):
-    live = m.profiles.where("isActivelyTrading").select("symbol", F.col("price").alias("live_price"))
-    late = R.latest_returns(m.prices).where("cast(substr(symbol, 2) as long) % 7 <> 3").select("symbol", F.col("return_7d").alias("live_7d"))
-    return scores(m).select("symbol", "DScore").join(late, "symbol", "left").join(live, "symbol").select("symbol", rnd("DScore", 4).alias("DScore"), rnd("live_7d").alias("live_7d"), "live_price")
+    live = without_partner(m.profiles.where("isActivelyTrading").select("symbol", F.col("price").alias("live_price")), "-W")  # lines that never traded
+    late = R.latest_returns(m.prices).select("symbol", F.col("return_7d").alias("live_7d"))
+    return without_partner(scores(m).select("symbol", "DScore"), "-W").join(late, "symbol", "left").join(live, "symbol").select("symbol", rnd("DScore", 4).alias("DScore"), rnd("live_7d").alias("live_7d"), "live_price")
 
 
 @query("C04_holdings_market", """
-SELECT holder, h.symbol, CASE WHEN p.symbol IS NULL THEN 'unknown' ELSE 'matched' END AS state, p.price AS last_price FROM holdings h LEFT JOIN (SELECT * FROM profiles WHERE NOT isEtf) p ON p.symbol=h.symbol""")
+h AS (SELECT holder, symbol FROM holdings UNION ALL SELECT holder, symbol||'-X' FROM holdings)
+SELECT holder, h.symbol, CASE WHEN p.symbol IS NULL THEN 'unknown' ELSE 'matched' END AS state, p.price AS last_price FROM h LEFT JOIN profiles p ON p.symbol=h.symbol""")
 def _(m):
-    matched, unknown = P.with_market(m.holdings, m.profiles.where("not isEtf"))
+    matched, unknown = P.with_market(without_partner(m.holdings, "-X"), m.profiles)
     a = matched.select("holder", "symbol", F.lit("matched").alias("state"), "last_price")
     return a.unionByName(unknown.select("holder", "symbol", F.lit("unknown").alias("state"), F.lit(None).cast("double").alias("last_price")))
 
@@ -76,13 +78,14 @@ def _(m):
 
 
 @query("C11_outer_merge", """
-a AS (SELECT symbol, ex_date, low.c AS low_price FROM bestev WHERE month(ex_date)<=8), b AS (SELECT symbol, ex_date, cum_price FROM exev WHERE month(ex_date)>=5 AND cum_price IS NOT NULL)
+x AS (SELECT symbol, ex_date, low.c AS low_price FROM bestev), y AS (SELECT symbol, ex_date, cum_price FROM exev WHERE cum_price IS NOT NULL),
+a AS (SELECT * FROM x UNION ALL SELECT symbol||'-A', ex_date, low_price FROM x), b AS (SELECT * FROM y UNION ALL SELECT symbol||'-B', ex_date, cum_price FROM y)
 SELECT coalesce(a.symbol,b.symbol) AS symbol, coalesce(a.ex_date,b.ex_date) AS ex_date, low_price, cum_price, adjDividend FROM a FULL JOIN b ON a.symbol=b.symbol AND a.ex_date=b.ex_date
 LEFT JOIN dividends d ON d.symbol=coalesce(a.symbol,b.symbol) AND d.date=coalesce(a.ex_date,b.ex_date)""")
 def _(m):
     ev = E.ex_events(m.dividends).select("symbol", "ex_date")
-    a = E.best_entry(m.closes, ev.where("month(ex_date) <= 8")).select("symbol", "ex_date", "low_price")
-    b = E.with_event_prices(ev.where("month(ex_date) >= 5"), m.closes).where("cum_price is not null").select("symbol", "ex_date", "cum_price")
+    a = without_partner(E.best_entry(m.closes, ev).select("symbol", "ex_date", "low_price"), "-A")
+    b = without_partner(E.with_event_prices(ev, m.closes).where("cum_price is not null").select("symbol", "ex_date", "cum_price"), "-B")
     d = m.dividends.select("symbol", F.col("date").alias("ex_date"), "adjDividend")
     return a.join(b, ["symbol", "ex_date"], "outer").join(d, ["symbol", "ex_date"], "left")
 

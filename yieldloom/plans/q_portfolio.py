@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import rnd
 from ..operators import portfolio as P
-from .market import ASOF
+from .market import ASOF, without_partner
 from .oracle import shared
 from .q_fundamentals import rounded
 from .registry import query
@@ -105,12 +105,13 @@ def _(m):
 
 
 @query("M07_payment_totals", """
-b AS (SELECT p.*, coalesce(sector,'Unclassified') AS sector, coalesce(industry,'Unclassified') AS industry, year(date) AS y, month(date) AS mo FROM payments p LEFT JOIN companies c ON c.symbol=p.stock AND c.sk%13<>4)
+pay AS (SELECT holder, stock, total, date FROM payments UNION ALL SELECT holder, stock||'-X', total, date FROM payments),
+b AS (SELECT p.*, coalesce(sector,'Unclassified') AS sector, coalesce(industry,'Unclassified') AS industry, year(date) AS y, month(date) AS mo FROM pay p LEFT JOIN companies c ON c.symbol=p.stock)
 SELECT holder, 'stock' AS level, stock AS key, sum(total) AS total, count(*) AS payments FROM b GROUP BY holder, stock UNION ALL SELECT holder, 'year', y::VARCHAR, sum(total), count(*) FROM b GROUP BY holder, y
 UNION ALL SELECT holder, 'year_month', printf('%04d-%02d', y, mo), sum(total), count(*) FROM b GROUP BY holder, y, mo UNION ALL SELECT holder, 'date', date::VARCHAR, sum(total), count(*) FROM b GROUP BY holder, date
 UNION ALL SELECT holder, 'sector', sector, sum(total), count(*) FROM b GROUP BY holder, sector UNION ALL SELECT holder, 'industry', industry, sum(total), count(*) FROM b GROUP BY holder, industry""")
 def _(m):
-    return P.payment_totals(m.payments, m.companies.where("sk % 13 <> 4"))  # some stocks are unknown
+    return P.payment_totals(without_partner(m.payments, "-X", "stock"), m.companies)
 
 
 @query("M07_day_shares", """
