@@ -118,8 +118,11 @@ def fit_languages(train: DataFrame, id_col: str = "doc_id", clusters: int = 4, p
     rows = train.where("text is not null and lang is not null")
     df, n = document_frequency(rows)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
-    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    sample = rows.join(counts, "lang").where(uniform(id_col, 1) < per_lang / F.col("_n"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("_n")).limit(max_langs + 1).collect()
+    if len(counts) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
+    sizes = train.sparkSession.createDataFrame(counts, "lang string, _n long")  # at most max_langs rows
+    sample = rows.join(F.broadcast(sizes), "lang").where(uniform(id_col, 1) < per_lang / F.col("_n"))
 
     def vec(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 4 << 20):
