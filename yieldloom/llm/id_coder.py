@@ -30,7 +30,7 @@ _S16, _S48 = np.uint64(16), np.uint64(48)
 _BRANCH, _ORDER0, _HASH = 12, 19, 18  # bits of the branch law, of the order-0 law, of the order-2 table
 _SHIFT, _WHOLE, _ZERO, _ONE = np.uint64(_BRANCH), np.uint64(1 << _BRANCH), np.uint64(0), np.uint64(1)
 _LOW = np.uint64((1 << 40) - 1)
-MAX_LANES = 2048
+MAX_LANES = 4096
 
 
 class _Model:
@@ -304,7 +304,7 @@ def word_encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def write_ids(docs: DataFrame, path: str, end: int, label: str = "id-files", id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 20) -> DataFrame:
+def write_ids(docs: DataFrame, path: str, end: int, label: str = "id-files", id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 21) -> DataFrame:
     """Encode and code all texts in ascending id order: rows (part, block, n, docs, data), written to the scratch folder.
 
     A row is a self-contained block of whole documents with about ``block_ids``
