@@ -103,7 +103,7 @@ def _settle(low: np.ndarray, span: np.ndarray, move) -> None:
 
 def encode_block(ids: np.ndarray, vocab: int) -> bytes:
     n = len(ids)
-    lanes = int(min(MAX_LANES, max(1, n // 64)))
+    lanes = int(min(MAX_LANES, max(1, n // 64), max(MAX_LANES // 2, n // 256)))  # more lanes mean fewer steps to learn from
     steps = -(-n // lanes)
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
