@@ -43,6 +43,7 @@ def test_blocks_round_trip(n):
 def test_words_are_encoded_as_in_the_whole_text():
     enc, tok = id_coder.WordEncoder(BPE, keep=50), Tokenizer.from_file(BPE)
     texts = ["", "a\x01b", "it's  don't\x0bÉcole <|endoftext|>x ﬁ b", "\x1c\x1d a", "é ́", "ΑΣ ΑΣ. İ", "\x01 x \x01", "日本語 12345!!!??", "w " * 300] + [f"word{i} again" for i in range(200)]
+    texts += ["H\u0331 I\u0307 ẖ", "<|ENDOFTEXT|> <|EndOfText|>. X<|endoftext|>.", "It's. don'T, 'S it'.", "é. É, e\u0301! A\u030a.", "a…. …, 5. 55:# b&&& &&& ,.", "ªº. ʰ Ⅷ, ² x²", "AbC abc ABC, abc."]
     for _ in range(2):  # the second time words are remembered, some forgotten
         ids, each = enc.encode([t.encode() for t in texts], 2)
         want = [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]

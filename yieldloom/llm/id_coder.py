@@ -10,6 +10,7 @@ follow the confidences and are learned from how often each was right.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ _BRANCH, _ORDER0, _HASH = 12, 19, 18  # bits of the branch law, of the order-0 l
 _SHIFT, _WHOLE, _ZERO, _ONE = np.uint64(_BRANCH), np.uint64(1 << _BRANCH), np.uint64(0), np.uint64(1)
 _LOW = np.uint64((1 << 40) - 1)
 MAX_LANES = 4096
+#: Fixed value: the pattern by which a known family of tokenizers cuts texts into runs of letters, single digits and runs of marks.
+RUNS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class _Model:
@@ -39,8 +42,7 @@ class _Model:
     def __init__(self, vocab: int, lanes: int, slots: bool = False):
         self.vocab, self.slots = vocab, slots  # the decoder looks ids up by slot
         self.count = np.zeros(vocab, np.int64)
-        self.pick1, self.sure1 = np.zeros(vocab, np.int64), np.zeros(vocab, np.int64)
-        self.pick2, self.sure2 = np.zeros(1 << _HASH, np.int64), np.zeros(1 << _HASH, np.int64)
+        self.law1, self.law2 = np.zeros(vocab, np.int32), np.zeros(1 << _HASH, np.int32)  # predicted id << 4 | confidence
         self.right = np.ones((512, 3), np.int64)  # by context: order 2 right, order 1 right, neither
         self.prev, self.at2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step, self.recent = 0, []
@@ -62,21 +64,24 @@ class _Model:
     def _weights(self) -> None:
         share = self.right / self.right.sum(1, keepdims=True)
         f = 1 + (share * ((1 << _BRANCH) - 3)).astype(np.int64)
-        self.edge1, self.edge2 = f[:, 0].astype(np.uint64), f[:, :2].sum(1).astype(np.uint64)
+        edges = np.column_stack([0 * f[:, 0], f[:, 0], f[:, 0] + f[:, 1], np.full(len(f), 1 << _BRANCH)])
+        self.start = edges.astype(np.uint64).ravel()
+        self.width = np.diff(edges, axis=1, append=0).astype(np.uint64).ravel()  # the fourth of each context is never read
 
     def predict(self):
-        """Per lane the order-2 and order-1 predictions and the edges of the branch law."""
-        self.c1, self.c2 = self.pick1[self.prev], self.pick2[self.at2]
-        self.s1, self.s2 = self.sure1[self.prev], self.sure2[self.at2]
-        self.ctx = (self.s2 << 5) | (self.s1 << 1) | (self.c1 == self.c2)
-        return self.c2, self.c1, self.edge1[self.ctx], self.edge2[self.ctx]
+        """Per lane the order-2 and order-1 predictions, and where its context's laws of the branch begin in ``start`` and ``width``."""
+        self.v1, self.v2 = self.law1[self.prev], self.law2[self.at2]
+        self.c1, self.c2 = self.v1 >> 4, self.v2 >> 4
+        self.at = ((((self.v2 & 15) << 5) | ((self.v1 & 15) << 1) | (self.c1 == self.c2)) << 2).astype(np.int64)
+        return self.c2, self.c1, self.at
 
     def advance(self, ids: np.ndarray, branch: np.ndarray) -> None:
-        self.right += np.bincount(self.ctx * 3 + branch, minlength=1536).reshape(512, 3)
-        for pick, sure, at, c, s in ((self.pick1, self.sure1, self.prev, self.c1, self.s1), (self.pick2, self.sure2, self.at2, self.c2, self.s2)):
-            hit = c == ids
-            pick[at] = np.where(hit | (s > 1), c, ids)
-            sure[at] = np.where(hit, np.minimum(s + 1, 15), s >> 1)
+        self.right += np.bincount(self.at + branch, minlength=2048).reshape(512, 4)[:, :3]
+        fresh = (ids << 4).astype(np.int32)
+        for law, at, c, v in ((self.law1, self.prev, self.c1, self.v1), (self.law2, self.at2, self.c2, self.v2)):
+            s = v & 15
+            missed = np.where(s > 1, v - s, fresh) | (s >> 1)
+            law[at] = np.where(c == ids, np.minimum(v + 1, v | 15), missed)
         self.at2 = ((self.prev * 0x9E3779B1) ^ (ids * 0x85EBCA6B)) >> 7 & ((1 << _HASH) - 1)
         self.prev = ids
         self.recent.append(ids)
@@ -117,9 +122,9 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
 
     for t in range(steps):
         x = grid[t]
-        c2, c1, e1, e2 = model.predict()
-        branch = np.where(x == c2, 0, np.where(x == c1, 1, 2))
-        low, span = _branch(low, span, branch, e1, e2)
+        c2, c1, at = model.predict()
+        branch = np.where(x == c2, 0, 2 - (x == c1))
+        low, span = _branch(low, span, at + branch, model)
         miss = np.flatnonzero(branch == 2)
         _order0_part(low, span, miss, x[miss], model)
         _settle(low, span, move)
@@ -133,12 +138,10 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
     return _HEAD.pack(MAGIC, n, lanes, vocab, len(word), zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes())) + body
 
 
-def _branch(low: np.ndarray, span: np.ndarray, branch: np.ndarray, e1: np.ndarray, e2: np.ndarray):
+def _branch(low: np.ndarray, span: np.ndarray, at: np.ndarray, model: _Model):
     """Narrow every lane to its branch: order 2 right, order 1 right, neither."""
     r = span >> _SHIFT
-    start = np.where(branch == 0, _ZERO, np.where(branch == 1, e1, e2))
-    stop = np.where(branch == 0, e1, np.where(branch == 1, e2, _WHOLE))
-    return low + start * r, (stop - start) * r
+    return low + model.start[at] * r, model.width[at] * r
 
 
 def _order0_part(low: np.ndarray, span: np.ndarray, miss: np.ndarray, x: np.ndarray, model: _Model) -> None:
@@ -169,11 +172,11 @@ def decode_block(block: bytes) -> np.ndarray:
         at[i] += 1
 
     for t in range(steps):
-        c2, c1, e1, e2 = model.predict()
+        c2, c1, first = model.predict()
         f = (code - low) // (span >> _SHIFT)
-        branch = (f >= e1).astype(np.int64) + (f >= e2)
-        low, span = _branch(low, span, branch, e1, e2)
-        x = np.where(branch == 0, c2, c1)
+        branch = (f >= model.start[first + 1]).astype(np.int64) + (f >= model.start[first + 2])
+        low, span = _branch(low, span, first + branch, model)
+        x = np.where(branch == 0, c2, c1).astype(np.int64)
         miss = np.flatnonzero(branch == 2)
         f = np.minimum((code[miss] - low[miss]) // (span[miss] // model.total), model.total - _ONE)
         y = model.slot[f.astype(np.int64)]
@@ -204,9 +207,16 @@ class _Places(dict):
 
 
 class WordEncoder:
-    """Ids of words cut at ASCII white space, which the tokenizer drops; frequent words are remembered up to a bound."""
+    """Ids of words cut at ASCII white space, which the tokenizer drops; frequent words are remembered up to a bound.
 
-    MARK = "\x01"
+    Where the tokenizer lower-cases and cuts at marks itself, words that differ
+    in that only share their ids: A-Z is lower-cased first (not in texts with
+    combining marks, which may join a small letter but not the capital, nor
+    with a beginning of a special token), and a word of an ASCII letter or
+    digit with ``TAIL`` marks behind it is made of both parts' ids.
+    """
+
+    MARK, TAIL = "\x01", b".,;:!?#*$%&"
 
     def __init__(self, path: str, keep: int = 1 << 20):
         from tokenizers import Tokenizer
@@ -215,11 +225,33 @@ class WordEncoder:
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         mark = self._ids(self.MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        self._rules()
         self._clear()
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _rules(self) -> None:
+        """Whether the tokenizer is known to lower-case, and to cut between letters or digits and marks."""
+        spec = json.loads(self.tok.to_str())
+        norm, cut = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+        norm, cut = norm.get("normalizers", [norm]), cut.get("pretokenizers", [cut])
+        special = [t["content"].encode() for t in spec["added_tokens"]]
+        plain = all(x.get("type") in ("NFC", "Lowercase") or x == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} for x in norm)
+        runs = cut[0].get("type") == "Split" and cut[0].get("behavior") == "Removed" and cut[0].get("invert") and cut[0].get("pattern") == {"Regex": RUNS}
+        self.folds = plain and {"type": "Lowercase"} in norm and all(t.startswith(b"<|") for t in special)
+        self.cuts = bool(plain and runs and not any(c in t for t in special for c in self.TAIL))
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.last = None  # by id: whether a run of letters or marks ends with it
+        if self.cuts and suffix:
+            self.last = np.zeros(self.vocab, bool)
+            self.last[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+
+    def _split(self, text: bytes) -> list[bytes]:
+        if self.folds and b"\xcc" not in text and b"<|" not in text:
+            text = text.lower()
+        return text.split()
+
     def _clear(self) -> None:
         self.place = _Places()  # None stands for the end of a text
         self.start, self.size, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
@@ -251,27 +283,50 @@ class WordEncoder:
         while n > len(self.start):
             self.start, self.size, self.hits = (np.append(x, np.zeros_like(x)) for x in (self.start, self.size, self.hits))
 
-    def _learn(self, group: int = 20000) -> None:
-        """Encode the new words, many in one call, a mark between them."""
-        new, n = self.place.new, len(self.place)
+    def _learn(self, group: int = 4000) -> None:
+        """Encode the new words, many in one call, a mark between them; words with marks behind them are put together."""
+        new, whole, joined = self.place.new, [], []
+        for w in new if self.cuts else ():
+            core = w.rstrip(self.TAIL) if w is not None else None
+            if core and core != w and core[-1:].isalnum():
+                joined.append((self.place[w], self.place[core], self.place[w[len(core) :]]))  # unknown parts line up behind
+        made = {x[0] for x in joined}
+        first = len(self.place) - len(new)
+        self._encode_new(np.array([first + k for k in range(len(new)) if first + k not in made], np.int64), [w for k, w in enumerate(new) if first + k not in made], group)
+        new.clear()
+        if joined:
+            number, *parts = np.array(joined).T
+            a, b = (self.size[x] for x in parts)
+            size = np.column_stack([a, b]).ravel()
+            stop = np.cumsum(size)
+            ids = self.flat[np.repeat(np.column_stack([self.start[x] for x in parts]).ravel() - (stop - size), size) + np.arange(int(stop[-1]))]
+            self._store(number, ids, (stop - size)[::2], a + b)
+
+    def _encode_new(self, numbers: np.ndarray, new: list, group: int) -> None:
+        n = len(self.place)
         self._room(n)
-        numbers = np.arange(n - len(new), n)
-        plain = np.array([w is not None and self.mark is not None and b"\x01" not in w for w in new], bool)
-        alone = np.flatnonzero(~plain).tolist()
-        at = np.flatnonzero(plain)
-        for i in range(0, len(at), group):
-            part = at[i : i + group]
-            ids = np.array(self._ids(f" {self.MARK} ".encode().join([new[k] for k in part.tolist()]).decode()), np.int32)
-            cut = np.flatnonzero(ids == self.mark)
-            if len(cut) == len(part) - 1:
-                start = np.concatenate([[0], cut + 1])
-                self._store(numbers[part], ids, start, np.append(cut, len(ids)) - start)
-            else:
-                alone += part.tolist()
+        text = [None if w is None else w.decode() for w in new]
+        letters = np.array([self.last is not None and w is not None and w.isalpha() for w in text], bool)
+        marked = np.array([self.mark is not None and w is not None and self.MARK not in w for w in text], bool)
+        rest: list[int] = []
+        for at, gap, mark in ((np.flatnonzero(letters), " ", None), (np.flatnonzero(marked & ~letters), f" {self.MARK} ", self.mark)):
+            for i in range(0, len(at), group):
+                part = at[i : i + group]
+                ids = np.array(self._ids(gap.join([text[k] for k in part.tolist()])), np.int32)
+                if mark is None:  # a word of letters is one run: its last id ends it
+                    stop = np.flatnonzero(self.last[ids]) + 1
+                    start = np.concatenate([[0], stop[:-1]])
+                else:
+                    cut = np.flatnonzero(ids == mark)
+                    start, stop = np.concatenate([[0], cut + 1]), np.append(cut, len(ids))
+                if len(start) == len(part) and stop[-1] == len(ids):
+                    self._store(numbers[part], ids, start, stop - start)
+                else:
+                    rest += part.tolist()
+        alone = rest + np.flatnonzero(~letters & ~marked).tolist()
         for k in alone:
-            ids = np.array([self.end] if new[k] is None else self._ids(new[k].decode()), np.int32)
+            ids = np.array([self.end] if text[k] is None else self._ids(text[k]), np.int32)
             self._store(numbers[k : k + 1], ids, np.zeros(1, np.int64), np.array([len(ids)]))
-        new.clear()
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end`` behind it, and the number of each."""
@@ -280,7 +335,7 @@ class WordEncoder:
             self.end = end
         if len(self.place) > self.keep:
             self._shrink()
-        split = [t.split() for t in texts]
+        split = [self._split(t) for t in texts]
         for x in split:
             x.append(None)
         count = np.array([len(x) for x in split], np.int64)
