@@ -14,7 +14,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -285,14 +285,15 @@ class WordEncoder:
 
     def _learn(self, group: int = 4000) -> None:
         """Encode the new words, many in one call, a mark between them; words with marks behind them are put together."""
-        new, whole, joined = self.place.new, [], []
-        for w in new if self.cuts else ():
-            core = w.rstrip(self.TAIL) if w is not None else None
-            if core and core != w and core[-1:].isalnum():
-                joined.append((self.place[w], self.place[core], self.place[w[len(core) :]]))  # unknown parts line up behind
-        made = {x[0] for x in joined}
-        first = len(self.place) - len(new)
-        self._encode_new(np.array([first + k for k in range(len(new)) if first + k not in made], np.int64), [w for k, w in enumerate(new) if first + k not in made], group)
+        new, first, joined = self.place.new, len(self.place) - len(self.place.new), []
+        for k, w in enumerate(new) if self.cuts else ():
+            if w and w[-1] in self.TAIL:
+                core = w.rstrip(self.TAIL)
+                if core[-1:].isalnum():
+                    joined.append((first + k, self.place[core], self.place[w[len(core) :]]))  # unknown parts line up behind
+        own = np.ones(len(new), bool)
+        own[[x[0] - first for x in joined]] = False
+        self._encode_new(first + np.flatnonzero(own), list(compress(new, own.tolist())), group)
         new.clear()
         if joined:
             number, *parts = np.array(joined).T
@@ -305,9 +306,11 @@ class WordEncoder:
     def _encode_new(self, numbers: np.ndarray, new: list, group: int) -> None:
         n = len(self.place)
         self._room(n)
-        text = [None if w is None else w.decode() for w in new]
-        letters = np.array([self.last is not None and w is not None and w.isalpha() for w in text], bool)
-        marked = np.array([self.mark is not None and w is not None and self.MARK not in w for w in text], bool)
+        if not new:
+            return
+        text = b" ".join([w or b"" for w in new]).decode().split(" ")  # words hold no space; the end of a text is empty here
+        letters = np.fromiter(map(str.isalpha, text), bool, len(text)) if self.last is not None else np.zeros(len(text), bool)
+        marked = np.array([self.mark is not None and w != "" and self.MARK not in w for w in text], bool)
         rest: list[int] = []
         for at, gap, mark in ((np.flatnonzero(letters), " ", None), (np.flatnonzero(marked & ~letters), f" {self.MARK} ", self.mark)):
             for i in range(0, len(at), group):
@@ -325,7 +328,7 @@ class WordEncoder:
                     rest += part.tolist()
         alone = rest + np.flatnonzero(~letters & ~marked).tolist()
         for k in alone:
-            ids = np.array([self.end] if text[k] is None else self._ids(text[k]), np.int32)
+            ids = np.array([self.end] if new[k] is None else self._ids(text[k]), np.int32)
             self._store(numbers[k : k + 1], ids, np.zeros(1, np.int64), np.array([len(ids)]))
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
