@@ -1,5 +1,6 @@
 """Token ids, SentencePiece and the pipeline against the libraries and plain Python."""
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 import __spark_entry__
 import corpus_pipeline
 from check import compare, connect
-from yieldloom.llm import id_coder, pieces_fst, quality, queries
+from yieldloom.llm import common, id_coder, pieces_fst, quality, queries
 from yieldloom.llm.common import vocabulary
 
 BPE, PIECES = vocabulary("word_bpe_49k.json"), vocabulary("piece_bpe_32k.model")
@@ -164,3 +165,25 @@ def test_near_stage_joins_at_four_fifths_of_five_words(spark):
 def test_registered_once_for_each_operator():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
+
+
+def test_a_pipeline_leaves_the_tables_of_others(spark):
+    held = id_coder.write_ids(spark.read.parquet(f"{h.SF}/documents.parquet"), BPE, end=2)
+    before = held.count()
+    with common.staging_for("pipeline"):
+        own = common.stage(spark.range(3).toDF("n"), "own")
+    common.release(spark, "pipeline")
+    assert held.count() == before and not os.path.exists(own._staged_at.removeprefix("file:"))
+    common.unstage(held)
+
+
+def test_other_models_than_bpe_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(PIECES, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    (tmp_path / "other.model").write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError, match="BPE"):
+        pieces_fst.Transducer(str(tmp_path / "other.model"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,18 @@ from ..session import scratch_path
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-_STAGED: dict[str, str] = {}  # folders of staged tables
+_STAGED: dict[str, str] = {}  # folders of staged tables and who staged them
+_OWNER: ContextVar[str] = ContextVar("owner", default="")
+
+
+@contextmanager
+def staging_for(owner: str) -> Iterator[None]:
+    """Tables staged meanwhile belong to ``owner``, who may ``release`` them; all others' stay."""
+    token = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -28,7 +40,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._staged_at = path
-    _STAGED[path] = path
+    _STAGED[path] = _OWNER.get()
     return out
 
 
@@ -38,14 +50,14 @@ def unstage(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._staged_at)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table this process has staged; only for callers whose results are written elsewhere."""
-    for path in list(_STAGED):
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete every table that was staged for ``owner``; only for callers whose results are written elsewhere."""
+    for path in [p for p, whose in _STAGED.items() if whose == owner]:
         _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    if _STAGED.pop(path, None):
+    if _STAGED.pop(path, None) is not None:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

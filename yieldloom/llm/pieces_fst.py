@@ -41,6 +41,8 @@ class Transducer:
         model = pb.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
+        if model.trainer_spec.model_type != 2:
+            raise ValueError("only BPE models are compiled; a unigram model's pieces weigh otherwise")
         if model.normalizer_spec.precompiled_charsmap or not model.normalizer_spec.escape_whitespaces or model.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only identity normalisers with escaped white space are compiled")
         self.prefix = SPACE if model.normalizer_spec.add_dummy_prefix else ""
