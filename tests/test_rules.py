@@ -298,3 +298,46 @@ def test_boosted_trees_run_at_the_operators_defaults(monkeypatch):
     with pytest.raises(StopIteration):
         registry._QUERIES["N07_boosted_trees"](None)
     assert asked == [{"kind": "boosted"}]
+
+
+def labelled(spark, n=60):
+    """Close falls on every label 'sell', rises on 'buy'; the feature tells them apart."""
+    says = ["buy", "hold", "sell"]
+    rows = [(s, d, float(i % 3), says[i % 3]) for s in ("A", "B") for i, d in enumerate(days(n))]
+    return spark.createDataFrame(rows, "symbol string, date date, x double, trade_signal string")
+
+
+def test_models_are_trained_saved_and_compared(spark, tmp_path):
+    d = labelled(spark)
+    rows = L.training_set(d, ["x"], "2020-01-01", "2020-12-31")
+    specs = [L.ModelSpec("forest", trees=5), L.ModelSpec("boosted", "boosted", trees=2, learning_rate=0.5), L.ModelSpec("stump", trees=1, child_weight=1e9)]
+    models = L.train_all(rows, ["x"], specs)
+    p = L.predict_all(models, rows, ["x"])
+    assert p.count() == 360
+    closes = d.select("symbol", "date", F.element_at(F.array(F.lit(10.0), F.lit(12.0), F.lit(12.0)), F.col("x").cast("int") + 1).alias("close"))
+    got = {r.model: r for r in L.compare_models(closes, p, d.select("symbol", "date", F.col("trade_signal").alias("signal"))).collect()}
+    for name in ("forest", "boosted"):
+        r = got[name]
+        assert (r.rows, r.symbols, r.weighted_accuracy, r.buy_precision, r.sell_recall) == (120, 2, 1.0, 1.0, 1.0)
+        assert r.model_return == pytest.approx(r.ideal_return) == pytest.approx((1.2**20 - 1) * 100) and r.trades == 40
+    assert got["stump"].weighted_accuracy < 1 and got["stump"]["rank"] == 3 and got["boosted"]["rank"] == 1  # a tie goes by name
+    L.save_models(models, str(tmp_path))
+    for x in specs:
+        again = L.predict(L.load_model(str(tmp_path), x.kind, x.name), rows, ["x"])
+        assert again.exceptAll(p.where(F.col("model") == x.name).select(again.columns)).count() == 0
+
+
+def test_models_need_known_kinds_and_names_of_their_own(spark):
+    rows = L.training_set(labelled(spark, 6), ["x"], "2020-01-01", "2020-12-31")
+    with pytest.raises(ValueError, match="names"):
+        L.train_all(rows, ["x"], [L.ModelSpec("a"), L.ModelSpec("a", trees=3)])
+    with pytest.raises(ValueError, match="unknown kind"):
+        L.train(rows, ["x"], kind="net")
+
+
+def test_a_model_without_signals_has_no_precision(spark):
+    p = spark.createDataFrame([("m", "A", D0, 0, 25, "hold"), ("m", "A", D0 + dt.timedelta(days=1), 1, 1, "hold")], "model string, symbol string, date date, label int, weight int, signal string")
+    lab = spark.createDataFrame([("A", D0, "buy")], "symbol string, date date, signal string")
+    r = L.compare_models(prices(spark, [10, 11]), p, lab).first()
+    assert r.buy_precision is None and r.buy_recall == 0 and r.sell_recall is None and r.model_return == 0 and r.benchmark_return == pytest.approx(10)
+    assert L.compare_models(prices(spark, [10, 11]), p.where("false"), lab).count() == 0

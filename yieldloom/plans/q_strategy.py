@@ -233,8 +233,8 @@ UNION ALL SELECT symbol, k, w, u, d, CASE WHEN w>0 THEN d ELSE u END FROM (SELEC
  (SELECT b.symbol, b.k, b.up0, b.dn0, a.up, a.dn, a.way, CASE WHEN coalesce(b.close>a.up,false) THEN 1 WHEN coalesce(b.close<a.dn,false) THEN -1 ELSE a.way END AS w FROM st1 a JOIN st0 b ON b.symbol=a.symbol AND b.k=a.k+1))""")
 
 
-@query("L03_feature_indicators", """
-r AS (SELECT symbol, date, k-1 AS k, close-pc AS mv FROM st0), e AS (SELECT symbol, date, k, pow(13/14.0,k)*sum(CASE WHEN k=1 THEN 1 ELSE 1/14.0 END*greatest(mv,0)*pow(13/14.0,-k)) FILTER (WHERE k>=1) OVER w AS u, pow(13/14.0,k)*sum(CASE WHEN k=1 THEN 1 ELSE 1/14.0 END*greatest(-mv,0)*pow(13/14.0,-k)) FILTER (WHERE k>=1) OVER w AS d FROM r WINDOW w AS (PARTITION BY symbol ORDER BY k)),
+shared("feats", """
+WITH r AS (SELECT symbol, date, k-1 AS k, close-pc AS mv FROM st0), e AS (SELECT symbol, date, k, pow(13/14.0,k)*sum(CASE WHEN k=1 THEN 1 ELSE 1/14.0 END*greatest(mv,0)*pow(13/14.0,-k)) FILTER (WHERE k>=1) OVER w AS u, pow(13/14.0,k)*sum(CASE WHEN k=1 THEN 1 ELSE 1/14.0 END*greatest(-mv,0)*pow(13/14.0,-k)) FILTER (WHERE k>=1) OVER w AS d FROM r WINDOW w AS (PARTITION BY symbol ORDER BY k)),
 i AS (SELECT symbol, date, k, CASE WHEN k>=14 THEN CASE WHEN d>0 THEN 100-100/(1+u/d) WHEN u>0 THEN 100 END END AS rsi FROM e),
 s AS (SELECT *, CASE WHEN count(rsi) OVER w=14 THEN (rsi-min(rsi) OVER w)/nullif(max(rsi) OVER w-min(rsi) OVER w,0)*100 END AS st FROM i WINDOW w AS (PARTITION BY symbol ORDER BY k ROWS 13 PRECEDING)),
 t AS (SELECT *, CASE WHEN count(st) OVER w=3 THEN avg(st) OVER w END AS sk FROM s WINDOW w AS (PARTITION BY symbol ORDER BY k ROWS 2 PRECEDING)),
@@ -242,6 +242,9 @@ x AS (SELECT *, CASE WHEN count(sk) OVER w=3 THEN avg(sk) OVER w END AS sd FROM
 b AS (SELECT symbol, date, CASE WHEN count(*) OVER w=5 THEN avg(close) OVER w END AS m, CASE WHEN count(*) OVER w=5 THEN stddev_samp(close) OVER w END AS sd, close FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING))
 SELECT x.symbol, x.date, R4{rsi} AS rsi, R4{line} AS supertrend, way AS direction, R4{sk} AS stoch_k, R4{x.sd} AS stoch_d, R3{m-2*b.sd} AS band_low, R5{m} AS band_mid, R3{m+2*b.sd} AS band_high, R4{(4*b.sd)/nullif(m,0)*100} AS band_width, R4{(close-(m-2*b.sd))/nullif(4*b.sd,0)} AS band_pos
 FROM x JOIN st1 ON st1.symbol=x.symbol AND st1.k=x.k+1 JOIN b ON b.symbol=x.symbol AND b.date=x.date""")
+
+
+@query("L03_feature_indicators", "SELECT * FROM feats")
 def _(m):
     d = N.feature_indicators(m.prices)
     c = lambda n, dp: rnd(F.col(f"`{n}`"), dp)
