@@ -341,3 +341,12 @@ def test_a_model_without_signals_has_no_precision(spark):
     r = L.compare_models(prices(spark, [10, 11]), p, lab).first()
     assert r.buy_precision is None and r.buy_recall == 0 and r.sell_recall is None and r.model_return == 0 and r.benchmark_return == pytest.approx(10)
     assert L.compare_models(prices(spark, [10, 11]), p.where("false"), lab).count() == 0
+
+
+def test_scratch_folder_is_one_that_executors_reach():
+    from yieldloom.session import _beside_tables
+
+    assert _beside_tables("file:/w/", "local[4]") == "file:/w/_scratch" and _beside_tables("s3a://b/w", "yarn") == "s3a://b/w/_scratch"
+    for w in ("file:/w", "file:///w"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            _beside_tables(w, "spark://host:7077")

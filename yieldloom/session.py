@@ -28,8 +28,9 @@ def scratch_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and staged files.
 
     The session names it in ``spark.checkpoint.dir``. Where it is unset, a
-    folder beside the tables of the session's warehouse is taken, which every
-    executor reaches as well; no machine-local temporary folder is ever used.
+    folder beside the tables of the session's warehouse is taken, if every
+    executor reaches that as well; a warehouse on the driver's own disk is
+    refused on a cluster. No machine-local temporary folder is ever used.
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes checkpoints
     that are no longer referenced; staged tables stay until the folder is
     emptied, so a cluster should give the folder an expiry.
@@ -37,11 +38,17 @@ def scratch_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    named = spark.conf.get("spark.checkpoint.dir", None) or _beside_tables(spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master)
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir() or named
 
 
+def _beside_tables(warehouse: str, master: str) -> str:
+    if not master.startswith("local") and warehouse.startswith("file:"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return warehouse.rstrip("/") + "/_scratch"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
