@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -186,6 +187,27 @@ def test_collocations_when_the_sample_proposes_nothing(spark):
     assert sorted(tuple(r) for r in co.collocations(docs, least=3).collect()) == plain_collocations([("en", "a b c d e f. a b x")] * 4, 3)
 
 
+def test_phrases_that_a_crowded_filter_seems_to_know(spark):
+    rng = np.random.default_rng(9)
+    common = [f"c{i}" for i in range(12)]
+    rows = []
+    for i in range(160):
+        w = list(rng.choice(common, 12))
+        if zlib.crc32(str(i).encode()) % 8 != 4:  # the sample never sees the words r and q
+            j = i % 40
+            w += [",", f"r{j}", common[j % 12], common[j * 5 % 12], f"q{j}", "\x85 \xa0\x1f \x00 ,"]
+        rows.append((i, "en", " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    want = Counter()
+    for _, _, t in rows:
+        for piece in t.split(","):
+            w = re.findall("[^\x20\x09]+", piece)
+            want.update(" ".join(w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1))
+    for bits in (9, 8):
+        got = co.frequent_phrases(docs, 3, filter_bits=bits).where("k > 0").collect()
+        assert {r.phrase: r.a for r in got} == {p: n for p, n in want.items() if n >= 3}
+
+
 def test_collocation_edges(spark):
     rows = [(r.lang, r.text) for r in h.edge(spark).collect()]
     assert sorted(tuple(r) for r in co.collocations(h.edge(spark), least=2).collect()) == plain_collocations(rows, 2)

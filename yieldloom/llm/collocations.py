@@ -132,7 +132,11 @@ def _slices(batches: Iterator[pa.RecordBatch]):
 
 
 def _tally(levels: tuple[int, ...], known, before, parts: int):
-    """Slices -> (part, keys, counts): phrases of the given lengths whose parts are both in ``known`` but not both in ``before``."""
+    """Slices -> (part, keys, counts): phrases of the given lengths whose parts are both in ``known`` but were not both in ``before``.
+
+    A phrase is in a filter if its parts are, down to its words: a wrong "yes" of the earlier filter about a phrase of words it did
+    not know must not pass for one that the earlier pass has counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
@@ -154,6 +158,7 @@ def _tally(levels: tuple[int, ...], known, before, parts: int):
                     at = np.flatnonzero(ok)
                     inside[at] = known.value.has(keys[at])
                     if before:
+                        at = np.flatnonzero(ok if k == 1 else ok & prev[1][:-1] & prev[1][1:])
                         old[at] = before.value.has(keys[at])
                     prev = inside, old
             u, n = np.unique(np.concatenate(counted), return_counts=True) if counted else ([], [])
