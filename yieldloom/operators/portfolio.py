@@ -16,8 +16,9 @@ def clean_symbol(c: Column | str) -> Column:
 
 
 def _positive(c: str) -> Column:
-    v = finite(F.trim(F.regexp_replace(F.col(c), ",", "")).try_cast("double"))
-    return F.when(v > 0, v)
+    """The number in a text if it is positive and finite; the text is parsed once."""
+    v = F.trim(F.replace(F.col(c), F.lit(","), F.lit(""))).try_cast("double")
+    return F.get(F.filter(F.array(v), lambda x: (x > 0) & (x < float("inf"))), F.lit(0))  # NaN is above infinity
 
 
 def normalize_holdings(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,7 +27,9 @@ def normalize_holdings(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     Input columns: holder, Symbol, Available Lot, Average Price (text).
     """
     require_columns(raw, "Symbol", "Available Lot", "Average Price")
-    d = raw.select("holder", clean_symbol("Symbol").alias("symbol"), _positive("Available Lot").alias("lots"), _positive("Average Price").alias("price"))
+    # behind a generator no filter is pushed down, where it would parse every text again
+    parsed = F.struct(clean_symbol("Symbol").alias("symbol"), _positive("Available Lot").alias("lots"), _positive("Average Price").alias("price"))
+    d = raw.select("holder", F.explode(F.array(parsed)).alias("_r")).select("holder", "_r.*")
     d = d.where("symbol is not null and symbol <> ''")
     bad = d.where("lots is null or price is null").select("holder", "symbol", F.when(F.col("lots").isNull(), "Available Lot").otherwise("Average Price").alias("column"))
     good = d.where("lots is not null and price is not null").groupBy("holder", "symbol").agg(F.sum("lots").alias("lots"), F.sum(F.col("lots") * F.col("price")).alias("_v"))
