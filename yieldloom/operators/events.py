@@ -18,10 +18,8 @@ LOOKBACK, LOOKFORWARD = 180, 365
 
 def _summary(value: str) -> list:
     """Distribution of a value inside one symbol (a bounded group)."""
-    return [
-        F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"),
-        F.percentile(value, F.lit(0.25)).alias("q25"), F.percentile(value, F.lit(0.75)).alias("q75"),
-    ]
+    at = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))  # one buffer of values for all three
+    return [F.avg(value).alias("mean"), at[1].alias("median"), F.stddev_samp(value).alias("std"), at[0].alias("q25"), at[2].alias("q75")]
 
 
 def stock_seasonality(prices: DataFrame) -> DataFrame:
