@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LOT_SIZE, finite, require_columns, sdiv
+from ..session import spread
 from .asof import asof_join
 from .dividends import shift_to_year
 
@@ -95,27 +96,39 @@ def income_projection(totals: DataFrame, years: int, growth_pct: float, target_m
     return p.select("holder", "year", "income", (F.col("income") > target_millions * 1_000_000).alias("achieved"), (sdiv("income", "total_investment") * 100).alias("yield_on_cost"))
 
 
-def payment_totals(pay: DataFrame, sectors: DataFrame) -> DataFrame:
+HOT_PAYMENTS = 1 << 20  # a holder with more payments is summed up in all tasks
+
+
+def payment_totals(pay: DataFrame, sectors: DataFrame, hot: int = HOT_PAYMENTS) -> DataFrame:
     """Received dividends by stock, year, month, day, sector and industry; unknown stocks count as 'Unclassified'.
 
-    One scan: the payments are summed per (stock, day) first and the grouping
-    sets run over that.
+    The payments travel once, to the task of their holder, which makes the sums
+    of every level. A holder with more than ``hot`` payments would be one long
+    task: those are summed up before they travel, level by level.
     """
-    base = pay.groupBy("holder", "stock", "date").agg(F.sum("total").alias("total"), F.count("*").alias("n"))
+    big = pay.groupBy("holder").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("holder")
     s = sectors.select(F.col("symbol").alias("stock"), "sector", "industry")
-    b = base.join(s, "stock", "left").withColumn("year", F.year("date")).withColumn("month", F.month("date"))
-    b = b.fillna("Unclassified", ["sector", "industry"])
-    sets = [["stock"], ["year"], ["year", "month"], ["date"], ["sector"], ["industry"]]
-    names = ["stock", "year", "month", "date", "sector", "industry"]
-    g = b.groupingSets([[F.col(c) for c in ["holder", *x]] for x in sets], *[F.col(c) for c in ["holder", *names]]).agg(
-        F.sum("total").alias("total"), F.sum("n").alias("payments"), F.grouping_id().alias("_gid"))
-    bit = {c: 1 << (len(names) - 1 - i) for i, c in enumerate(names)}
-    full = sum(bit.values())
-    level = F.when(F.lit(False), "")
-    for x in sets:
-        level = level.when(F.col("_gid") == full - sum(bit[c] for c in x), "_".join(x))
-    key = F.coalesce("stock", F.col("date").cast("string"), "sector", "industry", F.when(F.col("month").isNotNull(), F.format_string("%04d-%02d", "year", "month")), F.col("year").cast("string"))
-    return g.select("holder", level.alias("level"), key.alias("key"), "total", "payments")
+
+    rows = pay.select("holder", "stock", "date", "total", F.lit(1).cast("long").alias("n"))
+
+    def described(p: DataFrame) -> DataFrame:
+        return p.join(s, "stock", "left").fillna("Unclassified", ["sector", "industry"])
+
+    near = spread(described(rows.join(F.broadcast(big), "holder", "left_anti")), "holder")
+    far = rows.join(F.broadcast(big), "holder", "left_semi").groupBy("holder", "stock", "date").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return _level_sums(near).unionByName(_level_sums(described(far)))
+
+
+def _level_sums(b: DataFrame) -> DataFrame:
+    """Sums of every level; rows that lie in the task of their holder stay there."""
+    keys = {
+        "stock": F.col("stock"), "year": F.year("date").cast("string"), "year_month": F.when(F.col("date").isNotNull(), F.format_string("%04d-%02d", F.year("date"), F.month("date"))),
+        "date": F.col("date").cast("string"), "sector": F.col("sector"), "industry": F.col("industry"),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("l"), k.alias("key")) for i, k in enumerate(keys.values())])).alias("_e")
+    g = b.select("holder", "total", "n", each).groupBy("holder", F.col("_e.l").alias("l"), F.col("_e.key").alias("key")).agg(F.sum("total").alias("total"), F.sum("n").alias("payments"))
+    level = F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("l") + 1)
+    return g.select("holder", level.alias("level"), "key", "total", "payments")
 
 
 def day_shares(pay: DataFrame) -> DataFrame:
