@@ -113,13 +113,16 @@ def detrended_months(prices: DataFrame, value: str = "close") -> DataFrame:
     """Median detrended price per symbol and month over complete years only.
 
     The log-linear trend of each (symbol, year) comes from the built-in
-    regression aggregates; residuals go back to 100-based prices.
+    regression aggregates, over windows of one sort; residuals go back to
+    100-based prices.
     """
-    p = prices.where(F.col(value) > 0).select("symbol", "date", F.year("date").alias("year"), F.month("date").alias("month"), F.log(value).alias("y"))
-    year = p.groupBy("symbol", "year").agg(F.min("date").alias("_d0"), F.count_distinct("month").alias("_k")).where("_k = 12").drop("_k")
-    p = p.join(year, ["symbol", "year"]).withColumn("x", F.datediff("date", "_d0").cast("double"))
-    fit = p.groupBy("symbol", "year").agg(F.regr_slope("y", "x").alias("_b"), F.regr_intercept("y", "x").alias("_a")).where("_b is not null")
-    r = p.join(fit, ["symbol", "year"]).withColumn("rel", F.exp(F.col("y") - (F.col("_b") * F.col("x") + F.col("_a"))) * 100)
+    w = Window.partitionBy("symbol", "year")
+    p = prices.where((F.col(value) > 0) & F.col("symbol").isNotNull() & F.col("date").isNotNull())
+    p = p.select("symbol", "date", F.year("date").alias("year"), F.month("date").alias("month"), F.log(value).alias("y"))
+    seen = F.bit_or(F.expr("shiftleft(1, month)")).over(w)  # a bit for each month
+    p = p.select("*", F.min("date").over(w).alias("_d0"), seen.alias("_k")).where(f"_k = {(1 << 13) - 2}").withColumn("x", F.datediff("date", "_d0").cast("double"))
+    r = p.select("*", F.regr_slope("y", "x").over(w).alias("_b"), F.regr_intercept("y", "x").over(w).alias("_a")).where("_b is not null")
+    r = r.withColumn("rel", F.exp(F.col("y") - (F.col("_b") * F.col("x") + F.col("_a"))) * 100)
     mon = r.groupBy("symbol", "year", "month").agg(F.median("rel").alias("rel"))
     return mon.groupBy("symbol", "month").agg(F.median("rel").alias("rel_price"))
 
@@ -165,7 +168,11 @@ def event_rows(prices: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def event_table(prices: DataFrame, events: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Monthly and event records of all symbols in one table."""
+    """Monthly and event records of all symbols in one table.
+
+    The closes are stored once, since every step reads them.
+    """
+    prices = cut_lineage(prices.select("symbol", "date", "close", "adjClose"))
     month = detrended_months(prices, "adjClose").select(F.lit("monthly").alias("record_type"), "symbol", "month", "rel_price")
     ev = event_rows(prices, events).select(F.lit("event").alias("record_type"), "*")
     return month.unionByName(ev, allowMissingColumns=True).join(sectors.select("symbol", "sector"), "symbol", "left")
