@@ -106,3 +106,20 @@ def test_rows_without_id_link(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(h.jaccard_components(rows), key=str)
     assert sorted(r.component_id for r in got if r.component_id) == [1, 1, 1, 5, 5]
     assert len({r.component for r in got if r.component is not None}) == 3
+
+
+def test_short_words_are_hashed_without_a_call_each(monkeypatch):
+    from yieldloom.llm import ngram_join
+
+    called = []
+    real = ngram_join.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(ngram_join.xxhash, "xxh3_64_intdigest", lambda w, *a: called.append(w) or real(w, *a))
+    long, edge = b"Q" * 65, b"q" * 64
+    raw = b"\x0b The the THE \xc3\x84 \xc3\xa4\tx\x00 x \x00x " + edge + b" " + long + b"\r\n" + long.lower() + b" ab ba a b" + b" \x1c\x85"
+    assert len(shingle_set(raw)) == len(raw.lower().split()) - 3
+    assert called == [long.lower()] * 2
+    h, start, end = ngram_join.word_hashes(raw)
+    words = raw.lower().split()
+    assert [raw[i:j].lower() for i, j in zip(start.tolist(), end.tolist(), strict=True)] == words
+    assert len({(w, x) for w, x in zip(words, h.tolist(), strict=True)}) == len(set(words)) == len(set(h.tolist()))
+    assert not len(ngram_join.word_hashes(b"")[0]) and not len(ngram_join.word_hashes(b" \t\n\x0b\x0c\r")[0])

@@ -206,3 +206,15 @@ def test_training_reads_every_token_once():
             assert Counter(seen) == Counter(stream[1:].tolist())
     finally:
         lm.gradients = real
+
+
+def test_each_distinct_word_of_a_slice_is_hashed_once(monkeypatch):
+    called = []
+    real = lm.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(lm.xxhash, "xxh3_64_intdigest", lambda w, *a: called.append(w) or real(w, *a))
+    names = [b"w%d" % i for i in range(70_000)]
+    texts = [b"", b" ".join(names), b" \n", b" ".join(names).upper(), b"W1  w1"]
+    size, u, at = lm.words_of(texts)
+    assert size.tolist() == [0, 70_000, 0, 70_000, 2] and called == names
+    assert u[at].tolist() == [real(w) for x in texts for w in x.lower().split()]
+    assert [len(x) for x in lm.words_of([b"", b" "])] == [2, 0, 0]
