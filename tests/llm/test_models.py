@@ -218,3 +218,19 @@ def test_each_distinct_word_of_a_slice_is_hashed_once(monkeypatch):
     assert size.tolist() == [0, 70_000, 0, 70_000, 2] and called == names
     assert u[at].tolist() == [real(w) for x in texts for w in x.lower().split()]
     assert [len(x) for x in lm.words_of([b"", b" "])] == [2, 0, 0]
+
+
+def test_sums_and_maxima_by_row():
+    rng = np.random.default_rng(3)
+    key = np.concatenate([np.repeat(i, i) for i in (1, 2, 8, 9, 10, 16, 17, 25, 31, 32, 33, 34, 129, 130, 500)])
+    rng.shuffle(key)
+    rows = rng.normal(0, 1, (len(key), 6)).astype(np.float32)
+    seen, sums = lm._sums_by(key, rows, 501)
+    want = np.zeros((501, 6))
+    np.add.at(want, key, rows)
+    assert seen.tolist() == sorted(set(key.tolist())) and np.allclose(sums, want[seen], atol=1e-4)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    assert (sums == np.add.reduceat(rows[order], first, axis=0)).all()  # the bits of numpy's own sums
+    for n in (1, 6, 64):
+        assert (lm._row_max(rows[:, :1] * np.arange(1, n + 1, dtype=np.float32)) == (rows[:, :1] * np.arange(1, n + 1)).max(1, keepdims=True).astype(np.float32)).all()
